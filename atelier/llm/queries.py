@@ -6,17 +6,98 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atelier.llm import simhash
-from atelier.llm.common import table
+from atelier.llm import decontaminate, mixing, quality, simhash, tokenstore
+from atelier.llm.common import fresh_path, table
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def end_id() -> int:
+    return 0
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    tokenstore.write(table(spark, sf_dir, "documents"), path, tokenizer_file(), end_id=end_id())
+    return tokenstore.report(spark, path)
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup,)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_simhash_near_dedup,
+            op2_mix_sources,
+            op4_token_store,
+            op5_decontaminate,
+            op9_quality_rules,
+        )
+    }
+
+
+OP2_SQL = r"""
+    WITH sized AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+               ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+        FROM documents),
+    totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+    numbered AS (
+        SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM totals),
+    caps AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / weight AS ratio FROM numbered),
+    levels AS (
+        SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+                   - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                  / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+        FROM caps WINDOW o AS (ORDER BY ratio, source NULLS LAST)),
+    goals AS (
+        SELECT source, source_size, least(cap, weight * (SELECT max(level) FROM levels WHERE level <= ratio)) AS target FROM levels),
+    groups AS (
+        SELECT s.source, s.h, g.target - floor(g.target / greatest(g.source_size, 1)) * g.source_size AS budget, sum(s.size) AS n
+        FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source WHERE s.size > 0 GROUP BY ALL),
+    running AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM groups),
+    limits AS (
+        SELECT source, h + CASE WHEN 2 * (budget - before) >= n THEN 1 ELSE 0 END AS lim
+        FROM running WHERE before <= budget AND budget < before + n)
+    SELECT s.doc_id, s.size, g.source_size, g.target,
+           (s.size * least(2, floor(g.target / greatest(g.source_size, 1)) + CASE WHEN s.h < coalesce(l.lim, 0) THEN 1 ELSE 0 END))::BIGINT AS taken
+    FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source LEFT JOIN limits l ON s.source IS NOT DISTINCT FROM l.source
+"""
+
+OP5_SQL = r"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    items AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+    cut AS (SELECT item, ws, least(len(ws), 10) AS n, unnest(generate_series(1, len(ws) - least(len(ws), 10) + 1)) AS p FROM items WHERE len(ws) > 0),
+    windows AS (SELECT DISTINCT n, item, array_to_string(ws[p:p + n - 1], ' ') AS w FROM cut),
+    lengths AS (SELECT DISTINCT n FROM windows),
+    at AS (SELECT r, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS p FROM docs, lengths WHERE len(ws) >= n),
+    hits AS (SELECT a.r, a.p, a.n, w.item FROM at a JOIN windows w ON a.n = w.n AND array_to_string(a.ws[a.p:a.p + a.n - 1], ' ') = w.w),
+    covered AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(generate_series(p, p + n - 1)) AS q FROM hits) GROUP BY r),
+    found AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r)
+    SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(f.n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+    FROM docs d LEFT JOIN covered c USING (r) LEFT JOIN found f USING (r)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mix_sources": OP2_SQL, "op5_decontaminate": OP5_SQL}
