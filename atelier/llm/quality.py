@@ -48,10 +48,14 @@ def measure(text: str | None) -> tuple[int, ...]:
     return (len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), text.count("!"), upper)
 
 
-@F.pandas_udf(METRICS)
-def metrics(texts: pd.Series) -> pd.DataFrame:
-    """Metrics of whole texts, in Arrow batches."""
-    return pd.DataFrame([measure(t) for t in texts], columns=[c.split()[0] for c in METRICS.split(", ")], dtype="int64")
+def metrics(text: str) -> Column:
+    """Metrics of whole texts as a struct, in Arrow batches."""
+
+    @F.pandas_udf(METRICS)
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure(t) for t in texts], columns=[c.split()[0] for c in METRICS.split(", ")], dtype="int64")
+
+    return measured(text)
 
 
 def base_failed(m) -> Column:
@@ -100,7 +104,7 @@ def certified_cutoff(counts: pd.DataFrame, alpha: float, delta: float, weight: f
     whole sequence). Of the certified ones, that which gains most on the other half is taken: bad
     rows rejected less ``weight`` times the good ones; none if none gains.
     """
-    table = counts.set_index("bin").reindex(range(BINS + 1), fill_value=0)
+    table = counts.set_index("bin")[["good_test", "good_fit", "bad_fit"]].reindex(range(BINS + 1), fill_value=0)
     above = table[::-1].cumsum()[::-1]
     n, best, chosen = int(table["good_test"].sum()), 0.0, None
     if not n:
@@ -114,7 +118,7 @@ def certified_cutoff(counts: pd.DataFrame, alpha: float, delta: float, weight: f
     return chosen
 
 
-def learn(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+def learn(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """Cutoff bins of every stratum: ``stratum`` and one column a rule, null where nothing could be certified.
 
     measured: doc_id, the stratum and the metrics; labels: doc_id and quality (1 good, 0 bad).
@@ -142,7 +146,7 @@ def learn(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
         cut = {name: certified_cutoff(own, share, level) for name, own in rows.groupby("rule")}
-        return pd.DataFrame([[rows["stratum"].iloc[0], *(cut.get(name) for name in RULES)]], columns=["stratum", *RULES])
+        return pd.DataFrame([[rows["stratum"].iloc[0], *(cut.get(name) for name in RULES)]], columns=["stratum", *RULES]).astype({name: "Int32" for name in RULES})
 
     schema = f"stratum {dict(measured.dtypes)[stratum]}, " + ", ".join(f"{name} int" for name in RULES)
     return stored(counts.groupBy("stratum").applyInPandas(decide, schema), "cutoffs")
@@ -159,7 +163,7 @@ def _verdict(df: DataFrame, cutoffs: DataFrame, stratum: str, m) -> DataFrame:
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~over)
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """Metrics and verdict of every document.
 
     docs: doc_id, text and the stratum column; others are ignored. Returns doc_id, n_words,
@@ -173,7 +177,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     return out.select("doc_id", *names[:5], "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The documents that the rules keep, all columns unchanged."""
     names = [c.split()[0] for c in METRICS.split(", ")]
     measured = docs.select("doc_id", stratum, metrics("text").alias("m")).select("doc_id", stratum, *[f"m.{c}" for c in names])

@@ -89,8 +89,8 @@ OP5_SQL = r"""
     cut AS (SELECT item, ws, least(len(ws), 10) AS n, unnest(generate_series(1, len(ws) - least(len(ws), 10) + 1)) AS p FROM items WHERE len(ws) > 0),
     windows AS (SELECT DISTINCT n, item, array_to_string(ws[p:p + n - 1], ' ') AS w FROM cut),
     lengths AS (SELECT DISTINCT n FROM windows),
-    at AS (SELECT r, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS p FROM docs, lengths WHERE len(ws) >= n),
-    hits AS (SELECT a.r, a.p, a.n, w.item FROM at a JOIN windows w ON a.n = w.n AND array_to_string(a.ws[a.p:a.p + a.n - 1], ' ') = w.w),
+    places AS (SELECT r, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS p FROM docs, lengths WHERE len(ws) >= n),
+    hits AS (SELECT a.r, a.p, a.n, w.item FROM places a JOIN windows w ON a.n = w.n AND array_to_string(a.ws[a.p:a.p + a.n - 1], ' ') = w.w),
     covered AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(generate_series(p, p + n - 1)) AS q FROM hits) GROUP BY r),
     found AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r)
     SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(f.n_items, 0)::BIGINT AS n_items,
