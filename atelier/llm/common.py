@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +56,14 @@ def word_count(text: Column | str) -> Column:
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; other letters stay as they are."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def parts_of(batch: pa.RecordBatch, size: int, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of an Arrow batch with about ``size`` characters of text each, one row at least; bounds a worker's memory."""
+    lengths = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()
+    start, held = 0, 0
+    for i, n in enumerate(lengths):
+        held += n
+        if held >= size or i == len(lengths) - 1:
+            yield batch.slice(start, i + 1 - start)
+            start, held = i + 1, 0

@@ -2,35 +2,46 @@
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from atelier.llm.common import parts_of
+
 #: Ids of a chunk: least, mean beyond the least, most. The rolling hash looks back on fewer ids than the least.
 LEAST, MEAN, MOST, REACH = 64, 256, 1024, 16
-#: Pieces whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
-#: Where a text has only these characters, the pieces below are those of the byte-level pattern, found by the standard library.
-PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ɏ]*")
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: How the store's files are written; small row groups keep writers' memory low.
+FILES = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
+#: Words whose ids a worker remembers before it starts anew, chunks likewise, and characters that are encoded at once.
+REMEMBERED, AT_ONCE = 250_000, 1_000_000
+#: Where a text has only these characters and no two blanks in a row, the library cuts it before each space.
+PLAIN = re.compile("[\n!-~À-ÖØ-öø-ɏ]*(?: [\n!-~À-ÖØ-öø-ɏ]+)*")
+MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
+BLANKS = ("\n ", " \n")
 
 
 class Encoder:
     """Ids of texts as little-endian bytes of ``width`` bytes an id.
 
-    A byte-level model encodes each piece of its pattern on its own, so pieces that were seen before
-    are not encoded again. Texts with characters for which the patterns could differ, or with the
-    name of a special token, go whole to the library. Names of special tokens are ordinary text.
+    A byte-level model encodes what stands between two cuts of its pattern on its own, and the
+    pattern always cuts before a single space, so words that were seen before are not encoded
+    again. Texts for which that might not hold, and texts with the name of a special token, go
+    whole to the library. Names of special tokens are ordinary text.
     """
 
     def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -38,25 +49,62 @@ class Encoder:
         self.names = [t.content for t in self.library.get_added_tokens_decoder().values()]
         top = max(self.library.get_vocab_size(with_added_tokens=True), end_id + 1)
         self.width = 2 if top <= 1 << 16 else 4
+        self.code = {2: "H", 4: "I"}[self.width]
         self.end = end_id.to_bytes(self.width, "little")
         self.known: dict[str, bytes] = {}
+        self.stops: dict[str, bytes] = {}
+        self.spaced = np.zeros(top, dtype=bool)
+        self.spaced[[i for token, i in self.library.get_vocab().items() if token[0] == "Ġ"]] = True  # how the vocabulary writes a space
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in encoded]
-
-    def __call__(self, text: str | None) -> bytes:
-        text = text or ""
-        if not PLAIN.fullmatch(text) or any(n in text for n in self.names):
-            return self._library([text])[0] + self.end
-        pieces = PIECES.findall(text)
-        new = list({p for p in pieces if p not in self.known})
-        if new:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                new = list(set(pieces))
-            self.known.update(zip(new, self._library(new), strict=True))
-        return b"".join(map(self.known.__getitem__, pieces)) + self.end
+        return [array(self.code, e.ids).tobytes() for e in encoded]  # tasks run on little-endian machines
+
+    def _plain(self, text: str) -> bool:
+        return not any(x in text for x in BLANKS) and PLAIN.fullmatch(text) is not None and not any(n in text for n in self.names)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters with a space before each: encoded in lines and cut where a token starts with the space."""
+        out = []
+        for at in range(0, len(words), 256):
+            line = words[at : at + 256]
+            raw = self._library([" " + " ".join(line)])[0]
+            starts = np.flatnonzero(self.spaced[np.frombuffer(raw, dtype=f"<u{self.width}")]) * self.width
+            if len(starts) != len(line):
+                raise ValueError("the tokenizer doesn't keep words apart at spaces")
+            ends = [*starts[1:].tolist(), len(raw)]
+            out.extend(raw[i:j] for i, j in zip(starts.tolist(), ends, strict=True))
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of words that weren't met before; marks after letters are a piece of their own."""
+        marked = {w: m.groups() for w in new if (m := MARKED.fullmatch(w))}
+        stops = list({mark for _, mark in marked.values()} - self.stops.keys())
+        self.stops.update(zip(stops, self._library(stops), strict=True))
+        letters = list({marked[w][0] if w in marked else w for w in new if w in marked or w.isalpha()} - self.known.keys())
+        self.known.update(zip(letters, self._words(letters), strict=True))
+        self.known.update((w, self.known[x] + self.stops[mark]) for w, (x, mark) in marked.items())
+        rest = [w for w in new if w not in self.known]
+        self.known.update(zip(rest, self._library([" " + w for w in rest]), strict=True))
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:  # the words met first, and so the frequent ones, stay
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
+            self.stops.clear()
+        texts = [t or "" for t in texts]
+        plain = [self._plain(t) for t in texts]
+        whole = dict(zip(odd := list({t for t, p in zip(texts, plain, strict=True) if not p}), self._library(odd), strict=True))
+        cut = [(t.split(" ") if p else None) for t, p in zip(texts, plain, strict=True)]
+        self._learn(list(set().union(*(c[1:] for c in cut if c)) - self.known.keys()))
+        first = self._library([c[0] if c else "" for c in cut])  # no space comes before the first word
+        get = self.known.__getitem__
+        return [(f + b"".join(map(get, c[1:])) if c else whole[t]) + self.end for t, c, f in zip(texts, cut, first, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """One encoder for all tasks of a worker, so that what it remembers serves the next task too."""
+    return Encoder(path, end_id)
 
 
 def _mixed(n: int) -> np.ndarray:
@@ -73,9 +121,10 @@ def cuts(ids: np.ndarray, words: np.ndarray) -> list[int]:
     if n <= LEAST:
         return [n]
     g = words[ids & (len(words) - 1)]
-    h = g.copy()
-    for k in range(1, REACH):
-        h[k:] += g[:-k] << np.uint64(k)
+    h, k = g, 1
+    while k < REACH:  # sums over twice as many ids each time
+        h = np.concatenate([h[:k], h[k:] + (h[:-k] << np.uint64(k))])
+        k *= 2
     ends = np.flatnonzero((h >> np.uint64(40)) & np.uint64(MEAN - 1) == 0) + 1
     out, start, i = [], 0, 0
     while n - start > LEAST:
@@ -119,39 +168,42 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """
     spark = docs.sparkSession
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, words, met = Encoder(tokenizer, end_id), _mixed(1 << 16), set()
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                raw = encoder(text)
-                ids = np.frombuffer(raw, dtype=f"<u{encoder.width}")
-                start, digests, data = 0, [], []
-                for end in cuts(ids, words):
-                    piece = raw[start * encoder.width : end * encoder.width]
-                    digest = sha256(piece).digest()
-                    digests.append(digest)
-                    if digest not in met:
-                        if len(met) > REMEMBERED:
-                            met.clear()
-                        met.add(digest)
-                        data.append({"digest": digest, "width": encoder.width, "data": piece})
-                    start = end
-                rows.append((doc_id, len(ids), merkle(digests), digests, data))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "root", "digests", "chunks"])
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, words, met = encoder_of(tokenizer, end_id), _mixed(1 << 16), set()
+        for batch in batches:
+            for part in parts_of(batch, AT_ONCE):
+                rows = []
+                for raw in encoder(part.column(1).to_pylist()):
+                    ids = np.frombuffer(raw, dtype=f"<u{encoder.width}")
+                    start, digests, data = 0, [], []
+                    for end in cuts(ids, words):
+                        piece = raw[start * encoder.width : end * encoder.width]
+                        digest = sha256(piece).digest()
+                        digests.append(digest)
+                        if digest not in met:
+                            if len(met) > REMEMBERED:
+                                met.clear()
+                            met.add(digest)
+                            data.append((digest, encoder.width, piece))
+                        start = end
+                    rows.append((len(ids), merkle(digests), digests, [dict(zip(("digest", "width", "data"), d, strict=True)) for d in data]))
+                n, roots, digests, data = zip(*rows, strict=True)
+                chunk = pa.struct([("digest", pa.binary()), ("width", pa.int32()), ("data", pa.binary())])
+                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(roots, pa.binary()), pa.array(digests, pa.list_(pa.binary())), pa.array(data, pa.list_(chunk))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "root", "digests", "chunks"])
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens long, root binary, digests array<binary>, chunks array<struct<digest:binary,width:int,data:binary>>"
     staging = f"{path}/staging"
-    docs.select("doc_id", "text").mapInPandas(encode, schema).write.option("compression", "zstd").parquet(staging)
+    docs.select("doc_id", "text").mapInArrow(encode, schema).write.options(**FILES).parquet(staging)
     staged = spark.read.schema(schema).parquet(staging)
-    staged.select(F.inline("chunks")).dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    staged.select(F.inline("chunks")).dropDuplicates(["digest"]).write.options(**FILES).parquet(f"{path}/chunks")
     (
         staged.select("doc_id", "n_tokens", "root", "digests")
         .repartitionByRange("doc_id", "root")
         .sortWithinPartitions("doc_id", "root")
         .select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "doc_id", "n_tokens", "root", "digests")
-        .write.option("compression", "zstd")
+        .write.options(**FILES)
         .parquet(f"{path}/recipes")
     )
     _delete(spark, staging)
