@@ -7,14 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atelier.llm.common import stored
+from atelier.llm.common import parts_of, stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Longest piece looked at, longest run of letters scored in one go (longer runs are cut, every letter counts), words of a worker's memory, characters scored at once.
-LONGEST, RUN, REMEMBERED, AT_ONCE = 16, 40, 300_000, 4_000_000
+LONGEST, RUN, REMEMBERED, AT_ONCE = 16, 40, 300_000, 2_000_000
 FLOOR = 1e-8
 
 
@@ -173,41 +174,32 @@ def predict(docs: DataFrame, languages: list[str], pieces: list[str], probabilit
     """docs' doc_id with lang_pred and score, from whole texts only."""
     model = docs.sparkSession.sparkContext.broadcast((pieces, probability))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, known, table = Segmentations(*model.value), {}, np.empty((0, len(languages)))
-
-        def totals(texts: list[list[str]]) -> Iterator[np.ndarray]:
-            nonlocal table
-            if len(known) > REMEMBERED:
-                known.clear()
-                table = table[:0]
-            new = list({w for words in texts for w in words if w not in known})
-            if new:
+        for batch in batches:
+            for part in parts_of(batch, AT_ONCE):
+                if len(known) > REMEMBERED:
+                    known.clear()
+                    table = table[:0]
+                split = [words_of(t) for t in part.column(1).to_pylist()]
+                new = list(set().union(*split) - known.keys()) if languages else []
                 known.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
                 table = np.vstack([table, lattice.log_probability(new)])
-            for words in texts:
-                yield table[[known[w] for w in words]].sum(axis=0)
-
-        for pdf in batches:
-            out, waiting, size = [], [], 0
-            for text in [*pdf["text"], None]:
-                waiting.append(words_of(text))
-                size += len(text or "")
-                if size > AT_ONCE or len(waiting) + len(out) > len(pdf):
-                    for words, total in zip(waiting, totals(waiting), strict=True):
-                        if words and languages:
-                            chance = np.exp(total - total.max())
-                            best = int(chance.argmax())
-                            out.append((languages[best], float(chance[best] / chance.sum())))
-                        else:
-                            out.append(("und", 0.0))
-                    waiting, size = [], 0
-            out = pd.DataFrame(out[: len(pdf)], columns=["lang_pred", "score"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
+                best, chance = [], []
+                for words in split:
+                    if not words or not languages:
+                        best.append("und")
+                        chance.append(0.0)
+                        continue
+                    total = table[[known[w] for w in words]].sum(axis=0)
+                    share = np.exp(total - total.max())
+                    best.append(languages[int(share.argmax())])
+                    chance.append(float(share.max() / share.sum()))
+                columns = [part.column(0), pa.array(best, pa.string()), pa.array(chance, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(score, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, vocabulary_path: str, docs_per_language: int = 600, rounds: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atelier.llm import decontaminate, mixing, quality, simhash, tokenstore
+from atelier.llm import decontaminate, langid, mixing, quality, simhash, tokenstore
 from atelier.llm.common import fresh_path, table
 
 
@@ -16,6 +16,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def end_id() -> int:
     return 0
 
@@ -28,6 +34,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), pieces_file())
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     tokenstore.write(table(spark, sf_dir, "documents"), path, tokenizer_file(), end_id=end_id())
@@ -48,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_simhash_near_dedup,
             op2_mix_sources,
+            op3_language_id,
             op4_token_store,
             op5_decontaminate,
             op9_quality_rules,
