@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from atelier.llm import decontaminate, langid, mixing, quality, simhash, tokenstore
+from atelier.llm import decontaminate, langid, mixing, pseudonyms, quality, simhash, tokenstore, urlfilter
 from atelier.llm.common import fresh_path, table
 
 
@@ -48,6 +49,22 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Rules on urls, as the query's contract states them.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's url ends in the number of the document that the page shows, whose labels are the page's."""
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("url_key"), F.coalesce(bad, F.lit(False)).alias("bad"))
+    return urlfilter.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, key="atelier")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,6 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op3_language_id,
             op4_token_store,
             op5_decontaminate,
+            op7_url_filter,
+            op8_pii_pseudonyms,
             op9_quality_rules,
         )
     }
