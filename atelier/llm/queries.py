@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atelier.llm import decontaminate, langid, mixing, pseudonyms, quality, simhash, tokenstore, urlfilter
+from atelier.llm import decontaminate, htmltext, langid, mixing, pseudonyms, quality, simhash, tokenstore, urlfilter
 from atelier.llm.common import fresh_path, table
 
 
@@ -69,6 +69,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op7_url_filter,
             op8_pii_pseudonyms,
             op9_quality_rules,
+            op10_html_text,
         )
     }
 
