@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atelier.llm import decontaminate, htmltext, langid, mixing, pseudonyms, quality, simhash, tokenstore, urlfilter
+from atelier.llm import decontaminate, htmltext, langid, lmscore, mixing, pseudonyms, quality, simhash, tokenstore, urlfilter
 from atelier.llm.common import fresh_path, table
 
 
@@ -49,6 +49,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
 #: Rules on urls, as the query's contract states them.
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op3_language_id,
             op4_token_store,
             op5_decontaminate,
+            op6_lm_score,
             op7_url_filter,
             op8_pii_pseudonyms,
             op9_quality_rules,
