@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -182,7 +183,7 @@ def predict(docs: DataFrame, languages: list[str], pieces: list[str], probabilit
                     known.clear()
                     table = table[:0]
                 split = [words_of(t) for t in part.column(1).to_pylist()]
-                new = list(set().union(*split) - known.keys()) if languages else []
+                new = list(filterfalse(known.__contains__, set().union(*split))) if languages else []
                 known.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
                 table = np.vstack([table, lattice.log_probability(new)])
                 best, chance = [], []

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import islice
+from itertools import filterfalse, islice
 from zlib import crc32
 
 import numpy as np
@@ -24,9 +25,14 @@ LEAST, MEAN, MOST, REACH = 64, 256, 1024, 16
 #: How the store's files are written; small row groups keep writers' memory low.
 FILES = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 #: Words whose ids a worker remembers before it starts anew, chunks likewise, and characters that are encoded at once.
-REMEMBERED, AT_ONCE = 250_000, 1_000_000
+REMEMBERED, AT_ONCE = 700_000, 3_000_000
 #: Where a text has only these characters and no two blanks in a row, the library cuts it before each space.
 PLAIN = re.compile("[\n!-~À-ÖØ-öø-ɏ]*(?: [\n!-~À-ÖØ-öø-ɏ]+)*")
+#: Texts in which each stop and comma is a piece of its own if it isn't next to another one or after a space; those are cut off, and must end a word.
+SIMPLE = re.compile("[\n 0-9A-Za-zÀ-ÖØ-öø-ɏ.,]*")
+STOPS = {".": "\1", ",": "\2"}
+TWINS = ("..", ".,", ",.", ",,", " .", " ,")
+INSIDE = (re.compile("\1[^ \n]"), re.compile("\2[^ \n]"))
 MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
 BLANKS = ("\n ", " \n")
 
@@ -53,6 +59,7 @@ class Encoder:
         self.end = end_id.to_bytes(self.width, "little")
         self.known: dict[str, bytes] = {}
         self.stops: dict[str, bytes] = {}
+        self._restart({})
         self.spaced = np.zeros(top, dtype=bool)
         self.spaced[[i for token, i in self.library.get_vocab().items() if token[0] == "Ġ"]] = True  # how the vocabulary writes a space
 
@@ -78,24 +85,44 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Ids of words that weren't met before; marks after letters are a piece of their own."""
-        marked = {w: m.groups() for w in new if (m := MARKED.fullmatch(w))}
-        stops = list({mark for _, mark in marked.values()} - self.stops.keys())
+        marked = {w: m.groups() for w in new if not w.isalpha() and (m := MARKED.fullmatch(w))}
+        stops = list(filterfalse(self.stops.__contains__, {mark for _, mark in marked.values()}))
         self.stops.update(zip(stops, self._library(stops), strict=True))
-        letters = list({marked[w][0] if w in marked else w for w in new if w in marked or w.isalpha()} - self.known.keys())
+        letters = list(filterfalse(self.known.__contains__, {marked[w][0] if w in marked else w for w in new if w in marked or w.isalpha()}))
         self.known.update(zip(letters, self._words(letters), strict=True))
         self.known.update((w, self.known[x] + self.stops[mark]) for w, (x, mark) in marked.items())
         rest = [w for w in new if w not in self.known]
-        self.known.update(zip(rest, self._library([" " + w for w in rest]), strict=True))
+        self.known.update(zip(rest, self._library([w if w[:1] == "\n" else " " + w for w in rest]), strict=True))
+
+    def _restart(self, known: dict[str, bytes]) -> None:
+        self.known = known | dict(zip(STOPS.values(), self._library(list(STOPS)), strict=True))
+        self.stops.clear()
+
+    def _cut(self, text: str) -> list[str]:
+        """Words of a plain text, before each of which the library cuts; those after the first have a space before them, a line end or a mark in front."""
+        if SIMPLE.fullmatch(text) and not any(x in text for x in TWINS):
+            marked = text
+            for stop, mark in STOPS.items():
+                marked = marked.replace(stop, " " + mark)
+            if not any(p.search(marked) for p in INSIDE):
+                text = marked
+        return text.replace("\n", " \n").split(" ")
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        gc.disable()  # what is made here has no cycles, and looking for them takes as long as the work
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > REMEMBERED:  # the words met first, and so the frequent ones, stay
-            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
-            self.stops.clear()
+            self._restart(dict(islice(self.known.items(), REMEMBERED // 2)))
         texts = [t or "" for t in texts]
-        plain = [self._plain(t) for t in texts]
-        whole = dict(zip(odd := list({t for t, p in zip(texts, plain, strict=True) if not p}), self._library(odd), strict=True))
-        cut = [(t.split(" ") if p else None) for t, p in zip(texts, plain, strict=True)]
-        self._learn(list(set().union(*(c[1:] for c in cut if c)) - self.known.keys()))
+        cut = [self._cut(t) if self._plain(t) else None for t in texts]
+        odd = list({t for t, c in zip(texts, cut, strict=True) if c is None})
+        whole = dict(zip(odd, self._library(odd), strict=True))
+        self._learn(list(filterfalse(self.known.__contains__, set().union(*(c[1:] for c in cut if c)))))
         first = self._library([c[0] if c else "" for c in cut])  # no space comes before the first word
         get = self.known.__getitem__
         return [(f + b"".join(map(get, c[1:])) if c else whole[t]) + self.end for t, c, f in zip(texts, cut, first, strict=True)]
