@@ -47,6 +47,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """All columns as one, ``_row``, beside those that an operator reads, so that no column of the documents clashes with its own."""
+    return docs.select(F.struct("*").alias("_row"), *needed)
+
+
+def unpacked(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs`` again, some of them replaced."""
+    return df.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+
+
 def word_count(text: Column | str) -> Column:
     """Number of words of a text; 0 for null."""
     col = F.col(text) if isinstance(text, str) else text

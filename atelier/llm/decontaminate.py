@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atelier.llm.common import lower_ascii
+from atelier.llm.common import lower_ascii, packed, unpacked
 
 #: A word of a lower-cased text: ASCII letters and digits, and anything beyond ASCII.
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -157,16 +157,17 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_sent: in
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_sent: int = MAX_SENT) -> DataFrame:
     """The documents in which no test window occurs, all columns unchanged."""
-    return scan(docs, benchmark, "text", window, max_sent).where(F.size("_hits") == 0).select(docs.columns)
+    scanned = scan(packed(docs, "text"), benchmark, "text", window, max_sent)
+    return unpacked(scanned.where(F.size("_hits") == 0), docs)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_sent: int = MAX_SENT) -> DataFrame:
     """All documents, without the words inside occurring windows; what stands between words stays."""
-    scanned = scan(docs, benchmark, "text", window, max_sent)
+    scanned = scan(packed(docs, "text"), benchmark, "text", window, max_sent)
     raw = scanned.withColumn("_raw", F.regexp_extract_all("text", F.lit(RAW_WORD), F.lit(0))).withColumn("_gaps", F.split("text", RAW_WORD, -1))
     hit = lambda i: F.exists("_hits", lambda h: (h["s"] <= i) & (i < h["e"]))
     text = F.array_join(
         F.transform("_gaps", lambda gap, i: F.concat(gap, F.when(hit(i), F.lit("")).otherwise(F.coalesce(F.get("_raw", i), F.lit(""))))), ""
     )
     clean = F.when(F.size("_hits") > 0, text).otherwise(F.col("text"))
-    return raw.select([clean.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    return unpacked(raw, docs, text=clean)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atelier.llm.common import stored, word_count
+from atelier.llm.common import packed, stored, unpacked, word_count
 
 #: Hashes have 60 bits, of which each level of the histogram looks at 12 more.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -105,6 +105,7 @@ def repeat_by_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
     sized = stored(docs.select("source", word_count("text").alias("size"), unit_hash(F.col("doc_id"), seed).alias("h")), "sized")
     goals = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     plan = stored(thresholds(sized, goals), "plan").withColumnRenamed("source", "_source")
-    joined = docs.join(plan, F.col("source").eqNullSafe(F.col("_source")))
+    joined = packed(docs, "doc_id", "source").join(plan, F.col("source").eqNullSafe(F.col("_source")))
     copies = F.col("passes") + F.when(unit_hash(F.col("doc_id"), seed) < F.col("limit"), 1).otherwise(0)
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.least(copies, F.lit(int(most))).cast("int")))).select(docs.columns)
+    times = F.array_repeat(F.lit(1), F.least(copies, F.lit(int(most))).cast("int"))
+    return unpacked(joined.select("_row", F.explode(times)), docs)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atelier.llm.common import packed
+
 ROUNDS = 10
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
@@ -229,12 +231,13 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = Fal
     pattern, validated (octets, calendar, issued ranges, Luhn), and permuted with the key within
     their format and validity, so equal values have equal pseudonyms in all documents; ``back`` with the
     same key restores them. What isn't valid stays, and so do texts without any. Null texts stay
-    null; repeated rows change alike; all other columns are kept, and an empty table stays empty.
+    null; repeated rows change alike; all other columns are kept, but for those of the two new
+    columns' names; an empty table stays empty.
     Nothing is shuffled or looked up.
     """
     some = F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False))
     none = F.array().cast("array<string>")
-    found = docs.withColumn("_found", F.when(some, F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))).otherwise(none))
+    found = packed(docs, text).withColumn("_found", F.when(some, F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))).otherwise(none))
     new = F.transform(
         "_found",
         lambda s: let(kind_of(s), lambda kind: F.struct(s.alias("s"), kind.alias("kind"), pseudonym(s, kind, key, back).alias("new"))),
@@ -242,9 +245,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = Fal
     changed = found.withColumn("_new", F.when(F.size("_found") > 0, new))
     gaps = F.split(text, FOUND, -1)
     joined = let(F.col("_new"), lambda found: F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get(found, i)["new"], F.get(found, i)["s"], F.lit("")))))
+    clean = F.when(F.size("_found") > 0, F.array_join(joined, "")).otherwise(F.col(text))
     valid = F.filter(F.coalesce("_new", F.array().cast("array<struct<s:string,kind:string,new:string>>")), lambda p: p["new"].isNotNull())
-    return changed.select(
-        *[F.when(F.size("_found") > 0, F.array_join(joined, "")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns],
-        F.size(valid).cast("long").alias("n_replaced"),
-        F.array_sort(F.array_distinct(F.transform(valid, lambda p: p["kind"]))).alias("kinds"),
-    )
+    n, kinds = F.size(valid).cast("long"), F.array_sort(F.array_distinct(F.transform(valid, lambda p: p["kind"])))
+    kept = [c for c in docs.columns if c.lower() not in ("n_replaced", "kinds")]
+    return changed.select(*[(clean if c == text else F.col("_row")[c]).alias(c) for c in kept], n.alias("n_replaced"), kinds.alias("kinds"))

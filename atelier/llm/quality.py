@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atelier.llm.common import stored
+from atelier.llm.common import packed, stored, unpacked
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -182,5 +182,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
     names = [c.split()[0] for c in METRICS.split(", ")]
     measured = docs.select("doc_id", stratum, metrics("text").alias("m")).select("doc_id", stratum, *[f"m.{c}" for c in names])
     cutoffs = learn(stored(measured.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), "measured"), labels, stratum, alpha, delta)
-    judged = _verdict(docs.withColumn("_m", metrics("text")), cutoffs, stratum, lambda c: F.col(f"_m.{c}"))
-    return judged.where("kept").select(docs.columns)
+    rows = packed(docs, stratum, "text").withColumn("_m", metrics("text"))
+    return unpacked(_verdict(rows, cutoffs, stratum, lambda c: F.col(f"_m.{c}")).where("kept"), docs)

@@ -311,7 +311,7 @@ def report(spark: SparkSession, path: str) -> DataFrame:
     def crc_of(parts: pd.Series, n_tokens: pd.Series, digests: pd.Series, root: pd.Series) -> pd.Series:
         out = []
         for own, n, names, top in zip(parts, n_tokens, digests, root, strict=True):
-            if any(p["n"] is None for p in own) or sum(p["n"] for p in own) != n:
+            if any(pd.isna(p["n"]) for p in own) or sum(p["n"] for p in own) != n:
                 raise ValueError("a document's chunks are missing or don't add up")
             if merkle(list(names)) != top:
                 raise ValueError("a document's recipe doesn't match its root")
