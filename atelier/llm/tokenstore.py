@@ -317,7 +317,7 @@ def report(spark: SparkSession, path: str) -> DataFrame:
                 raise ValueError("a document's recipe doesn't match its root")
             crc = 0
             for p in own:
-                crc = joined_crc(crc, p["crc"], 4 * p["n"])
+                crc = joined_crc(crc, int(p["crc"]), 4 * int(p["n"]))
             out.append(crc)
         return pd.Series(out, dtype="int64")
 
