@@ -6,6 +6,7 @@ import gc
 import os
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -142,26 +143,26 @@ def _mixed(n: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def cuts(ids: np.ndarray, words: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream; they depend on nothing but the ids near them and the chunk's start."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    g = words[ids & (len(words) - 1)]
-    h, k = g, 1
+def candidates(ids: np.ndarray, words: np.ndarray) -> list[int]:
+    """Places after which a chunk may end, ascending. Each depends on the REACH ids before it only, which lie in the chunk."""
+    if len(ids) < REACH:
+        return []
+    h, k = words[ids & (len(words) - 1)], 1
     while k < REACH:  # sums over twice as many ids each time
-        h = np.concatenate([h[:k], h[k:] + (h[:-k] << np.uint64(k))])
+        h[k:] += h[:-k] << np.uint64(k)
         k *= 2
-    ends = np.flatnonzero((h >> np.uint64(40)) & np.uint64(MEAN - 1) == 0) + 1
-    out, start, i = [], 0, 0
-    while n - start > LEAST:
-        while i < len(ends) and ends[i] < start + LEAST:
-            i += 1
-        end = min(n, start + MOST, int(ends[i]) if i < len(ends) else n)
-        out.append(end)
-        start = end
-    if start < n:
-        out.append(n)
+    return (np.flatnonzero((h >> np.uint64(40)) & np.uint64(MEAN - 1) == 0) + 1).tolist()
+
+
+def cuts(places: list[int], start: int, stop: int) -> list[int]:
+    """Ends of the chunks of the stream between two places, given the candidates: the first after LEAST ids, MOST at most."""
+    out = []
+    while stop - start > LEAST:
+        i = bisect_left(places, start + LEAST)
+        start = min(stop, start + MOST, places[i] if i < len(places) else stop)
+        out.append(start)
+    if start < stop:
+        out.append(stop)
     return out
 
 
@@ -199,24 +200,32 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
         encoder, words, met = encoder_of(tokenizer, end_id), _mixed(1 << 16), set()
         for batch in batches:
             for part in parts_of(batch, AT_ONCE):
-                rows = []
-                for raw in encoder(part.column(1).to_pylist()):
-                    ids = np.frombuffer(raw, dtype=f"<u{encoder.width}")
-                    start, digests, data = 0, [], []
-                    for end in cuts(ids, words):
-                        piece = raw[start * encoder.width : end * encoder.width]
+                raws = encoder(part.column(1).to_pylist())
+                whole, width = b"".join(raws), encoder.width
+                places = candidates(np.frombuffer(whole, dtype=f"<u{width}"), words)
+                n, roots, digests, chunks, at = [], [], [], [], 0
+                ends_of, ends_new = [0], [0]
+                for raw in raws:
+                    stop = at + len(raw) // width
+                    n.append(stop - at)
+                    first = len(digests)
+                    for end in cuts(places, at, stop):
+                        piece = whole[at * width : end * width]
                         digest = sha256(piece).digest()
                         digests.append(digest)
                         if digest not in met:
                             if len(met) > REMEMBERED:
                                 met.clear()
                             met.add(digest)
-                            data.append((digest, encoder.width, piece))
-                        start = end
-                    rows.append((len(ids), merkle(digests), digests, [dict(zip(("digest", "width", "data"), d, strict=True)) for d in data]))
-                n, roots, digests, data = zip(*rows, strict=True)
-                chunk = pa.struct([("digest", pa.binary()), ("width", pa.int32()), ("data", pa.binary())])
-                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(roots, pa.binary()), pa.array(digests, pa.list_(pa.binary())), pa.array(data, pa.list_(chunk))]
+                            chunks.append((digest, piece))
+                        at = end
+                    roots.append(merkle(digests[first:]))
+                    ends_of.append(len(digests))
+                    ends_new.append(len(chunks))
+                fields = [pa.array([d for d, _ in chunks], pa.binary()), pa.array([width] * len(chunks), pa.int32()), pa.array([x for _, x in chunks], pa.binary())]
+                data = pa.ListArray.from_arrays(pa.array(ends_new, pa.int32()), pa.StructArray.from_arrays(fields, names=["digest", "width", "data"]))
+                recipe = pa.ListArray.from_arrays(pa.array(ends_of, pa.int32()), pa.array(digests, pa.binary()))
+                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(roots, pa.binary()), recipe, data]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "root", "digests", "chunks"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -224,7 +233,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     staging = f"{path}/staging"
     docs.select("doc_id", "text").mapInArrow(encode, schema).write.options(**FILES).parquet(staging)
     staged = spark.read.schema(schema).parquet(staging)
-    staged.select(F.inline("chunks")).dropDuplicates(["digest"]).write.options(**FILES).parquet(f"{path}/chunks")
+    staged.select(F.inline("chunks")).repartition("digest").dropDuplicates(["digest"]).write.options(**FILES).parquet(f"{path}/chunks")
     (
         staged.select("doc_id", "n_tokens", "root", "digests")
         .repartitionByRange("doc_id", "root")
@@ -270,9 +279,25 @@ def _product(a: int, b: int) -> int:
     return out
 
 
+@lru_cache(maxsize=4096)
+def _shifts(length: int) -> list[list[int]]:
+    """For each byte of a CRC and each value of it, what it becomes ``length`` bytes later."""
+    one = [_product(_shift(length), 1 << bit) for bit in range(32)]
+    out = []
+    for byte in range(4):
+        table = [0]
+        for bit in range(8):
+            table += [x ^ one[8 * byte + bit] for x in table]
+        out.append(table)
+    return out
+
+
 def joined_crc(first: int, second: int, length: int) -> int:
     """CRC-32 of two byte strings in a row, from that of each and the second's length."""
-    return _product(_shift(length), first) ^ second
+    if not first:
+        return second
+    a, b, c, d = _shifts(length)
+    return a[first & 255] ^ b[first >> 8 & 255] ^ c[first >> 16 & 255] ^ d[first >> 24] ^ second
 
 
 def _checked_chunks(spark: SparkSession, path: str) -> DataFrame:
