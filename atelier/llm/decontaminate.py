@@ -69,7 +69,8 @@ HITS = "array<struct<s:int,e:int,items:array<string>>>"
 
 def _scan_sent(docs: DataFrame, found: list, text: str) -> DataFrame:
     """Adds _ws and _hits: the hash set and the windows travel with the plan, so nothing is shuffled."""
-    split = docs.withColumn("_ws", words(F.col(text)))
+    # a generator's rows, as a projection would be written out again wherever a filter on _hits names it
+    split = docs.select("*", F.explode(F.array(words(F.col(text)))).alias("_ws"))
     spans = [F.array().cast(HITS)]
     for n in sorted({r["n"] for r in found}):
         own = sorted((r for r in found if r["n"] == n), key=lambda r: r["h"])
