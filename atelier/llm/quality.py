@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -27,6 +26,25 @@ RULES = {
 BINS = 100
 
 
+def repeated_words(words: list[bytes]) -> int:
+    """Words inside 3-word windows that are found twice or more. Words are numbers here, so that very long texts take little memory."""
+    if len(words) < 4:
+        return 0
+    known: dict[bytes, int] = {}
+    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64, count=len(words))
+    if len(known) == len(words):
+        return 0
+    pairs = ids[:-1] * len(known) + ids[1:]
+    if len(known) >= 1 << 21:  # three numbers would not fit 64 bits
+        pairs = np.unique(pairs, return_inverse=True)[1]
+    _, which, counts = np.unique(pairs[:-1] * len(known) + ids[2:], return_inverse=True, return_counts=True)
+    found = counts[which] > 1
+    inside = np.zeros(len(words), dtype=bool)
+    for k in range(3):
+        inside[k : k + len(found)] |= found
+    return int(inside.sum())
+
+
 def measure(text: str | None) -> tuple[int, ...]:
     """The metrics of one text, in the order of METRICS."""
     text = text or ""
@@ -34,18 +52,9 @@ def measure(text: str | None) -> tuple[int, ...]:
     words = raw.split()  # on bytes: ASCII white space only
     chars = len(text) - sum(map(text.count, SPACES))
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    repeated = 0
-    counts = Counter(windows)
-    if len(counts) < len(windows):
-        end = 0
-        for i, w in enumerate(windows):
-            if counts[w] > 1:
-                repeated += i + 3 - max(i, end)
-                end = i + 3
     letters = np.frombuffer(raw, dtype=np.uint8)
     upper = int(np.count_nonzero((letters >= 65) & (letters <= 90)))
-    return (len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), text.count("!"), upper)
+    return (len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(lines), text.count("!"), upper)
 
 
 def metrics(text: str) -> Column:
