@@ -26,7 +26,7 @@ LEAST, MEAN, MOST, REACH = 64, 256, 1024, 16
 #: How the store's files are written; small row groups keep writers' memory low.
 FILES = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 #: Words whose ids a worker remembers before it starts anew, chunks likewise, and characters that are encoded at once.
-REMEMBERED, AT_ONCE = 700_000, 3_000_000
+REMEMBERED, AT_ONCE = 250_000, 1_500_000
 #: Where a text has only these characters and no two blanks in a row, the library cuts it before each space.
 PLAIN = re.compile("[\n!-~À-ÖØ-öø-ɏ]*(?: [\n!-~À-ÖØ-öø-ɏ]+)*")
 #: Texts in which each stop and comma is a piece of its own if it isn't next to another one or after a space; those are cut off, and must end a word.
