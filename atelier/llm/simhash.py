@@ -103,7 +103,12 @@ def keep_one(docs: DataFrame, distance: int = 2) -> DataFrame:
     Rows that share the doc_id of a document that stays are repeats of it and one of them stays.
     Rows without a doc_id stay.
     """
-    classes = stored(near_duplicates(docs.select("doc_id", "text"), distance).select("doc_id", "component_id"), "classes")
+    return without_copies(docs, near_duplicates(docs.select("doc_id", "text"), distance))
+
+
+def without_copies(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """As keep_one, by classes that are already known: doc_id and component_id of every document."""
+    classes = stored(named.select("doc_id", "component_id"), "classes")
     gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = classes.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1")
