@@ -135,9 +135,11 @@ class Page:
                 else:
                     names += " " + value
         signature = f"{name}.{' '.join(sorted(_words(names) - {''}))}" if names else name
-        node = xxhash.xxh64_intdigest(signature, parent) if len(self.stack) <= DEPTH else parent
+        node = xxhash.xxh64_intdigest(signature, parent) if len(self.stack) <= DEPTH and name not in INLINE else parent
         centre = name in CENTRE
-        useless = (name in BOILERPLATE or role in ROLES or (name == "header" and not inside) or (name not in ("html", "body") and names and not NAMES.isdisjoint(_words(names)))) or node in self.low
+        named = name not in ("html", "body", *CENTRE) and names and not NAMES.isdisjoint(_words(names))
+        # what a host repeats within an article or in place of one may still be its text
+        useless = name in BOILERPLATE or role in ROLES or (name == "header" and not inside) or named or (not (inside or centre) and node in self.low)
         if self.count and node != parent:
             if self.last.get(parent) != signature:
                 self.style[parent] = crc32(signature.encode(), self.style.get(parent, 0))
@@ -192,8 +194,10 @@ def extract(pages: DataFrame, threshold: float = 0.2, least_pages: int = 10) ->
     """Main text of every page: page_id, url, text and n_chars (code points).
 
     pages: page_id, url and html; other columns are ignored. Removed are branches whose importance in
-    their host's tree is under ``threshold`` where ``least_pages`` differing pages show it, and those that
-    an element, role, class or id names as boilerplate. If an article or main element has text left,
+    their host's tree is under ``threshold`` where ``least_pages`` differing pages show it, unless they are
+    an article or main element or lie in one, and those that an element, role, class or id names as
+    boilerplate; a class or id never removes an article or main element. Inline elements are part of
+    the branch around them. If an article or main element has text left,
     that is the page's text, else what is left of the page. Blocks are joined by one space, and so is
     white space in them. Null and empty pages have an empty text; a null url belongs to the host
     without name; repeated rows give the same; an empty table gives an empty result.
