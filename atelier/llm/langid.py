@@ -18,6 +18,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Longest piece looked at, longest run of letters scored in one go (longer runs are cut, every letter counts), words of a worker's memory, characters scored at once.
 LONGEST, RUN, REMEMBERED, AT_ONCE = 16, 40, 300_000, 2_000_000
 FLOOR = 1e-8
+#: Factor a letter that keeps a long run's probability within a double; a power of two, so that nothing is rounded.
+SCALE = 2.0**13
 
 
 def words_of(text: str | None) -> list[str]:
@@ -87,8 +89,9 @@ class Segmentations:
                     yield i, j, m, self.order[at[m]]
 
     def _weights(self, i: int, j: int, ids: np.ndarray) -> np.ndarray:
+        """Probabilities of pieces, times ``SCALE`` for each of their letters."""
         p = self.p[ids]
-        return np.maximum(p, FLOOR) if i == j - 1 else p
+        return (np.maximum(p, FLOOR) if i == j - 1 else p) * SCALE ** (j - i)
 
     def log_probability(self, words: list[str]) -> np.ndarray:
         """A row a word and a column a language, by the forward algorithm."""
@@ -98,7 +101,7 @@ class Segmentations:
             alpha[0] = 1.0
             for i, j, m, ids in self._arcs(prefix):
                 alpha[j][m] += alpha[i][m] * self._weights(i, j, ids)
-            out[part] = np.log(alpha[-1])
+            out[part] = np.log(alpha[-1]) - (len(prefix) - 1) * np.log(SCALE)
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, language: int) -> np.ndarray:
