@@ -66,3 +66,23 @@ def to_canvas(x: Column, y: Column, w: Column, h: Column, orientation: Column, f
     dw, dh = F.when(q % 2 == 1, h).otherwise(w), F.when(q % 2 == 1, w).otherwise(h)
     mx, my = F.when(flip_h, dw - 1 - x).otherwise(x), F.when(flip_v, dh - 1 - y).otherwise(y)
     return rotate(mx, my, dw, dh, (4 - q) % 4)
+
+
+def _rect(move, rect: tuple[Column, Column, Column, Column], *how) -> tuple[Column, Column, Column, Column]:
+    """A half-open rectangle whose extreme points are moved; an empty one is all zeros."""
+    x0, y0, x1, y1 = rect
+    ax, ay = move(x0, y0, *how)
+    bx, by = move(x1 - 1, y1 - 1, *how)
+    some = (x1 > x0) & (y1 > y0)
+    out = (F.least(ax, bx), F.least(ay, by), F.greatest(ax, bx) + 1, F.greatest(ay, by) + 1)
+    return tuple(F.when(some, v).otherwise(0) for v in out)
+
+
+def rect_to_display(rect: tuple[Column, Column, Column, Column], w: Column, h: Column, orientation: Column, flip_h: Column, flip_v: Column) -> tuple[Column, Column, Column, Column]:
+    """Where a rectangle of the canvas is shown: x0, y0, x1, y1."""
+    return _rect(to_display, rect, w, h, orientation, flip_h, flip_v)
+
+
+def rect_to_canvas(rect: tuple[Column, Column, Column, Column], w: Column, h: Column, orientation: Column, flip_h: Column, flip_v: Column) -> tuple[Column, Column, Column, Column]:
+    """The rectangle of the canvas that is shown at a place."""
+    return _rect(to_canvas, rect, w, h, orientation, flip_h, flip_v)

@@ -28,3 +28,13 @@ def human_bytes(n: Column) -> Column:
 
 def first_line(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)
+
+
+def size_of(value: Column) -> tuple[Column, Column]:
+    """The two numbers of a size such as ``{1536, 2048.5}``, cut to whole ones; null where it can't be read."""
+    inner = F.regexp_replace(F.regexp_replace(F.trim(value), r"^\{", ""), r"\}$", "")
+    parts = F.split(inner, ",", 2)
+    number = lambda k: F.trim(F.get(parts, F.lit(k))).try_cast("double")
+    whole = lambda v: F.when(v.isNotNull(), F.when(v < 0, F.ceil(v)).otherwise(F.floor(v))).cast("long")
+    both = number(0).isNotNull() & number(1).isNotNull()
+    return F.when(both, whole(number(0))), F.when(both, whole(number(1)))

@@ -36,3 +36,8 @@ def coverage(df: DataFrame, levels: list[str], hit: Column) -> DataFrame:
     """Valid and covered rows and their rate at every level of a rollup: levels, valid, covered, rate."""
     rolled = df.rollup(*levels).agg(F.count(F.lit(1)).alias("valid"), F.count_if(hit).alias("covered"))
     return rolled.withColumn("rate", F.round(F.col("covered") / F.col("valid"), 4))
+
+
+def has_video(tracks: DataFrame, group: list[str]) -> DataFrame:
+    """Whether a group's tracks hold video: group, has_video."""
+    return tracks.groupBy(*group).agg(F.bool_or(F.col("handler") == "vide").alias("has_video"))

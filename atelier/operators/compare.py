@@ -24,6 +24,13 @@ def differ_text(fields: Column) -> Column:
     )
 
 
+def differing_fields(rows: DataFrame, group: list[str], order: str, differs: str = "differs", out: str = "fields") -> DataFrame:
+    """The distinct fields of each group's rows in the order in which they occur first: group, fields."""
+    each = rows.select(*group, F.col(order).alias("_o"), F.posexplode(differs).alias("_pos", "_field"))
+    first = each.groupBy(*group, "_field").agg(F.min(F.struct("_o", "_pos")).alias("_at"))
+    return first.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_at", "_field"))).alias("_f")).select(*group, F.col("_f._field").alias(out))
+
+
 def presence(wanted: DataFrame, done: DataFrame, group: list[str], key: str) -> DataFrame:
     """Whether none, some or all of each group's keys are in ``done``: group, n_wanted, n_done, state."""
     marked = wanted.join(done.select(key).distinct().withColumn("_done", F.lit(1)), key, "left")

@@ -17,14 +17,21 @@ def stem(path: Column, extension: str = ".procreate") -> Column:
 
 
 def _numbered(rows: pd.DataFrame) -> pd.DataFrame:
-    """Each name in order, or the first of ``name-2``, ``name-3`` ... that isn't used yet."""
-    used: set[tuple[str, str]] = set()
+    """Each name in order, or the first of ``name-2``, ``name-3`` ... that isn't used yet.
+
+    Names are never given back, so the search for a name goes on where the last one for it ended.
+    """
+    used: set[str] = set()  # the rows are of one folder
+    last: dict[str, int] = {}
     names = []
-    for folder, base in zip(rows["_dir"], rows["_base"], strict=True):
-        name, n = base, 2
-        while (folder, name.lower()) in used:
-            name, n = f"{base}-{n}", n + 1
-        used.add((folder, name.lower()))
+    for base in rows["_base"]:
+        fold = base.lower()
+        name, n = base, last.get(fold, 2)
+        if fold in used:
+            while (name := f"{base}-{n}").lower() in used:
+                n += 1
+            last[fold] = n + 1
+        used.add(name.lower())
         names.append(name)
     return rows.assign(_name=names)
 

@@ -55,26 +55,55 @@ def _all_equal(group: list[str]) -> Column:
     return out
 
 
-def expand_runs(df: DataFrame, group: list[str], first: str, end: Column | str, out: str = "at") -> DataFrame:
-    """Each row repeated for every number from ``first`` to the row before the next row's ``first``; the last row's run ends at ``end``."""
-    w = Window.partitionBy(*group).orderBy(first)
-    stop = F.coalesce(F.lead(first).over(w) - 1, F.col(end) if isinstance(end, str) else end)
-    spread = df.withColumn("_stop", stop).where(F.col("_stop") >= F.col(first))
-    return spread.select("*", F.explode(F.sequence(F.col(first), F.col("_stop"))).alias(out)).drop("_stop")
+def expand_runs(df: DataFrame, group: list[str], first: str, end: Column | str, out: str = "at", width: int = 4096) -> DataFrame:
+    """Each row repeated for every number from ``first`` to the row before the next row's ``first``; the last row's run ends at ``end``.
 
+    Rows are ordered in stretches of ``width`` numbers; where a stretch ends, the least number of the
+    next one is the next row's. So a group of any size is spread over as many tasks as it has stretches.
+    """
+    cut = df.withColumn("_cut", F.floor(F.col(first) / width).cast("long"))
+    least = cut.groupBy(*group, "_cut").agg(F.min(first).alias("_least"))
+    after = F.lead("_least").over(Window.partitionBy(*group).orderBy("_cut"))
+    following = least.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_cut").alias("_c"), after.alias("_after"))
+    inside = F.lead(first).over(Window.partitionBy(*group, "_cut").orderBy(first))
+    placed = cut.withColumn("_next", inside).join(following, (F.col("_cut") == F.col("_c")) & _all_equal(group))
+    stop = F.coalesce(F.coalesce("_next", "_after") - 1, F.col(end) if isinstance(end, str) else end)
+    spread = placed.withColumn("_stop", stop).where(F.col("_stop") >= F.col(first))
+    return spread.select(*df.columns, F.explode(F.sequence(F.col(first), F.col("_stop"))).alias(out))
+
+
+def fold(
+    df: DataFrame, group: list[str], order: str, value: str, start: Column, step: Callable[[Column, Column], Column], states: int, out: str = "folded", width: int = 1 << 16
+) -> DataFrame:
+    """Fold of each group's values in order, for steps that lead from one of the states 0 to ``states`` - 1 to another.
+
+    Such a fold can be cut: a group is folded in blocks of ``width`` numbers of the integer order key, the
+    first from ``start`` and each other from every state at once, which gives a table from the state
+    before the block to that after it; the tables are then followed in order. So no task holds more
+    of a group than a block, and one row a block. Equal keys are taken in the order of values.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    blocks = df.withColumn("_block", F.floor(F.col(order) / width).cast("long")).groupBy(*group, "_block").agg(rows.alias("_rows"))
+    begins = F.row_number().over(Window.partitionBy(*group).orderBy("_block")) == 1
+    run = lambda state: F.aggregate("_rows", state.cast("long"), lambda acc, r: step(acc, r["v"]).cast("long"))
+    table = F.when(begins, F.array(run(start))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(states - 1)), run))
+    tables = blocks.select(*group, "_block", table.alias("_table")).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_block", "_table"))).alias("_t"))
+    followed = F.aggregate("_t", F.lit(0).cast("long"), lambda state, t: F.get(t["_table"], state.cast("int")))
+    return tables.select(*group, followed.alias(out))
 
-def run_ranges(df: DataFrame, group: list[str], number: str) -> DataFrame:
-    """Distinct numbers as the ranges up to the next one: group, lo, hi; the last range is open (null)."""
-    w = Window.partitionBy(*group).orderBy(number)
-    return df.select(*group, F.col(number).alias("lo")).distinct().withColumn("hi", F.lead("lo").over(Window.partitionBy(*group).orderBy("lo")) - 1) if not group else (
-        df.select(*group, number).distinct().select(*group, F.col(number).alias("lo"), (F.lead(number).over(w) - 1).alias("hi"))
-    )
 
+def numbered(df: DataFrame, order: list[str], out: str = "place") -> DataFrame:
+    """Adds the number, from 1, of each row in a total order over all rows.
 
-def fold(df: DataFrame, group: list[str], order: str, value: str, start: Column, step: Callable[[Column, Column], Column], out: str = "folded") -> DataFrame:
-    """Fold of each group's values in order; for steps that can't be combined, so a group must fit in a task."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    return df.groupBy(*group).agg(F.aggregate(rows, start, lambda acc, r: step(acc, r["v"])).alias(out))
+    Rows are dealt to tasks by ranges of the order; each task numbers its own, beginning after the rows
+    of the ranges before it. What meets in one task is a count a range.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(tasks, *order).withColumn("_range", F.spark_partition_id())
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return own.join(F.broadcast(counts.select("_range", before.alias("_before"))), "_range").select(*df.columns, (F.col("_before") + F.col("_own")).cast("long").alias(out))
 
 
 def not_increasing(df: DataFrame, group: list[str], order: list[str], value: str, strict: bool = True) -> DataFrame:

@@ -14,18 +14,20 @@ def flatten(nodes: DataFrame, depth: int = 32) -> DataFrame:
 
     nodes: tree, id, parent (null for roots), ord (place among siblings, first on top). path is the
     array of ``-ord`` from the root, so sorting by it lists the bottom-most first. Levels beyond ``depth``
-    are left out, which also ends cycles.
+    are left out, and so are cycles and nodes whose parent is missing. Each round joins every node with
+    the ancestor that it has reached, whose own way up is as long, so ``depth`` levels take the logarithm
+    of it in rounds.
     """
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("_tree_nodes")
-    walk = f"""
-        WITH RECURSIVE walk(tree, id, depth, path) AS (
-            SELECT tree, id, 0, array(-ord) FROM _tree_nodes WHERE parent IS NULL
-            UNION ALL
-            SELECT n.tree, n.id, w.depth + 1, concat(w.path, array(-n.ord))
-            FROM walk w JOIN _tree_nodes n ON n.tree = w.tree AND n.parent = w.id WHERE w.depth + 1 < {depth})
-        SELECT * FROM walk"""
-    return nodes.join(spark.sql(walk), ["tree", "id"])
+    ways = nodes.select("tree", "id", F.col("parent").alias("top"), F.array(-F.col("ord")).alias("path"))
+    for _ in range(max(1, (depth - 1).bit_length())):
+        above = ways.select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), F.col("top").alias("_top"), F.col("path").alias("_path"))
+        risen = ways.join(above, (F.col("tree") == F.col("_tree")) & (F.col("top") == F.col("_id")), "left")
+        ended = F.col("top").isNull()
+        ways = risen.where(ended | F.col("_id").isNotNull()).select(
+            "tree", "id", F.when(~ended, F.col("_top")).alias("top"), F.when(ended, F.col("path")).otherwise(F.concat("_path", "path")).alias("path")
+        )
+    whole = ways.where(F.col("top").isNull() & (F.size("path") <= depth)).select("tree", "id", (F.size("path") - 1).alias("depth"), "path")
+    return nodes.join(whole, ["tree", "id"])
 
 
 def records(flat: DataFrame) -> DataFrame:

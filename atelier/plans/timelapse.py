@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atelier.functions import codecs
 from atelier.operators import compare, gaps, sequences
 
 SEGMENT = r"(?iu)\Avideo/segments/segment-([0-9]+)\.mp4\z"
@@ -41,7 +42,7 @@ def listing(members: DataFrame) -> DataFrame:
         .when(F.col("missing").isNotNull(), F.concat(F.lit("segment numbers missing: "), "missing", F.lit(" (the video would have gaps)")))
     )
     joined = each.join(missing, "path", "left").join(clash, "path", "left")
-    return joined.select("path", "n_segments", "first", "last", "n_ignored", "missing", "clash", code.alias("code"), problem.alias("problem"))
+    return joined.select("path", "n_segments", "first", "last", "n_ignored", "missing", "clash", code.alias("code"), problem.alias("problem"), "error")
 
 
 def slim_members(members: DataFrame) -> DataFrame:
@@ -55,18 +56,97 @@ def slim_totals(members: DataFrame) -> DataFrame:
     return classified(members).groupBy("path").agg(F.count_if(~gone).alias("kept"), F.count_if(gone).alias("removed"), F.sum(F.when(gone, F.col("packed")).otherwise(0)).alias("removed_bytes"))
 
 
-FIELDS = ["handler", "fourcc", "width", "height", "rate", "channels", "timescale", "config"]
+#: What two tracks must share, in the order of reports: the column and its name there.
+FIELDS = {
+    "kind": "stream type", "handler": "handler", "fourcc": "codec fourcc", "width": "width", "height": "height", "rate": "sample rate",
+    "channels": "channels", "timescale": "timescale", "config_key": "codec configuration", "matrix": "color matrix",
+}
 
 
-def compatibility(tracks: DataFrame) -> DataFrame:
-    """Segments that can't be joined to their archive's first: path, number, problem. tracks: with number."""
+def compatibility(tracks: DataFrame, movies: DataFrame | None = None) -> DataFrame:
+    """Segments that can't be joined to their archive's first: path, number, problem. tracks, movies: with number.
+
+    Tracks are compared by position, then the time scales of the movies. Configurations are compared by
+    their key, so that those which differ in the number of reference frames only can be joined; one
+    that differs is named by its box where both have the same.
+    """
+    kind = F.when(F.col("handler") == "vide", "video").otherwise("audio")
+    tracks = tracks.withColumn("kind", kind)
     counts = tracks.groupBy("path", "number").agg(F.count(F.lit(1)).alias("stream count"))
     odd = compare.against_first(counts, ["path"], "number", ["stream count"]).where(F.size("differs") > 0).select("path", "number", "differs")
     same = tracks.join(odd.select("path", "number"), ["path", "number"], "left_anti")
-    diff = compare.against_first(same.select("path", "number", "track", *FIELDS), ["path", "track"], "number", FIELDS)
-    found = diff.where(F.size("differs") > 0).groupBy("path", "number").agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("track", "differs"))), lambda r: r["differs"]))).alias("differs"))
-    both = odd.unionByName(found)
-    return both.select("path", "number", compare.differ_text(F.col("differs")).alias("problem"))
+    boxed = [*FIELDS, "config_box"]
+    diff = compare.against_first(same.select("path", "track", "number", *boxed), ["path", "track"], "number", boxed)
+    naming = F.create_map(*[F.lit(x) for pair in FIELDS.items() for x in pair])
+    own_box = ~F.array_contains("differs", "config_box") & F.col("config_box").isNotNull()
+    key = F.when(F.array_contains("differs", "config_box"), F.array_union(F.array_remove("differs", "config_box"), F.array(F.lit("config_key")))).otherwise(F.col("differs"))
+    order = F.filter(F.array(*map(F.lit, FIELDS)), lambda f: F.array_contains(key, f))
+    named = F.transform(order, lambda f: F.when((f == "config_key") & own_box, F.col("config_box")).otherwise(F.try_element_at(naming, f)))
+    found = diff.where(F.size("differs") > 0).select("path", "number", F.col("track").cast("long").alias("at"), named.alias("differs"))
+    if movies is not None:
+        scales = compare.against_first(movies.select("path", "number", "movie_timescale"), ["path"], "number", ["movie_timescale"])
+        scales = scales.join(odd.select("path", "number"), ["path", "number"], "left_anti").where(F.size("differs") > 0)
+        found = found.unionByName(scales.select("path", "number", F.lit(1 << 40).alias("at"), F.array(F.lit("mvhd timescale")).alias("differs")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "differs"))), lambda r: r["differs"])
+    merged = found.groupBy("path", "number").agg(F.array_distinct(F.flatten(listed)).alias("differs"))
+    return odd.unionByName(merged).select("path", "number", compare.differ_text(F.col("differs")).alias("problem"))
+
+
+def joined_description(tracks: DataFrame) -> DataFrame:
+    """The sample description of each joined track: path, track, number, description.
+
+    It is that of the segment with the most reference frames, the earliest of them; the first
+    segment's where no configuration tells them.
+    """
+    rank = F.struct(F.coalesce(F.when(F.col("config_box") == "avcC", F.col("references")), F.lit(-1)), -F.col("number"))
+    best = F.max_by(F.struct("number", "description"), rank)
+    return tracks.groupBy("path", "track").agg(best.alias("b")).select("path", "track", "b.number", "b.description")
+
+
+def described(tracks: DataFrame) -> DataFrame:
+    """Adds codec, pixel_format and a text such as ``video h264 320x240 yuv420p`` to each track."""
+    named = tracks.withColumn("codec", codecs.codec_name(F.col("fourcc"))).withColumn("pixel_format", codecs.pixel_format(F.col("handler"), F.col("config_box"), F.col("chroma")))
+    video = F.format_string("video %s %dx%d %s", "codec", "width", "height", "pixel_format")
+    audio = F.format_string("audio %s %dHz %dch", "codec", F.coalesce("rate", F.lit(0)), F.coalesce("channels", F.lit(0)))
+    return named.withColumn("text", F.when(F.col("handler") == "vide", video).otherwise(audio))
+
+
+def streams_summary(tracks: DataFrame) -> DataFrame:
+    """path, number, streams: the texts of a segment's tracks in order."""
+    rows = described(tracks).groupBy("path", "number").agg(F.array_sort(F.collect_list(F.struct("track", "text"))).alias("r"))
+    return rows.select("path", "number", F.array_join(F.col("r.text"), ", ").alias("streams"))
+
+
+def total_duration(stts: Column) -> Column:
+    """Sum of all sample durations of a table."""
+    return F.aggregate(stts, F.lit(0).cast("long"), lambda a, e: a + e["count"] * e["delta"])
+
+
+def merged_composition(tracks: DataFrame) -> DataFrame:
+    """Runs of equal composition offsets of each joined track that has them in any segment: path, track, run, offset, count. A segment without them counts as offset 0."""
+    any_table = F.max(F.col("ctts").isNotNull()).over(Window.partitionBy("path", "track"))
+    plain = F.array(F.struct(F.size("sizes").cast("long").alias("count"), F.lit(0).cast("long").alias("offset")))
+    rows = tracks.withColumn("_any", any_table).where("_any").select("path", "track", "number", F.posexplode(F.coalesce("ctts", plain)).alias("pos", "e"))
+    flat = rows.select("path", "track", "number", "pos", F.col("e.count").alias("n"), "e.offset").where("n > 0")
+    joined = sequences.runs(flat, ["path", "track"], ["number", "pos"], ["offset"], total="n")
+    return joined.select("path", "track", "run", "offset", F.col("n").alias("count"))
+
+
+def merged_sizes(tracks: DataFrame) -> DataFrame:
+    """Sizes of each joined track as its table holds them: path, track, n_samples, uniform (the one size of all samples, or 0)."""
+    own = tracks.select("path", "track", F.size("sizes").alias("n"), F.array_min("sizes").alias("lo"), F.array_max("sizes").alias("hi"))
+    low, high = F.min("lo"), F.max("hi")
+    return own.groupBy("path", "track").agg(F.sum("n").alias("n_samples"), F.when(low == high, low).otherwise(0).alias("uniform"))
+
+
+def joined_durations(tracks: DataFrame, movies: DataFrame) -> DataFrame:
+    """Sums of the durations that headers state: path, track (null for the movie), duration, media_duration, samples_duration."""
+    sums = tracks.groupBy("path", "track").agg(
+        F.sum("track_duration").alias("duration"), F.sum("media_duration").alias("media_duration"), F.sum(total_duration(F.col("stts"))).alias("samples_duration")
+    )
+    whole = movies.groupBy("path").agg(F.sum("movie_duration").alias("duration"))
+    none = F.lit(None)
+    return sums.unionByName(whole.select("path", none.cast("int").alias("track"), "duration", none.cast("long").alias("media_duration"), none.cast("long").alias("samples_duration")))
 
 
 def merged_durations(tracks: DataFrame) -> DataFrame:
@@ -117,12 +197,29 @@ def media_layout(movies: DataFrame, head: int = 8) -> DataFrame:
     return body.withColumn("base", F.coalesce(F.sum(F.col("bytes") + head).over(before), F.lit(0)) + head)
 
 
-def merged_offsets(tracks: DataFrame, movies: DataFrame, head: int = 8) -> DataFrame:
-    """Offsets of the joined track's chunks from the start of the first media box, and whether they fit 32 bits: path, track, chunk, offset, fits."""
+def merged_offsets(tracks: DataFrame, movies: DataFrame, head: int = 8, header: int = 0) -> DataFrame:
+    """Offsets of the joined track's chunks, and whether they fit 32 bits: path, track, chunk, offset, fits.
+
+    Offsets count from the start of the first media box, ``header`` bytes (of the boxes before it) after
+    that of the file; ``fits`` is about offsets in the file, for all tracks of it.
+    """
     laid = media_layout(movies, head).join(movies.select("path", "number", "mdat_start"), ["path", "number"])
     rows = _shifts(tracks).join(laid, ["path", "number"]).select("path", "track", "chunk_shift", "base", "mdat_start", F.posexplode("chunks").alias("pos", "at"))
     moved = rows.select("path", "track", (F.col("pos") + 1 + F.col("chunk_shift")).alias("chunk"), (F.col("at") - F.col("mdat_start") - head + F.col("base")).alias("offset"))
-    return moved.withColumn("fits", F.max("offset").over(Window.partitionBy("path")) < F.lit(1 << 32))
+    most = moved.groupBy("path").agg((F.max("offset") + header < F.lit(1 << 32)).alias("fits"))
+    return moved.join(most, "path")
+
+
+def offset_form(tracks: DataFrame, movies: DataFrame, head: int = 8, header: int = 0) -> DataFrame:
+    """Whether the joined file's chunk tables need 8 bytes an offset: path, n_chunks, header (bytes before the media), wide.
+
+    The header is as long as its tables make it: the narrow form is tried first, and if an offset leaves
+    32 bits in it, the wide form adds 4 bytes a chunk, which never makes an offset fit again.
+    """
+    laid = merged_offsets(tracks, movies, head)
+    whole = laid.groupBy("path").agg(F.count(F.lit(1)).alias("n_chunks"), F.max("offset").alias("last"))
+    wide = F.col("last") + F.lit(header) + 4 * F.col("n_chunks") >= F.lit(1 << 32)
+    return whole.select("path", "n_chunks", (F.lit(header) + F.col("n_chunks") * F.when(wide, 8).otherwise(4)).alias("header"), wide.alias("wide"))
 
 
 def durations(movies: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ def test_plan_of_the_joined_file(spark, folder):
 def test_what_does_not_match_the_first(spark, folder):
     tracks, _ = segments(spark, folder, "odd")
     got = {r.number: r.problem for r in timelapse.compatibility(tracks).collect()}
-    assert got == {2: 'field "config" differs', 3: 'field "stream count" differs'}
+    assert got == {2: 'field "avcC" differs', 3: 'field "stream count" differs'}
 
 
 def test_damaged_boxes_are_rows(spark):
