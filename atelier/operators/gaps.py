@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,9 +23,14 @@ def gap_ranges(df: DataFrame, group: list[str], number: str) -> DataFrame:
     )
 
 
+def range_text(lo: Column, hi: Column) -> Column:
+    """``3`` or ``3-7``."""
+    return F.when(lo == hi, lo.cast("string")).otherwise(F.concat_ws("-", lo, hi))
+
+
 def ranges_text(ranges: DataFrame, group: list[str]) -> DataFrame:
     """Ranges of each group as text such as ``1-3, 7, 9-10``, and their number."""
-    one = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("-", "lo", "hi"))
+    one = range_text(F.col("lo"), F.col("hi"))
     return (
         ranges.groupBy(*group)
         .agg(F.array_sort(F.collect_list(F.struct("lo", one.alias("s")))).alias("_r"))

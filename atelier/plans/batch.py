@@ -102,6 +102,12 @@ def listing_text(listing: DataFrame) -> DataFrame:
     return listing.select("path", text.alias("report"))
 
 
+def diagnosed(listing: DataFrame) -> DataFrame:
+    """One row: archives that can be used, have no video, or failed, and the exit code; an archive without video is no failure."""
+    counts = [F.count_if(F.col("code") == 0).alias("fine"), F.count_if(F.col("code") == 4).alias("no_video"), F.count_if(F.col("code").isin(3, 5)).alias("failed")]
+    return listing.agg(*counts).withColumn("exit_code", F.when(F.col("failed") > 0, FAILED).otherwise(0))
+
+
 def project_files(files: DataFrame, output: str) -> DataFrame:
     """Files below the output's projects, as they are named in the packed archive: path, name; in the order of names."""
     root = f"{output}/{PROJECTS}/"

@@ -513,3 +513,62 @@ def compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def has_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") == "click", "vide").otherwise("soun").alias("handler"))
     return aggregates.has_video(kinds, ["user_id"])
+
+
+@query(_MEMBERS_SQL + """
+    , c AS (SELECT path, CASE WHEN any_value(clash) IS NOT NULL THEN 5 WHEN count(*) FILTER (kind IN ('a', 'b')) > 0 THEN 0 WHEN count(*) FILTER (kind = 'c') > 0 THEN 5 ELSE 4 END AS code
+            FROM k LEFT JOIN clash USING (path) GROUP BY path)
+    SELECT count(*) FILTER (code = 0) AS fine, count(*) FILTER (code = 4) AS no_video, count(*) FILTER (code = 5) AS failed, CASE WHEN count(*) FILTER (code = 5) > 0 THEN 1 ELSE 0 END AS exit_code FROM c
+""")
+def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.diagnosed(timelapse.listing(_members(spark, sf_dir)))
+
+
+@query(_MEMBERS_SQL + "SELECT path, bool_or(kind IN ('a', 'b')) AS has_timelapse FROM k GROUP BY path")
+def has_timelapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.has_timelapse(_members(spark, sf_dir), timelapse.SEGMENT)
+
+
+@query(_MEMBERS_SQL + "SELECT path, count(*) AS n_ignored FROM k WHERE kind = 'c' GROUP BY path")
+def ignored_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timelapse.classified(_members(spark, sf_dir)).where("ignored").groupBy("path").agg(F.count(F.lit(1)).alias("n_ignored"))
+
+
+@query("""
+    SELECT p_brand AS path, 'u/' || p_size || '~1.' || ['chunk', 'lz4', 'lz4c'][min(p_partkey % 3 + 1)::INT] AS name, p_size AS row, 1 AS col FROM part GROUP BY p_brand, p_size
+""")
+def tile_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tiles of three kinds, of which the preferred one is taken."""
+    kind = _pick(["chunk", "lz4", "lz4c"], F.col("p_partkey"))
+    named = _parts(spark, sf_dir).select(F.col("p_brand").alias("path"), F.concat(F.lit("u/"), "p_size", F.lit("~1."), kind).alias("name"))
+    return layers.tile_members(named).select("path", "name", "row", "col")
+
+
+@query("""
+    WITH f AS (SELECT l_orderkey, bit_xor(hash_x) AS x FROM (SELECT l_orderkey, (l_partkey * 2654435761) % 4294967296 AS hash_x FROM lineitem) GROUP BY l_orderkey)
+    SELECT l_orderkey, x AS number, CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END AS signed FROM f
+""")
+def big_endian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers written as four bytes and read again, unsigned and signed."""
+    mixed = table(spark, sf_dir, "lineitem").select("l_orderkey", F.pmod(F.col("l_partkey") * F.lit(2654435761), F.lit(1 << 32)).alias("x")).groupBy("l_orderkey").agg(F.bit_xor("x").alias("x"))
+    raw = mixed.select("l_orderkey", F.unhex(F.lpad(F.hex("x"), 8, "0")).alias("raw"))
+    return raw.select("l_orderkey", binary.unsigned_be(F.col("raw"), 0, 4).alias("number"), binary.signed_be(F.col("raw"), 0).alias("signed"))
+
+
+@query("SELECT p_partkey, regexp_full_match(f, '[ -~]{4}') AS is_fourcc FROM (SELECT p_partkey, substr(p_name, 1, (p_partkey % 3 + 3)::INT) AS f FROM part)")
+def fourcc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.expr("substr(p_name, 1, cast(p_partkey % 3 + 3 as int))")
+    return _parts(spark, sf_dir).select("p_partkey", binary.is_fourcc(code).alias("is_fourcc"))
+
+
+@query("SELECT DISTINCT l_discount AS v, floor(least(1, l_discount * 11) * 255 + 0.5)::INT AS byte FROM lineitem")
+def colour_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("v")).distinct().select("v", pixels.to_byte(F.col("v") * 11).alias("byte"))
+
+
+@query("SELECT c_custkey, c_custkey / (c_custkey % 600 + 1) AS seconds FROM customer")
+def seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A movie's duration over its time scale."""
+    key = F.col("c_custkey")
+    one = table(spark, sf_dir, "customer").select(key.alias("path"), F.lit(1).alias("number"), key.alias("movie_duration"), (key % 600 + 1).alias("movie_timescale"))
+    return timelapse.durations(one).select(F.col("path").alias("c_custkey"), "seconds")

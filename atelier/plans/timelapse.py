@@ -27,13 +27,15 @@ def classified(members: DataFrame) -> DataFrame:
 
 def listing(members: DataFrame) -> DataFrame:
     """A row an archive: path, n_segments, first, last, n_ignored, missing (as ``1-3, 7``), clash (smallest number that two members have), code, problem."""
-    rows = classified(members)
-    held = rows.where(F.col("number").isNotNull())
-    missing = gaps.ranges_text(gaps.gap_ranges(held, ["path"], "number"), ["path"]).select("path", "missing")
-    clash = held.groupBy("path", "number").count().where("count > 1").groupBy("path").agg(F.min("number").alias("clash"))
-    each = rows.groupBy("path").agg(
-        F.count("number").alias("n_segments"), F.min("number").alias("first"), F.max("number").alias("last"),
-        F.count_if("ignored").alias("n_ignored"), F.max("error").alias("error"),
+    own = F.col("number")
+    keyed = classified(members).groupBy("path", "number").agg(F.count(F.lit(1)).alias("n"), F.count_if("ignored").alias("n_ignored"), F.max("error").alias("error"))
+    following = F.lead("number").over(Window.partitionBy("path").orderBy("number"))
+    placed = keyed.withColumn("hole", F.when(own.isNotNull() & (following > own + 1), F.struct((own + 1).alias("lo"), (following - 1).alias("hi"))))
+    held = F.when(own.isNotNull(), F.col("n"))
+    texts = F.transform(F.array_sort(F.collect_list("hole")), lambda h: gaps.range_text(h["lo"], h["hi"]))
+    joined = placed.groupBy("path").agg(
+        F.coalesce(F.sum(held), F.lit(0)).alias("n_segments"), F.min("number").alias("first"), F.max("number").alias("last"), F.sum("n_ignored").alias("n_ignored"),
+        F.nullif(F.array_join(texts, ", "), F.lit("")).alias("missing"), F.min(F.when(held > 1, own)).alias("clash"), F.max("error").alias("error"),
     )
     code = F.when(F.col("error").isNotNull(), UNREADABLE).when(F.col("clash").isNotNull(), BAD).when(F.col("n_segments") > 0, OK).when(F.col("n_ignored") > 0, BAD).otherwise(NONE)
     problem = (
@@ -41,7 +43,6 @@ def listing(members: DataFrame) -> DataFrame:
         .when(F.col("clash").isNotNull(), F.concat(F.lit("several members are segment "), F.col("clash")))
         .when(F.col("missing").isNotNull(), F.concat(F.lit("segment numbers missing: "), "missing", F.lit(" (the video would have gaps)")))
     )
-    joined = each.join(missing, "path", "left").join(clash, "path", "left")
     return joined.select("path", "n_segments", "first", "last", "n_ignored", "missing", "clash", code.alias("code"), problem.alias("problem"), "error")
 
 

@@ -57,7 +57,7 @@ def members(files: DataFrame) -> DataFrame:
 
 
 def contents(files: DataFrame, name_pattern: str) -> DataFrame:
-    """Inflated members whose whole name matches: path, name, data, error. Sizes and CRCs are checked; each member is a row of its own."""
+    """Inflated members whose whole name matches: path, ord, name, data, error. Sizes and CRCs are checked; each member is a row of its own."""
     import re
 
     wanted = re.compile(name_pattern)
@@ -66,12 +66,31 @@ def contents(files: DataFrame, name_pattern: str) -> DataFrame:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 z, _ = _opened(content)
-                for m in z.infolist() if z else []:
+                for i, m in enumerate(z.infolist() if z else []):
                     if wanted.fullmatch(m.filename) and not m.is_dir():
                         try:
-                            row = (path, m.filename, z.read(m), None)
+                            row = (path, i, m.filename, z.read(m), None)
                         except Exception as e:  # a damaged member is a row, not the end of the job
-                            row = (path, m.filename, None, f"{type(e).__name__}: {e}")
-                        yield pd.DataFrame([row], columns=["path", "name", "data", "error"])
+                            row = (path, i, m.filename, None, f"{type(e).__name__}: {e}")
+                        yield pd.DataFrame([row], columns=["path", "ord", "name", "data", "error"])
 
-    return files.select("path", "content").mapInPandas(read, "path string, name string, data binary, error string")
+    return files.select("path", "content").mapInPandas(read, "path string, ord int, name string, data binary, error string")
+
+
+def first_of_name(rows: DataFrame) -> DataFrame:
+    """Of members with one name in an archive the first; rows of ``members`` or ``contents``."""
+    rest = [c for c in rows.columns if c not in ("path", "name")]
+    return rows.groupBy("path", "name").agg(F.min_by(F.struct(*rest), "ord").alias("m")).select("path", "name", "m.*")
+
+
+def ranged(rows: DataFrame, start: Column | int, size: Column | int) -> DataFrame:
+    """``contents`` cut to ``size`` bytes from a 0-based start. The whole member was read and its CRC checked; a range beyond its end is an error."""
+    at, n = (F.lit(v) if isinstance(v, int) else v for v in (start, size))
+    short = F.col("data").isNotNull() & (F.octet_length("data") < at + n)
+    cut = F.when(~short, F.substring("data", (at + 1).cast("int"), n.cast("int")))
+    return rows.withColumn("error", F.when(short, "range beyond the member").otherwise(F.col("error"))).withColumn("data", cut)
+
+
+def has_timelapse(member_rows: DataFrame, pattern: str) -> DataFrame:
+    """Whether each archive has a member of that name: path, has_timelapse. Nothing is inflated for it."""
+    return member_rows.groupBy("path").agg(F.coalesce(F.bool_or(F.col("name").rlike(pattern) & ~F.col("is_dir")), F.lit(False)).alias("has_timelapse"))
