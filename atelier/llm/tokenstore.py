@@ -25,8 +25,8 @@ from atelier.llm.common import parts_of
 LEAST, MEAN, MOST, REACH = 64, 256, 1024, 16
 #: How the store's files are written; small row groups keep writers' memory low.
 FILES = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
-#: Words whose ids a worker remembers before it starts anew, chunks likewise, and characters that are encoded at once.
-REMEMBERED, AT_ONCE = 250_000, 1_500_000
+#: Words whose ids a worker remembers before it starts anew, digests of chunks likewise, and characters that are encoded at once.
+REMEMBERED, MET, AT_ONCE = 600_000, 250_000, 1_500_000
 #: Where a text has only these characters and no two blanks in a row, the library cuts it before each space.
 PLAIN = re.compile("[\n!-~À-ÖØ-öø-ɏ]*(?: [\n!-~À-ÖØ-öø-ɏ]+)*")
 #: Texts in which each stop and comma is a piece of its own if it isn't next to another one or after a space; those are cut off, and must end a word.
@@ -44,7 +44,7 @@ class Encoder:
     A byte-level model encodes what stands between two cuts of its pattern on its own, and the
     pattern always cuts before a single space, so words that were seen before are not encoded
     again. Texts for which that might not hold, and texts with the name of a special token, go
-    whole to the library. Names of special tokens are ordinary text.
+    whole to the library, which decides what such a name stands for.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -52,7 +52,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.names = [t.content for t in self.library.get_added_tokens_decoder().values()]
         top = max(self.library.get_vocab_size(with_added_tokens=True), end_id + 1)
         self.width = 2 if top <= 1 << 16 else 4
@@ -123,10 +122,10 @@ class Encoder:
         cut = [self._cut(t) if self._plain(t) else None for t in texts]
         odd = list({t for t, c in zip(texts, cut, strict=True) if c is None})
         whole = dict(zip(odd, self._library(odd), strict=True))
-        self._learn(list(filterfalse(self.known.__contains__, set().union(*(c[1:] for c in cut if c)))))
+        self._learn(list(filterfalse(self.known.__contains__, set().union(*(islice(c, 1, None) for c in cut if c)))))
         first = self._library([c[0] if c else "" for c in cut])  # no space comes before the first word
         get = self.known.__getitem__
-        return [(f + b"".join(map(get, c[1:])) if c else whole[t]) + self.end for t, c, f in zip(texts, cut, first, strict=True)]
+        return [(f + b"".join(map(get, islice(c, 1, None))) if c else whole[t]) + self.end for t, c, f in zip(texts, cut, first, strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -214,7 +213,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
                         digest = sha256(piece).digest()
                         digests.append(digest)
                         if digest not in met:
-                            if len(met) > REMEMBERED:
+                            if len(met) > MET:
                                 met.clear()
                             met.add(digest)
                             chunks.append((digest, piece))
@@ -324,21 +323,28 @@ def report(spark: SparkSession, path: str) -> DataFrame:
     those documents some bytes each. A damaged or missing chunk, a recipe that doesn't match its root,
     or one whose ids don't add up, ends the job with an error.
     """
-    recipes = spark.read.parquet(f"{path}/recipes")
+    manifest = spark.read.parquet(f"{path}/manifest")  # one row a part
+    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = manifest.select("part", before.alias("before"))
+    inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = spark.read.parquet(f"{path}/recipes").withColumn("inside", inside).join(F.broadcast(offsets), "part")
+    once = lambda c: F.when(F.col("pos") == 0, F.col(c)).alias(c)
+    each = placed.select("row", "doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "root", F.posexplode("digests").alias("pos", "digest"))
+    own = ("doc_id", "start", "n_tokens", "root")
     by_doc = (
-        recipes.select("row", F.posexplode("digests").alias("pos", "digest"))
+        each.select("row", *map(once, own), "pos", "digest")
         .join(_checked_chunks(spark, path), "digest", "left")
         .groupBy("row")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc"))).alias("parts"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc", "digest"))).alias("parts"), *(F.max(c).alias(c) for c in own))
     )
 
     @F.pandas_udf("long")
-    def crc_of(parts: pd.Series, n_tokens: pd.Series, digests: pd.Series, root: pd.Series) -> pd.Series:
+    def crc_of(parts: pd.Series, n_tokens: pd.Series, root: pd.Series) -> pd.Series:
         out = []
-        for own, n, names, top in zip(parts, n_tokens, digests, root, strict=True):
+        for own, n, top in zip(parts, n_tokens, root, strict=True):
             if any(pd.isna(p["n"]) for p in own) or sum(p["n"] for p in own) != n:
                 raise ValueError("a document's chunks are missing or don't add up")
-            if merkle(list(names)) != top:
+            if merkle([p["digest"] for p in own]) != top:
                 raise ValueError("a document's recipe doesn't match its root")
             crc = 0
             for p in own:
@@ -346,15 +352,7 @@ def report(spark: SparkSession, path: str) -> DataFrame:
             out.append(crc)
         return pd.Series(out, dtype="int64")
 
-    manifest = spark.read.parquet(f"{path}/manifest")  # one row a part
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = manifest.select("part", before.alias("before"))
-    inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = recipes.select("row", "part", inside.alias("inside"), "n_tokens").join(offsets, "part")
-    crcs = recipes.select("row", "doc_id", "n_tokens", "digests", "root").join(by_doc, "row").select(
-        "row", "doc_id", "n_tokens", crc_of("parts", "n_tokens", "digests", "root").alias("ids_crc32")
-    )
-    return crcs.join(starts.select("row", (F.col("before") + F.col("inside")).alias("start")), "row").select("doc_id", "start", "n_tokens", "ids_crc32")
+    return by_doc.select("doc_id", "start", "n_tokens", crc_of("parts", "n_tokens", "root").alias("ids_crc32"))
 
 
 def root(spark: SparkSession, path: str) -> str:

@@ -45,7 +45,6 @@ def brute(docs, items):
     from tokenizers import Tokenizer
 
     library, out, start = Tokenizer.from_file(tokenizer_file()), [], 0
-    library.encode_special_tokens = True
     for d, text, _ in sorted(kept):
         ids = library.encode(text, add_special_tokens=False).ids + [end_id()]
         for _ in range(copies[d]):
