@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atelier.llm.common import parts_of, stored
+from atelier.llm.common import discard, parts_of, stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Longest piece looked at, longest run of letters scored in one go (longer runs are cut, every letter counts), words of a worker's memory, characters scored at once.
@@ -114,10 +114,11 @@ class Segmentations:
             alpha[0] = beta[-1] = 1.0
             for i, j, m, _, p in arcs:
                 alpha[j][m] += alpha[i][m] * p
-            for i, j, m, ids, p in reversed(arcs):
+            for i, j, m, _, p in reversed(arcs):
                 beta[i][m] += beta[j][m] * p
-            for i, j, m, ids, p in arcs:
-                np.add.at(total, ids, alpha[i][m] * p * beta[j][m] / alpha[-1][m] * counts[part][m])
+            scale = counts[part] / alpha[-1]
+            uses = [alpha[i][m] * p * beta[j][m] * scale[m] for i, j, m, _, p in arcs]
+            total += np.bincount(np.concatenate([ids for *_, ids, _ in arcs]) % len(total), np.concatenate(uses), len(total))
         return total[:-1]
 
 
@@ -152,7 +153,11 @@ def train(docs: DataFrame, vocabulary_path: str, docs_per_language: int = 600, r
                 yield pd.DataFrame({"lang": lang, "word": words, "n": n})
 
     words = rows.where(keep).select("lang", "text").mapInPandas(split, "lang string, word string, n long")
-    words = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    spark = docs.sparkSession
+    # the stored counts are small as files, so that few tasks would read them
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counted = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    words = counted.repartition(tasks, "word")
     probability = np.full((len(pieces), len(languages)), 1.0 / len(pieces))
     column = {lang: k for k, lang in enumerate(languages)}
     for _ in range(rounds):
@@ -160,17 +165,19 @@ def train(docs: DataFrame, vocabulary_path: str, docs_per_language: int = 600, r
 
         def expect(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
             lattice = Segmentations(*model.value)
+            whole = np.zeros_like(lattice.p[:-1])
             for pdf in batches:
                 for lang, own in pdf.groupby("lang"):
-                    uses = lattice.expected(list(own["word"]), own["n"].to_numpy(dtype=float), column[lang])
-                    some = np.flatnonzero(uses)
-                    yield pd.DataFrame({"language": column[lang], "piece": some, "uses": uses[some]})
+                    whole[:, column[lang]] += lattice.expected(list(own["word"]), own["n"].to_numpy(dtype=float), column[lang])
+            some = np.nonzero(whole)
+            yield pd.DataFrame({"language": some[1], "piece": some[0], "uses": whole[some]})
 
         summed = words.mapInPandas(expect, "language int, piece int, uses double").groupBy("language", "piece").agg(F.sum("uses").alias("uses"))
         got = summed.toPandas()  # as many rows as the model has numbers, at most
         uses = np.zeros_like(probability)
         uses[got["piece"], got["language"]] = got["uses"]
         probability = (uses + 0.01) / (uses + 0.01).sum(axis=0)
+    discard(spark, counted)
     return languages, pieces, probability
 
 
@@ -184,11 +191,12 @@ def predict(docs: DataFrame, languages: list[str], pieces: list[str], probabilit
             for part in parts_of(batch, AT_ONCE):
                 if len(known) > REMEMBERED:
                     known.clear()
-                    table = table[:0]
                 split = [words_of(t) for t in part.column(1).to_pylist()]
                 new = list(filterfalse(known.__contains__, set().union(*split))) if languages else []
-                known.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
-                table = np.vstack([table, lattice.log_probability(new)])
+                known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+                if len(table) < len(known):  # grows by halves, so that rows are copied a few times only
+                    table = np.concatenate([table, np.empty((max(len(known) - len(table), len(table) // 2), len(languages)))])
+                table[len(known) - len(new) : len(known)] = lattice.log_probability(new)
                 best, chance = [], []
                 for words in split:
                     if not words or not languages:
