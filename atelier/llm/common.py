@@ -30,12 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a
-    temporary folder is made and set.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the session is local,
+    as in tests, a temporary folder is made and set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="atelier-")
         sc.setCheckpointDir(root)
     elif sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -48,14 +50,43 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Writes a frame to the shared folder as Parquet and reads it back: computed once, and safe when an executor is lost."""
     bound_batches(df.sparkSession)
     path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Deletes the files of stored frames that nothing will read again."""
+    for path in {f.rpartition("/")[0] for df in frames for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Bits of the map of ids that goes to all tasks (4 MB), and of one of its pieces, as Spark's bitmap functions cut them.
+MAP_BITS, PIECE_BITS = 1 << 25, 1 << 15
+
+
+def split_by_ids(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``key`` may be among ``ids``, and those whose key is certainly not.
+
+    ids: one column, the key. A bit for each id's hash is set in a map of ``MAP_BITS`` bits, whose size
+    doesn't depend on the data and which goes to all tasks; so rows that no id concerns stay where they
+    are, and only the others have to be joined with the ids. Null keys are certainly not among them.
+    """
+    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    bits = ids.select(spread(F.col(key)).alias("_h")).where(F.col(key).isNotNull())
+    pieces = bits.groupBy(F.shiftright("_h", 15).alias("_piece")).agg(F.bitmap_construct_agg(F.col("_h").bitwiseAND(F.lit(PIECE_BITS - 1))).alias("_bits"))
+    at = F.col("_place").bitwiseAND(F.lit(PIECE_BITS - 1))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    placed = df.select(F.struct("*").alias("_row"), F.when(F.col(key).isNotNull(), spread(F.col(key))).alias("_place"))
+    marked = placed.join(F.broadcast(pieces), F.shiftright("_place", 15) == F.col("_piece"), "left").select("_row", hit.alias("_hit"))
+    return marked.where("_hit").select("_row.*"), marked.where("not _hit").select("_row.*")
+
+
 def packed(docs: DataFrame, *needed: str) -> DataFrame:
     """All columns as one, ``_row``, beside those that an operator reads, so that no column of the documents clashes with its own."""
     return docs.select(F.struct("*").alias("_row"), *needed)

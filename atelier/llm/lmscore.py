@@ -1,23 +1,24 @@
-"""Stupid-backoff scores: bigram counts partitioned by key, joined to the documents' bigrams, summed per document."""
+"""Stupid-backoff scores: n-gram count tables partitioned by hash, joined to the documents' n-grams, summed per document."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atelier.llm.common import parts_of, stored
 
-#: Ids of a row's start and of words outside the vocabulary.
-START, OTHER = 0, 1
-#: Words that a worker remembers, and characters that it splits at once.
+#: Words whose hashes a worker remembers, and characters that it splits at once.
 REMEMBERED, AT_ONCE = 300_000, 2_000_000
+#: Words that make up this share of all words have their counts sent to all tasks: no more than 1 / ``SHARE`` of them, however large the corpus.
+SHARE = 1e-5
+#: Word hashes repeat within a file, so a dictionary of them is worth its place.
+FILES = {"parquet.dictionary.page.size": str(8 << 20), "parquet.block.size": str(32 << 20)}
 
 
 def split(text: str | None) -> list[bytes]:
@@ -30,107 +31,92 @@ def _hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """Hash and number of uses of every word: h, n. Counts are combined in each task before the shuffle."""
+#: Stands for the start of a row; no word is empty.
+START = _hash(b"")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
 
-        def emit() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(map(_hash, held), pa.int64()), pa.array(held.values(), pa.int64())], names=["h", "n"])
-            held.clear()
-            return out
+def bigrams(docs: DataFrame) -> DataFrame:
+    """A row for each distinct bigram of a row of docs: doc_id, a and b (hashes of its words, or of the start), k (its uses). A row without words has nulls and 0."""
 
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        hashes = np.array([START], dtype=np.int64)
         for batch in batches:
-            for part in parts_of(batch, AT_ONCE, text=0):
-                for text in part.column(0).to_pylist():
-                    held.update(split(text))
-                if len(held) > REMEMBERED:
-                    yield emit()
-        yield emit()
+            for part in parts_of(batch, AT_ONCE):
+                words = [split(t) for t in part.column(1).to_pylist()]
+                if len(known) > REMEMBERED:
+                    known.clear()
+                    hashes = hashes[:1]
+                new = list(filterfalse(known.__contains__, set().union(*words)))
+                known.update(zip(new, range(len(known) + 1, len(known) + len(new) + 1), strict=True))
+                hashes = np.concatenate([hashes, np.fromiter(map(_hash, new), dtype=np.int64, count=len(new))])
+                lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+                second = np.fromiter((known[w] for own in words for w in own), dtype=np.int64, count=int(lengths.sum()))
+                first = np.concatenate([[0], second[:-1]])
+                first[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
+                row, size = np.repeat(np.arange(len(words), dtype=np.int64), lengths), len(hashes)
+                if len(words) * size * size < 1 << 62:
+                    packed, k = np.unique((row * size + first) * size + second, return_counts=True)
+                    at, pair = packed // (size * size), packed % (size * size)
+                else:
+                    (at, pair), k = np.unique(np.stack([row, first * size + second]), axis=1, return_counts=True)
+                none = np.flatnonzero(lengths == 0)
+                gone = np.arange(len(at) + len(none)) >= len(at)
+                a, b = (np.concatenate([hashes[x], np.zeros(len(none), dtype=np.int64)]) for x in (pair // size, pair % size))
+                columns = [
+                    part.column(0).take(pa.array(np.concatenate([at, none]))), pa.array(a, pa.int64(), mask=gone), pa.array(b, pa.int64(), mask=gone),
+                    pa.array(np.concatenate([k, np.zeros(len(none), dtype=np.int64)]).astype(np.int32), pa.int32()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "b", "k"])
 
-    return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "text").mapInArrow(explode, f"doc_id {dict(docs.dtypes)['doc_id']}, a long, b long, k int")
 
 
-def score(docs: DataFrame, share: float = 1e-5, backoff: float = 0.4) -> DataFrame:
+def score(docs: DataFrame, backoff: float = 0.4) -> DataFrame:
     """Stupid-backoff score of every document under the whole corpus.
 
-    docs: doc_id and text; other columns are ignored. Words that make up at least ``share`` of all
-    words are the vocabulary, which so has no more than 1 / ``share`` words however large the corpus,
-    and goes to all tasks with its counts; other words count as one. Counts of all bigrams, a row's
+    docs: doc_id and text; other columns are ignored. Counts of all words and of all bigrams, a row's
     start included, cover all documents. A bigram's own uses in a row are taken off its count, so a
     row doesn't vouch for itself: if some are left, the score is that over the first word's count,
-    else ``backoff`` times the second word's share of all words.
+    else ``backoff`` times the second word's share of all words. Words and bigrams are told apart by 64-bit
+    hashes.
 
     Returns doc_id, n_words, n_backoff (words scored by backoff) and score (mean log10 a word, to 9
     digits; null without words). Rows with one doc_id are scored one by one and summed, as parts of
     one document; so are those without doc_id. Null and empty texts have no words; an empty table
-    gives an empty result. A bigram that a third of the documents share is summed before the shuffle
-    that counts it, and in the join its rows are on the side that Spark splits.
+    gives an empty result.
+
+    Bigrams that one row alone has are left out of their table, as nothing of them is left for that row.
+    Counts are combined before they are shuffled. The words that a large share of rows have in common
+    are too few to matter and are looked up without a shuffle; rarer ones, and all bigrams, are
+    joined, where rows of a hot bigram are on the side that Spark splits.
     """
-    sums = stored(word_counts(docs), "words")
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    frequent = sums.where(F.col("n") >= F.lit(max(1.0, share * total))).orderBy(F.desc("n"), "h").collect()  # at most 1 / share rows
-    ids = {r["h"]: i + 2 for i, r in enumerate(frequent)}
-    size = len(ids) + 2
-    vocabulary = docs.sparkSession.sparkContext.broadcast(ids)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each distinct bigram of a row of docs, and one with a negative key and the number of its words."""
-        known: dict[bytes, int] = {}
-        for batch in batches:
-            for part in parts_of(batch, AT_ONCE):
-                words = [split(t) for t in part.column(1).to_pylist()]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                known.update((w, vocabulary.value.get(_hash(w), OTHER)) for w in filterfalse(known.__contains__, set().union(*words)))
-                lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-                second = np.fromiter((known[w] for own in words for w in own), dtype=np.int64, count=int(lengths.sum()))
-                first = np.concatenate([[START], second[:-1]])
-                first[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
-                row = np.repeat(np.arange(len(words), dtype=np.int64), lengths)
-                span = size * size
-                if len(words) * span < 1 << 62:
-                    packed, k = np.unique(row * span + first * size + second, return_counts=True)
-                    at, key = packed // span, packed % span
-                else:
-                    both, k = np.unique(np.stack([row, first * size + second]), axis=1, return_counts=True)
-                    at, key = both
-                at = np.concatenate([np.arange(len(words)), at])
-                key = np.concatenate([-1 - np.arange(len(words)), key])  # spread over the join's partitions
-                k = np.concatenate([lengths, k])
-                columns = [part.column(0).take(pa.array(at)), pa.array(key, pa.int64()), pa.array(k.astype(np.int32), pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "k"])
-
-    exploded = stored(docs.select("doc_id", "text").mapInArrow(pairs, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, k int"), "exploded")  # read twice
-    counts = exploded.where("key >= 0").groupBy("key").agg(F.sum("k").alias("c"))
-    shared = stored(counts.where("c > 1"), "bigrams")  # others have nothing left without the row itself
-    starts = docs.where(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) > 0).count()
-    numbers = np.zeros(size)
-    numbers[START], numbers[OTHER] = starts, total - sum(r["n"] for r in frequent)
-    numbers[2:] = [r["n"] for r in frequent]
-    sent = docs.sparkSession.sparkContext.broadcast(np.log10(np.maximum(numbers, 1)))
-    low = np.log10(backoff) - np.log10(max(total, 1))
-
-    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """log10 of each row's score, by vocabulary id."""
-        for batch in batches:
-            key = batch.column(1).to_numpy(zero_copy_only=False)
-            k = batch.column(2).to_numpy(zero_copy_only=False)
-            left = np.nan_to_num(batch.column(3).to_numpy(zero_copy_only=False).astype(float)) - k
-            words = key >= 0
-            safe = np.where(words, key, 0)
-            full = np.log10(np.maximum(left, 1)) - sent.value[safe // size]
-            value = np.where(left > 0, full, low + sent.value[safe % size])
-            columns = [
-                batch.column(0),
-                pa.array(np.where(words, 0, k), pa.int64()),
-                pa.array(np.where(words & (left <= 0), k, 0), pa.int64()),
-                pa.array(np.where(words, value * k, 0.0), pa.float64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "b", "v"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    scored = exploded.join(shared, "key", "left").select("doc_id", "key", "k", "c").mapInArrow(logs, f"doc_id {kind}, n long, b long, v double")
-    summed = scored.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("b").alias("n_backoff"), F.sum("v").alias("v"))
-    return summed.select("doc_id", "n_words", "n_backoff", F.when(F.col("n_words") > 0, F.round(F.col("v") / F.col("n_words"), 9)).alias("score"))
+    exploded = stored(bigrams(docs), "bigrams", **FILES)
+    uses = exploded.where("b IS NOT NULL")
+    words = uses.groupBy(F.col("b").alias("w")).agg(F.sum("k").alias("n"))
+    starts = uses.where(F.col("a") == START).agg(F.sum("k").alias("n")).where("n IS NOT NULL").select(F.lit(START).alias("w"), "n")
+    words = stored(words.unionByName(starts), "words")
+    total = words.where(F.col("w") != START).agg(F.sum("n")).first()[0] or 0
+    shared = uses.groupBy("a", "b").agg(F.sum("k").cast("long").alias("c"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("a", "b", "c")
+    log = lambda c: F.log10(F.col(c).cast("double"))
+    low = lambda n: log(n) + F.lit(float(np.log10(backoff) - np.log10(max(total, 1))))
+    known = lambda side: words.select(F.col("w").alias(side), F.col("n").alias(f"n_{side}"))
+    counts = shared.join(known("a"), "a").join(known("b"), "b")
+    counts = stored(counts.select(F.xxhash64("a", "b").alias("key"), "c", (-log("n_a") - low("n_b")).alias("rest")), "counts")
+    left = F.col("c") - F.col("k")
+    frequent = F.broadcast(words.where(F.col("n") >= F.lit(max(1.0, SHARE * total))).select(F.col("w").alias("b"), "n"))
+
+    def sums(n_words: Column, n_seen: Column, v: Column) -> list[Column]:
+        return [n_words.cast("long").alias("n_words"), n_seen.cast("long").alias("n_seen"), v.cast("double").alias("v")]
+
+    none = F.lit(0)
+    parts = [
+        exploded.join(frequent, "b", "left").groupBy("doc_id").agg(*sums(F.sum("k"), none, F.sum(F.col("k") * low("n")))),
+        uses.join(frequent, "b", "left_anti").select("doc_id", "b", "k").join(known("b"), "b").groupBy("doc_id").agg(*sums(none, none, F.sum(F.col("k") * low("n_b")))),
+        uses.select("doc_id", F.xxhash64("a", "b").alias("key"), "k").join(counts, "key").where(left > 0).groupBy("doc_id")
+        .agg(*sums(none, F.sum("k"), F.sum(F.col("k") * (F.log10(left.cast("double")) + F.col("rest"))))),
+    ]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    summed = both.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_words", "n_seen", "v")])
+    mean = F.when(F.col("n_words") > 0, F.round(F.coalesce("v", F.lit(0.0)) / F.col("n_words"), 9))
+    return summed.select("doc_id", "n_words", (F.col("n_words") - F.col("n_seen")).alias("n_backoff"), mean.alias("score"))

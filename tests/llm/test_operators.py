@@ -176,7 +176,6 @@ def test_token_store_round_trip(spark):
     rows = sample() + [(100 + i, t, None, None) for i, t in enumerate(extra)]
     tokenstore.write(frame(spark, rows), path, file)
     library = Tokenizer.from_file(file)
-    library.encode_special_tokens = True
     expected, start = [], 0
     order = lambda x: (x[0] is not None, x[0] or 0)
     for d, t, *_ in sorted(rows, key=order):
@@ -254,12 +253,11 @@ def test_decontamination_paths_agree_with_brute_force(spark):
 
 def test_lm_score_against_brute_force(spark):
     rows = sample()
-    got = {r.doc_id: r for r in lmscore.score(frame(spark, rows), share=0.01).collect()}
+    got = {r.doc_id: r for r in lmscore.score(frame(spark, rows)).collect()}
     split = [(d, lmscore.split(t)) for d, t, *_ in rows]
     uses = Counter(w for _, x in split for w in x)
     total = sum(uses.values())
-    known = {w for w, n in uses.items() if n >= max(1.0, 0.01 * total)}
-    seq = lambda x: ["<s>", *(w if w in known else None for w in x)]
+    seq = lambda x: ["<s>", *x]
     pairs, single = Counter(), Counter()
     for _, x in split:
         y = seq(x)
@@ -378,6 +376,55 @@ def test_certified_rules_reject_the_bad_only(spark):
     assert all(x.kept == (x.doc_id % 5 != 0) for x in got)
 
 
+def brute_cutoffs(rows, alpha=0.05, delta=0.05, weight=5):
+    """Cutoff bins of each stratum's rules by definition: rows are (stratum, badness by rule, good, certifies)."""
+    names = list(quality.RULES)
+    binned = [(s, [min(quality.BINS, math.floor(x * quality.BINS)) for x in b], good, test) for s, b, good, test in rows]
+    strata, out = sorted({r[0] for r in binned}), {}
+    tail = lambda k, n, p: math.fsum(math.exp(math.log(math.comb(n, i)) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+    for s in strata:
+        own = [r for r in binned if r[0] == s]
+        over = lambda j, k, good, test: sum(r[1][j] >= k and r[2] == good and r[3] == test for r in own)  # noqa: B023, E731
+        gain = lambda j, k: over(j, k, False, False) - weight * over(j, k, True, False)  # noqa: B023, E731
+        active = [j for j in range(len(names)) if any(gain(j, k) > 0 for k in range(1, quality.BINS + 1))]
+        n = sum(r[2] and r[3] for r in own)
+        for j in active:
+            certified = []
+            for k in range(quality.BINS, 0, -1):
+                if tail(over(j, k, True, True), n, alpha / len(active)) > delta / (len(strata) * len(active)):
+                    break
+                certified.append(k)
+            best = max(certified, key=lambda k: (gain(j, k), k), default=None)  # noqa: B023
+            if best is not None and gain(j, best) > 0:
+                out[s, names[j]] = best
+    return out
+
+
+def test_certified_verdicts_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    r, rows, labels = random.Random(11), [], []
+    for i in range(7800):
+        lang, bad = ("en", "de", "fr")[(i % 13 > 8) + (i % 13 > 11)], r.random() < 0.25
+        words = [f"w{r.randrange(5000)}" + ("%" * r.randrange(1, 4) if r.random() < (0.3 if bad else 0.05) else "") + ("!" if bad and r.random() < 0.2 else "") for _ in range(55)]
+        rows.append((i, " ".join(words), lang, "a"))
+        labels.append((i, int(not bad)))
+    docs, truth = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")
+    test = {x.id: x.t for x in spark.range(len(rows)).select("id", (F.pmod(F.xxhash64("id"), F.lit(2)) == 0).alias("t")).collect()}
+
+    def badness(text):
+        m = dict(zip([c.split()[0] for c in quality.METRICS.split(", ")], quality.measure(text), strict=True))
+        return [m["n_symbols"] / m["word_chars"], m["n_bangs"] / m["n_words"], m["n_dup_lines"] / m["n_lines"], m["n_repeat_words"] / m["n_words"], m["n_upper"] / m["word_chars"], m["word_chars"] / m["n_words"] / 40]
+
+    measured = [(lang, badness(text), good == 1, test[i]) for (i, text, lang, _), (_, good) in zip(rows, labels, strict=True)]
+    cut = brute_cutoffs(measured)
+    assert {s for s, _ in cut} == {"en", "de"}  # the third stratum is too small to certify anything
+    expected = {i: not any((lang, name) in cut and min(quality.BINS, math.floor(b[j] * quality.BINS)) >= cut[lang, name] for j, name in enumerate(quality.RULES)) for i, (lang, b, *_) in enumerate(measured)}
+    assert {x.doc_id: x.kept for x in quality.judge(docs, truth).collect()} == expected
+    kept = {x.doc_id for x in quality.keep_good(docs, truth).collect()}
+    assert kept == {i for i, k in expected.items() if k} and len(kept) < len(rows) - 300
+
+
 @pytest.mark.parametrize("k,n,p", [(0, 10, 0.1), (3, 50, 0.02), (40, 2000, 0.02), (49, 50, 0.5), (50, 50, 0.5)])
 def test_binomial(k, n, p):
     exact = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
