@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,7 +22,3 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table of ``sf_dir``; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def in_repo(*parts: str) -> str:
-    return os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), *parts)
