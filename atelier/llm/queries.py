@@ -139,5 +139,49 @@ OP5_SQL = r"""
 """
 
 
+#: Levels of paths that the SQL below unrolls; segments below them count as ``*``, which holds where fewer than 10 urls are deeper.
+OP7_LEVELS = 6
+
+
+def _op7_sql() -> str:
+    """Every step of the tree as SQL: shapes, one level of templates after the other, branches apart from their parents, purity, rules."""
+    level = """
+    c{k} AS (SELECT host, template, segs[{k} + 1] AS seg, sum(n) AS n, sum(labelled) AS l FROM t{k} WHERE len(segs) > {k} GROUP BY ALL),
+    f{k} AS (SELECT host, template, seg FROM (SELECT *, sum(n) OVER (PARTITION BY host, template) AS whole FROM c{k}) WHERE l >= 10 OR (n >= 10 AND n >= 0.01::DOUBLE * whole)),
+    t{j} AS (SELECT t.host, t.segs, t.n, t.labelled, t.bad, CASE WHEN len(t.segs) > {k} THEN list_append(t.template, coalesce(f.seg, '*')) ELSE t.template END AS template
+             FROM t{k} t LEFT JOIN f{k} f ON t.host = f.host AND t.template = f.template AND t.segs[{k} + 1] = f.seg),"""
+    levels = "".join(level.format(k=k, j=k + 1) for k in range(OP7_LEVELS))
+    fits = []
+    for rule, verdict in sorted(URL_RULES, key=lambda r: -len(r[0])):
+        host, _, start = rule.partition("/")
+        fits.append((f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{start}')", rule, verdict))
+    which = "CASE " + " ".join(f"WHEN {c} THEN '{rule}'" for c, rule, _ in fits) + " END"
+    says = "CASE " + " ".join(f"WHEN {c} THEN '{verdict}'" for c, _, verdict in fits) + " END"
+    return rf"""
+    WITH split AS (
+        SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
+    parsed AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '#', 'g')) AS segs,
+                      try_cast(nullif(regexp_extract(path, '([0-9]+)[^/0-9]*/?$', 1), '') AS BIGINT) AS url_key FROM split),
+    truth AS (SELECT doc_id AS url_key, bool_or(coalesce(quality = 0 OR toxic = 1, false)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+    t0 AS (SELECT host, segs, count(*) AS n, count(bad) AS labelled, count(*) FILTER (bad) AS bad, []::VARCHAR[] AS template FROM parsed LEFT JOIN truth USING (url_key) GROUP BY host, segs),{levels}
+    tree AS (SELECT host, segs, labelled, bad, list_concat(template, list_transform(range(greatest(len(segs) - {OP7_LEVELS}, 0)), lambda x: '*')) AS template FROM t{OP7_LEVELS}),
+    leaves AS (SELECT host, template, sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad FROM tree GROUP BY ALL),
+    nodes AS (SELECT host, template, labelled, bad, unnest(list_prepend([''], list_transform(range(len(template) + 1), lambda k: list_concat([host], template[1:k])))) AS node FROM leaves),
+    sums AS (SELECT node, sum(labelled)::BIGINT AS n, sum(bad)::BIGINT AS b FROM nodes GROUP BY node),
+    pairs AS (SELECT s.node, s.n, s.b, p.n AS pn, p.b AS pb, p.n - s.n AS n2, p.b - s.b AS b2, p.b / greatest(p.n, 1) AS pooled
+              FROM sums s LEFT JOIN sums p ON s.node <> [''] AND p.node = CASE WHEN len(s.node) = 1 THEN [''] ELSE s.node[1:len(s.node) - 1] END),
+    own AS (SELECT node, n, b FROM pairs
+            WHERE node = [''] OR coalesce(n >= 30 AND n2 >= 30 AND abs(b / greatest(n, 1) - b2 / greatest(n2, 1)) > 3.29::DOUBLE * sqrt(pooled * (1 - pooled) * (1 / greatest(n, 1) + 1 / greatest(n2, 1))), false)),
+    base AS (SELECT coalesce(max(b / greatest(n, 1)), 0) AS p FROM own WHERE node = ['']),
+    branch AS (SELECT host, template, arg_max({{'n': own.n, 'b': own.b}}, CASE WHEN node = [''] THEN 0 ELSE len(node) END) AS s FROM nodes JOIN own USING (node) GROUP BY host, template),
+    judged AS (SELECT t.host, t.segs, '/' || array_to_string(t.template, '/') AS template, (r.s.b + 20.0::DOUBLE * (SELECT p FROM base)) / (r.s.n + 20.0::DOUBLE) AS purity FROM tree t JOIN branch r USING (host, template))
+    SELECT page_id, host, path, {which} AS rule, coalesce({says}, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM parsed JOIN judged USING (host, segs)
+    """
+
+
+OP7_SQL = _op7_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op5_decontaminate": OP5_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op5_decontaminate": OP5_SQL, "op7_url_filter": OP7_SQL}

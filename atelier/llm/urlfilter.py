@@ -36,37 +36,44 @@ def ruling(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Co
     return which, verdict
 
 
-def shape(path: Column, depth: int) -> Column:
-    """Segments of a path with runs of digits as ``#``; what lies below ``depth`` is one segment ``**``."""
-    parts = F.filter(F.split(path, SEP), lambda s: s != "")
-    cut = F.transform(parts, lambda s: F.regexp_replace(s, "[0-9]+", "#"))
-    return F.when(F.size(cut) > depth, F.concat(F.slice(cut, 1, depth), F.array(F.lit("**")))).otherwise(cut)
+def shape(path: Column) -> Column:
+    """Segments of a path with runs of digits as ``#``."""
+    return F.transform(F.filter(F.split(path, SEP), lambda s: s != ""), lambda s: F.regexp_replace(s, "[0-9]+", "#"))
 
 
-def templates(shapes: DataFrame, depth: int, support: float = 0.01, least: int = 10) -> DataFrame:
-    """Adds ``template`` to distinct shapes (host, segs, n): rare segments of a branch become ``*``.
+def depth_of(shapes: DataFrame, least: int, most: int) -> int:
+    """Levels of the tree that can have literal segments: those which ``least`` urls reach, ``most`` at most. One row a length is gathered."""
+    lengths = shapes.groupBy(F.size("segs").alias("length")).agg(F.sum("n").alias("n")).collect()
+    reach = lambda level: sum(r["n"] for r in lengths if r["length"] > level)
+    return next((level for level in range(most) if reach(level) < least), most)
 
-    Level by level from the root, a segment stays literal if it has ``support`` of the urls below its
-    host and prefix, and ``least`` of them; all others of that branch are generalised together. Sums
-    are combined before the shuffle; a host of any size is one row a distinct segment.
+
+def templates(shapes: DataFrame, support: float = 0.01, least: int = 10, most_levels: int = 32) -> DataFrame:
+    """Adds ``template`` to distinct shapes (host, segs, n, labelled): a branch's variable segments become ``*``.
+
+    Level by level from the root, a segment stays literal if ``least`` urls with a label have it, however
+    few they are of its branch, so that labels alone can tell it from its siblings later; or if it has
+    ``support`` of the urls below its host and prefix, and ``least`` of them. All others of that branch are
+    generalised together. The tree is as deep as ``least`` urls go; segments beyond, and beyond
+    ``most_levels``, are ``*``. Sums are combined before the shuffle; a host of any size is one row a
+    distinct segment.
     """
     tree = shapes.withColumn("template", F.array().cast("array<string>"))
-    for level in range(depth + 1):
+    depth = depth_of(shapes, least, most_levels)
+    for level in range(depth):
         seg = F.get("segs", F.lit(level))
         at = tree.withColumn("_seg", seg)
         branch = ["host", "template"]
-        children = at.where(F.col("_seg").isNotNull()).groupBy(*branch, "_seg").agg(F.sum("n").alias("_n"))
+        children = at.where(F.col("_seg").isNotNull()).groupBy(*branch, "_seg").agg(F.sum("n").alias("_n"), F.sum("labelled").alias("_l"))
         whole = children.groupBy(*branch).agg(F.sum("_n").alias("_all"))
-        frequent = (
-            children.join(whole, branch)
-            .where((F.col("_n") >= least) & (F.col("_n") >= support * F.col("_all")))
-            .select(*branch, "_seg", F.lit(True).alias("_literal"))
-        )
-        named = at.join(frequent, [*branch, "_seg"], "left")
+        kept = (F.col("_l") >= least) | ((F.col("_n") >= least) & (F.col("_n") >= support * F.col("_all")))
+        literal = children.join(whole, branch).where(kept).select(*branch, "_seg", F.lit(True).alias("_literal"))
+        named = at.join(literal, [*branch, "_seg"], "left")
         piece = F.when(F.col("_literal"), F.col("_seg")).otherwise("*")
         grown = F.when(F.col("_seg").isNull(), F.col("template")).otherwise(F.concat("template", F.array(piece)))
         tree = stored(named.select(*shapes.columns, grown.alias("template")), "templates")
-    return tree
+    rest = F.array_repeat(F.lit("*"), F.greatest(F.size("segs") - depth, F.lit(0)))
+    return tree.withColumn("template", F.concat("template", rest))
 
 
 def branches(tree: DataFrame, z: float = 3.29, least: int = 30, prior: float = 20.0) -> DataFrame:
@@ -104,7 +111,7 @@ def branches(tree: DataFrame, z: float = 3.29, least: int = 30, prior: float = 2
     )
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], depth: int = 6, block_at: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], block_at: float = 0.5) -> DataFrame:
     """Verdict on every url.
 
     pages: page_id and url; labels: url_key and bad (boolean); url_key is the last number in a url's
@@ -114,7 +121,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], dep
     as that host; repeated rows are judged alike; a key labelled twice is bad if any label says so;
     without labels, only rules block; an empty table gives an empty result.
     """
-    parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("segs", shape(F.col("path"), depth))
+    parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("segs", shape(F.col("path")))
     key = F.expr("try_cast(nullif(regexp_extract(path, '([0-9]+)[^/0-9]*/?$', 1), '') as bigint)")
     truth = labels.where("url_key is not null").groupBy("url_key").agg(F.max("bad").alias("bad"))
     known = (
@@ -123,7 +130,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], dep
         .groupBy("host", "segs")
         .agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.count_if("bad").alias("bad"))
     )
-    tree = templates(stored(known, "shapes"), depth)
+    tree = templates(stored(known, "shapes"))
     judged = tree.select("host", "segs", "template").join(stored(branches(tree), "branches"), ["host", "template"])
     rule, verdict = ruling(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("purity") >= block_at, F.lit("block")).otherwise(F.lit("allow"))
