@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,15 +84,16 @@ def _scan_sent(docs: DataFrame, found: list, text: str) -> DataFrame:
         maybe = F.filter(_starts(ws, n), lambda i: _hash(ws, i, n).isin(hashes))  # noqa: B023
         place = F.transform(
             maybe,
-            lambda i: F.struct(i.alias("s"), F.array_position(sent["h"], _hash(ws, i, n)).cast("int").alias("p")),  # noqa: B023
+            lambda i: F.struct(i.alias("s"), F.array_position(sent["h"], _hash(ws, i, n)).cast("int").alias("p"), _joined(ws, i, n).alias("w")),  # noqa: B023
         )
-        true = F.filter(place, lambda c: F.element_at(sent["w"], c["p"]) == _joined(ws, c["s"], n))  # noqa: B023
-        spans.append(
-            F.transform(
-                true,
-                lambda c: F.struct(c["s"].alias("s"), (c["s"] + n).alias("e"), F.element_at(sent["i"], c["p"]).alias("items")),  # noqa: B023
-            ).cast(HITS)
+        # windows with one hash stand next to each other
+        twins = max(Counter(hashes).values())
+        of = lambda c, k: F.when(F.get(sent["w"], c["p"] - 1 + k) == c["w"], F.get(sent["i"], c["p"] - 1 + k))  # noqa: B023, E731
+        found_items = F.transform(
+            place,
+            lambda c: F.struct(c["s"].alias("s"), (c["s"] + n).alias("e"), F.coalesce(*[of(c, k) for k in range(twins)]).alias("items")),  # noqa: B023
         )
+        spans.append(F.filter(found_items, lambda h: h["items"].isNotNull()).cast(HITS))
     # sorted in two steps: spans by their start, which struct order does
     return split.withColumn("_hits", F.array_sort(F.concat(*spans)))
 
@@ -157,13 +159,21 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_sent: in
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_sent: int = MAX_SENT) -> DataFrame:
-    """The documents in which no test window occurs, all columns unchanged."""
+    """The documents in which no test window occurs, all columns unchanged.
+
+    Null and empty texts stay; repeated rows stay or go together; items without words have no windows;
+    without items all stay; columns may have any names.
+    """
     scanned = scan(packed(docs, "text"), benchmark, "text", window, max_sent)
     return unpacked(scanned.where(F.size("_hits") == 0), docs)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_sent: int = MAX_SENT) -> DataFrame:
-    """All documents, without the words inside occurring windows; what stands between words stays."""
+    """All documents, without the words inside occurring windows; what stands between words stays.
+
+    Null texts stay null; a text that is a window as a whole keeps what stands around its words; else as
+    ``remove_documents``.
+    """
     scanned = scan(packed(docs, "text"), benchmark, "text", window, max_sent)
     raw = scanned.withColumn("_raw", F.regexp_extract_all("text", F.lit(RAW_WORD), F.lit(0))).withColumn("_gaps", F.split("text", RAW_WORD, -1))
     hit = lambda i: F.exists("_hits", lambda h: (h["s"] <= i) & (i < h["e"]))

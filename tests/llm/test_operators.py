@@ -251,6 +251,17 @@ def test_decontamination_paths_agree_with_brute_force(spark):
     assert decontaminate.report(docs, none).where("contaminated").isEmpty()
 
 
+def test_windows_whose_hashes_collide_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs, benchmark = frame(spark, contaminated_rows()), spark.createDataFrame(ITEMS, "item_id long, text string")
+    whole = sorted((tuple(r) for r in decontaminate.report(docs, benchmark).collect()), key=repr)
+    real = decontaminate._hash
+    monkeypatch.setattr(decontaminate, "_hash", lambda ws, start, n: F.pmod(real(ws, start, n), F.lit(3)))
+    assert sorted((tuple(r) for r in decontaminate.report(docs, benchmark).collect()), key=repr) == whole
+    assert decontaminate.report(docs.where("false"), benchmark).isEmpty()
+
+
 def test_lm_score_against_brute_force(spark):
     rows = sample()
     got = {r.doc_id: r for r in lmscore.score(frame(spark, rows)).collect()}
