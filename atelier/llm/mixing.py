@@ -101,7 +101,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 
 def repeat_by_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "") -> DataFrame:
-    """The documents as the mix takes them: left out, once, or as often as its source asks; all columns unchanged."""
+    """The documents as the mix takes them: left out, once, or as often as its source asks; all columns unchanged.
+
+    Nulls, ties and repeated rows are decided as in ``mix``; a text without words counts nothing and goes
+    with its source's passes; an empty table gives an empty result; columns may have any names.
+    """
     sized = stored(docs.select("source", word_count("text").alias("size"), unit_hash(F.col("doc_id"), seed).alias("h")), "sized")
     goals = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     plan = stored(thresholds(sized, goals), "plan").withColumnRenamed("source", "_source")
