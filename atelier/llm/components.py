@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atelier.llm.common import stored
+from atelier.llm.common import discard, stored
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -36,9 +36,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         )
         hooked = offers.groupBy("node").agg(F.min("root").alias("root"))
         jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        labels = stored(hooked.join(jump, "root").select("node", F.col("top").alias("root")), "labels")
+        last, labels = labels, stored(hooked.join(jump, "root").select("node", F.col("top").alias("root")), "labels")
+        discard(edges.sparkSession, last)
         now = labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
         if now == before:
+            discard(edges.sparkSession, both)
             return labels
         before = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atelier.llm.common import stored
+from atelier.llm.common import split_by_ids, stored
 from atelier.llm.components import connected_components
 
 BITS = 64
@@ -107,12 +107,19 @@ def keep_one(docs: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """As keep_one, by classes that are already known: doc_id and component_id of every document."""
+    """As keep_one, by classes that are already known: doc_id and component_id of every document.
+
+    Rows that share a doc_id are one document: they go if one of them does, else one of them stays.
+    Only documents whose id may be that of one that goes or is repeated are joined with those ids; all
+    others stay where they are, so that texts aren't shuffled for a decision of one bit.
+    """
     classes = stored(named.select("doc_id", "component_id"), "classes")
-    gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = classes.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1")
+    stays = F.col("doc_id") == F.col("component_id")
+    counted = classes.groupBy("doc_id").agg(F.count_if(stays).alias("stay"), F.count_if(~stays).alias("go"))
+    special = stored(counted.where("go > 0 or stay > 1").select("doc_id", (F.col("go") > 0).alias("gone")), "special")
+    maybe, others = split_by_ids(docs, special.select("doc_id"), "doc_id")
+    kept = others.unionByName(maybe.join(special, "doc_id", "left_anti").select(docs.columns))
+    repeated = special.where("not gone").select("doc_id")
     if repeated.isEmpty():
         return kept
-    named = kept.where(F.col("doc_id").isNotNull())
-    return named.dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
+    return kept.unionByName(maybe.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
