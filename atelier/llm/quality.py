@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atelier.llm.common import packed, stored, unpacked
+from atelier.llm.common import packed, split_by_ids, stored, unpacked
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -104,6 +104,17 @@ def _fraction(a: float, b: float, x: float) -> float:
     return f
 
 
+def _tables(counts: pd.DataFrame, weight: float) -> tuple[pd.DataFrame, pd.Series]:
+    """Of one rule in one stratum: rows at or above each bin, and what the fitting half gains by that cutoff."""
+    above = counts.set_index("bin")[["good_test", "good_fit", "bad_fit"]].reindex(range(BINS + 1), fill_value=0)[::-1].cumsum()[::-1]
+    return above, (above["bad_fit"] - weight * above["good_fit"])[1:]
+
+
+def promising(counts: pd.DataFrame, weight: float = 5.0) -> bool:
+    """Whether any cutoff of the rule gains on the fitting half, which the certifying half knows nothing of."""
+    return bool((_tables(counts, weight)[1] > 0).any())
+
+
 def certified_cutoff(counts: pd.DataFrame, alpha: float, delta: float, weight: float = 5.0) -> int | None:
     """The cutoff bin of one rule in one stratum, or None.
 
@@ -111,19 +122,17 @@ def certified_cutoff(counts: pd.DataFrame, alpha: float, delta: float, weight: f
     certified if the holdout refutes, at level ``delta``, that it rejects ``alpha`` or more of the good
     rows, and the first that is not ends the trial (fixed-sequence testing, so one level serves the
     whole sequence). Of the certified ones, that which gains most on the other half is taken: bad
-    rows rejected less ``weight`` times the good ones; none if none gains.
+    rows rejected less ``weight`` times the good ones; none if none gains; the most lenient of equals.
     """
-    table = counts.set_index("bin")[["good_test", "good_fit", "bad_fit"]].reindex(range(BINS + 1), fill_value=0)
-    above = table[::-1].cumsum()[::-1]
-    n, best, chosen = int(table["good_test"].sum()), 0.0, None
+    above, gains = _tables(counts, weight)
+    n, best, chosen = int(above["good_test"][0]), 0.0, None
     if not n:
         return None
     for k in range(BINS, 0, -1):
         if binomial_cdf(int(above["good_test"][k]), n, alpha) > delta:
             break
-        gain = above["bad_fit"][k] - weight * above["good_fit"][k]
-        if gain > best:
-            best, chosen = gain, k
+        if gains[k] > best:
+            best, chosen = gains[k], k
     return chosen
 
 
@@ -132,9 +141,9 @@ def learn(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
 
     measured: doc_id, the stratum and the metrics; labels: doc_id and quality (1 good, 0 bad).
     With probability 1 - ``delta`` over the labelled rows, no stratum loses more than ``alpha`` of its
-    good documents: alpha is shared out over the rules (union bound) and delta over strata and rules
-    (Bonferroni). Labelled rows are halved by a hash of doc_id; one half certifies, the other
-    chooses. Only counts by stratum, rule and bin are gathered, at most 101 rows a rule and stratum.
+    good documents: alpha is shared out over the stratum's rules (union bound) and delta over strata and
+    their rules (Bonferroni). Labelled rows are halved by a hash of doc_id; one half certifies, the other
+    chooses, and tells which rules have bad rows to catch at all, so that nothing is spent on the others. Only counts by stratum, rule and bin are gathered, at most 101 rows a rule and stratum.
     A doc_id labelled twice counts as bad if any label says so. Rows that fail the base rules do not count.
     """
     truth = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -151,10 +160,10 @@ def learn(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
     )
     counts = stored(counts, "bins")
     strata = max(1, counts.select("stratum").distinct().count())
-    share, level = alpha / len(RULES), delta / (strata * len(RULES))
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        cut = {name: certified_cutoff(own, share, level) for name, own in rows.groupby("rule")}
+        rules = {name: own for name, own in rows.groupby("rule") if promising(own)}
+        cut = {name: certified_cutoff(own, alpha / len(rules), delta / (strata * len(rules))) for name, own in rules.items()}
         return pd.DataFrame([[rows["stratum"].iloc[0], *(cut.get(name) for name in RULES)]], columns=["stratum", *RULES]).astype({name: "Int32" for name in RULES})
 
     schema = f"stratum {dict(measured.dtypes)[stratum]}, " + ", ".join(f"{name} int" for name in RULES)
@@ -187,9 +196,17 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The documents that the rules keep, all columns unchanged."""
+    """The documents that the rules keep, all columns unchanged.
+
+    Null, empty and blank texts fail the base rules and go; repeated rows stay or go together; rows
+    without doc_id are judged but never learned from; a null stratum is one of its own; without labels
+    only the base rules reject; an empty table gives an empty result; columns may have any names.
+    """
     names = [c.split()[0] for c in METRICS.split(", ")]
-    measured = docs.select("doc_id", stratum, metrics("text").alias("m")).select("doc_id", stratum, *[f"m.{c}" for c in names])
-    cutoffs = learn(stored(measured.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), "measured"), labels, stratum, alpha, delta)
+    needed = docs.select("doc_id", F.col(stratum).alias(stratum), "text")
+    ids = labels.where("doc_id is not null").select("doc_id").distinct()
+    labelled = split_by_ids(needed, ids, "doc_id")[0].join(ids, "doc_id", "left_semi")
+    measured = labelled.select("doc_id", stratum, metrics("text").alias("m")).select("doc_id", stratum, *[f"m.{c}" for c in names])
+    cutoffs = learn(stored(measured, "measured"), labels, stratum, alpha, delta)
     rows = packed(docs, stratum, "text").withColumn("_m", metrics("text"))
     return unpacked(_verdict(rows, cutoffs, stratum, lambda c: F.col(f"_m.{c}")).where("kept"), docs)
