@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -50,12 +51,29 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Has a query's shuffle files deleted when it ends, instead of when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Within, what a query has shuffled is deleted when it ends: for writes whose result is read from files only."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Writes a frame to the shared folder as Parquet and reads it back: computed once, and safe when an executor is lost."""
-    bound_batches(df.sparkSession)
-    path = fresh_path(df.sparkSession, label)
-    df.write.options(**{"compression": "zstd"} | options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    bound_batches(spark)
+    path = fresh_path(spark, label)
+    with cleaned(spark):
+        df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, *frames: DataFrame) -> None:

@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atelier.llm.common import parts_of
+from atelier.llm.common import cleaned, parts_of
 
 #: Ids of a chunk: least, mean beyond the least, most. The rolling hash looks back on fewer ids than the least.
-LEAST, MEAN, MOST, REACH = 64, 256, 1024, 16
+LEAST, MEAN, MOST, REACH = 128, 512, 2048, 16
 #: How the store's files are written; small row groups keep writers' memory low.
 FILES = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 #: Words whose ids a worker remembers before it starts anew, digests of chunks likewise, and characters that are encoded at once.
@@ -232,28 +232,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     staging = f"{path}/staging"
     docs.select("doc_id", "text").mapInArrow(encode, schema).write.options(**FILES).parquet(staging)
     staged = spark.read.schema(schema).parquet(staging)
-    staged.select(F.inline("chunks")).repartition("digest").dropDuplicates(["digest"]).write.options(**FILES).parquet(f"{path}/chunks")
-    (
-        staged.select("doc_id", "n_tokens", "root", "digests")
-        .repartitionByRange("doc_id", "root")
-        .sortWithinPartitions("doc_id", "root")
-        .select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "doc_id", "n_tokens", "root", "digests")
-        .write.options(**FILES)
-        .parquet(f"{path}/recipes")
-    )
-    _delete(spark, staging)
+    ranged = staged.select("doc_id", "n_tokens", "root", "digests").repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
+    rows = ranged.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "doc_id", "n_tokens", "root", "digests")
 
     def rooted(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows.sort_values("row")
         return pd.DataFrame([[own["part"].iloc[0], len(own), own["n_tokens"].sum(), merkle(list(own["root"]))]], columns=["part", "n_docs", "n_tokens", "root"])
 
-    recipes = spark.read.parquet(f"{path}/recipes")
-    (
-        recipes.select("part", "row", "n_tokens", "root")
-        .groupBy("part")
-        .applyInPandas(rooted, "part int, n_docs long, n_tokens long, root binary")
-        .write.parquet(f"{path}/manifest")
-    )
+    with cleaned(spark):
+        staged.select(F.inline("chunks")).repartition("digest").dropDuplicates(["digest"]).write.options(**FILES).parquet(f"{path}/chunks")
+        rows.write.options(**FILES).parquet(f"{path}/recipes")
+        _delete(spark, staging)
+        parts = spark.read.parquet(f"{path}/recipes").select("part", "row", "n_tokens", "root").groupBy("part")
+        parts.applyInPandas(rooted, "part int, n_docs long, n_tokens long, root binary").write.parquet(f"{path}/manifest")
 
 
 @lru_cache(maxsize=4096)
@@ -362,7 +353,7 @@ def root(spark: SparkSession, path: str) -> str:
 
 
 def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Parts whose recipes don't match the manifest; none for a whole store."""
+    """Parts whose recipes don't match the manifest, or that one of the two doesn't have; none for a whole store, and for an empty one."""
 
     def again(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows.sort_values("row")
@@ -375,7 +366,11 @@ def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, doc_ids: DataFrame | None = None) -> DataFrame:
-    """doc_id and ids (array of int) of the documents, or of those in ``doc_ids``, rebuilt from their chunks."""
+    """doc_id and ids (array of int) of the documents, or of those in ``doc_ids``, rebuilt from their chunks.
+
+    Repeated rows and rows without doc_id are each given back; with ``doc_ids``, those without one are not.
+    An empty text has the end id only. A missing chunk ends the job with an error.
+    """
     recipes = spark.read.parquet(f"{path}/recipes")
     wanted = recipes if doc_ids is None else recipes.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
