@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import filterfalse
 
 import numpy as np
@@ -17,6 +18,8 @@ from atelier.llm.common import parts_of, stored
 REMEMBERED, AT_ONCE = 300_000, 2_000_000
 #: Words that make up this share of all words have their counts sent to all tasks: no more than 1 / ``SHARE`` of them, however large the corpus.
 SHARE = 1e-5
+#: Bigrams are counted and joined in so many blocks by their hash, one after the other, so that less is shuffled at once.
+BLOCKS = 2
 #: Word hashes repeat within a file, so a dictionary of them is worth its place.
 FILES = {"parquet.dictionary.page.size": str(8 << 20), "parquet.block.size": str(32 << 20)}
 
@@ -97,12 +100,9 @@ def score(docs: DataFrame, backoff: float = 0.4) -> DataFrame:
     starts = uses.where(F.col("a") == START).agg(F.sum("k").alias("n")).where("n IS NOT NULL").select(F.lit(START).alias("w"), "n")
     words = stored(words.unionByName(starts), "words")
     total = words.where(F.col("w") != START).agg(F.sum("n")).first()[0] or 0
-    shared = uses.groupBy("a", "b").agg(F.sum("k").cast("long").alias("c"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("a", "b", "c")
     log = lambda c: F.log10(F.col(c).cast("double"))
     low = lambda n: log(n) + F.lit(float(np.log10(backoff) - np.log10(max(total, 1))))
     known = lambda side: words.select(F.col("w").alias(side), F.col("n").alias(f"n_{side}"))
-    counts = shared.join(known("a"), "a").join(known("b"), "b")
-    counts = stored(counts.select(F.xxhash64("a", "b").alias("key"), "c", (-log("n_a") - low("n_b")).alias("rest")), "counts")
     left = F.col("c") - F.col("k")
     frequent = F.broadcast(words.where(F.col("n") >= F.lit(max(1.0, SHARE * total))).select(F.col("w").alias("b"), "n"))
 
@@ -113,10 +113,16 @@ def score(docs: DataFrame, backoff: float = 0.4) -> DataFrame:
     parts = [
         exploded.join(frequent, "b", "left").groupBy("doc_id").agg(*sums(F.sum("k"), none, F.sum(F.col("k") * low("n")))),
         uses.join(frequent, "b", "left_anti").select("doc_id", "b", "k").join(known("b"), "b").groupBy("doc_id").agg(*sums(none, none, F.sum(F.col("k") * low("n_b")))),
-        uses.select("doc_id", F.xxhash64("a", "b").alias("key"), "k").join(counts, "key").where(left > 0).groupBy("doc_id")
-        .agg(*sums(none, F.sum("k"), F.sum(F.col("k") * (F.log10(left.cast("double")) + F.col("rest"))))),
-    ]
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    ]
+    keyed = uses.withColumn("key", F.xxhash64("a", "b"))
+    for block in range(BLOCKS):
+        own = keyed.where(F.pmod("key", F.lit(BLOCKS)) == block)
+        shared = stored(own.groupBy("a", "b").agg(F.sum("k").cast("long").alias("c"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("a", "b", "c"), "shared")
+        counts = shared.join(known("a"), "a").join(known("b"), "b")
+        counts = stored(counts.select(F.xxhash64("a", "b").alias("key"), "c", (-log("n_a") - low("n_b")).alias("rest")), "counts")
+        seen = own.select("doc_id", "key", "k").join(counts, "key").where(left > 0)
+        parts.append(seen.groupBy("doc_id").agg(*sums(none, F.sum("k"), F.sum(F.col("k") * (F.log10(left.cast("double")) + F.col("rest"))))))
+    both = reduce(DataFrame.unionByName, [stored(part, "sums") for part in parts])
     summed = both.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_words", "n_seen", "v")])
     mean = F.when(F.col("n_words") > 0, F.round(F.coalesce("v", F.lit(0.0)) / F.col("n_words"), 9))
     return summed.select("doc_id", "n_words", (F.col("n_words") - F.col("n_seen")).alias("n_backoff"), mean.alias("score"))
