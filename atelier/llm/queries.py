@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atelier.llm import decontaminate, htmltext, langid, lmscore, mixing, pseudonyms, quality, simhash, tokenstore, urlfilter
+from atelier.llm import decontaminate, htmltext, langid, lmscore, merkle, mixing, pseudonyms, quality, simhash, tokenstore, urlfilter
 from atelier.llm.common import fresh_path, table
 
 
@@ -77,6 +77,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verification(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -91,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_pii_pseudonyms,
             op9_quality_rules,
             op10_html_text,
+            op11_merkle_manifest,
         )
     }
 
@@ -183,5 +188,51 @@ def _op7_sql() -> str:
 OP7_SQL = _op7_sql()
 
 
+#: Hashes, levels of both trees, siblings and the fold; CRC-32 is stepped through bit by bit, a -1 for each shift.
+OP11_SQL = r"""
+    WITH RECURSIVE docs AS (
+        SELECT row_number() OVER () AS r, doc_id, lang, text,
+               list_reduce([4294967295] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                           lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) AS crc,
+               concat(coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+                      coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-')) AS head
+        FROM documents),
+    tampered AS (
+        SELECT *, CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed FROM docs),
+    hashed AS (
+        SELECT r, doc_id, coalesce('=' || lang, '') AS grp, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+               sha256(head || coalesce(octet_length(encode(changed)) || ':' || changed, '-')) AS altered FROM tampered),
+    leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM hashed),
+    low AS (
+        SELECT 0 AS lvl, grp, idx, n, leaf AS node FROM leaves
+        UNION ALL
+        SELECT lvl + 1, grp, idx // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY idx)) FROM low WHERE n > 1 GROUP BY lvl, grp, idx // 8, n),
+    subroots AS (SELECT grp, node, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+    high AS (
+        SELECT 0 AS lvl, idx, n, node FROM subroots
+        UNION ALL
+        SELECT lvl + 1, idx // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY lvl, idx // 8, n),
+    steps AS (
+        SELECT l.r, b.lvl, coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx < l.idx // (8 ** b.lvl)::BIGINT), '') AS before,
+               coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx > l.idx // (8 ** b.lvl)::BIGINT), '') AS after
+        FROM leaves l JOIN low b ON l.grp = b.grp AND b.n > 1 AND b.idx // 8 = l.idx // (8 ** (b.lvl + 1))::BIGINT GROUP BY l.r, b.lvl
+        UNION ALL
+        SELECT l.r, 1000 + b.lvl, coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx < s.idx // (8 ** b.lvl)::BIGINT), ''),
+               coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx > s.idx // (8 ** b.lvl)::BIGINT), '')
+        FROM leaves l JOIN subroots s ON l.grp = s.grp JOIN high b ON b.n > 1 AND b.idx // 8 = s.idx // (8 ** (b.lvl + 1))::BIGINT GROUP BY l.r, b.lvl),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY lvl) AS k FROM steps),
+    proofs AS (SELECT r, string_agg(before || after, '' ORDER BY lvl) AS siblings FROM steps GROUP BY r),
+    up AS (
+        SELECT r, 0 AS k, altered AS acc FROM leaves
+        UNION ALL
+        SELECT u.r, s.k, sha256(s.before || u.acc || s.after) FROM up u JOIN numbered s ON s.r = u.r AND s.k = u.k + 1),
+    ends AS (SELECT r, arg_max(acc, k) AS folded_root FROM up GROUP BY r),
+    top AS (SELECT node AS root FROM high WHERE n = 1)
+    SELECT l.doc_id, l.leaf, s.node AS subroot, root, sha256(coalesce(p.siblings, '')) AS proof_sha256, e.folded_root, e.folded_root = root AS verified
+    FROM leaves l JOIN subroots s USING (grp) JOIN ends e USING (r) LEFT JOIN proofs p USING (r), top
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op5_decontaminate": OP5_SQL, "op7_url_filter": OP7_SQL}
+    return {"op11_merkle_manifest": OP11_SQL, "op2_mix_sources": OP2_SQL, "op5_decontaminate": OP5_SQL, "op7_url_filter": OP7_SQL}
