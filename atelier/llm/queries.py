@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atelier.llm import decontaminate, htmltext, langid, lmscore, merkle, mixing, pseudonyms, quality, simhash, tokenstore, urlfilter
+from atelier.llm import annforest, decontaminate, htmltext, langid, lmscore, merkle, mixing, pseudonyms, quality, simhash, spelling, tokenstore, urlfilter
 from atelier.llm.common import fresh_path, table
 
 
@@ -81,6 +81,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verification(merkle.manifest(table(spark, sf_dir, "documents")))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annforest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -96,6 +104,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_quality_rules,
             op10_html_text,
             op11_merkle_manifest,
+            op12_spelling_variants,
+            op13_nearest_neighbours,
         )
     }
 
