@@ -18,6 +18,8 @@ TREES, LEAF_ROWS = 16, 128
 #: Vectors that a query meets before its search ends, repeats over trees included: so many, or this share of all if that is more.
 #: Vectors without any structure (uniform directions in 64 dimensions) need the share for a recall above 0.9 at any size; clustered ones do with far less.
 SEARCH_ROWS, SEARCH_SHARE = 10_000, 0.6
+#: Leaves that a query visits, about, at most; where it meets more vectors than those of so many leaves, leaves hold more instead, so that what comes out of them grows with the queries only.
+VISITS = 100
 #: Vectors that the trees are fitted on, about, and the fewest of them in a leaf. So a forest has TREES * SAMPLE / LEAST leaves at most, whatever the table's size.
 SAMPLE, LEAST = 100_000, 8
 #: Vectors of a leaf that one task holds; larger leaves are cut into blocks, all of which a query visits.
@@ -170,8 +172,9 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, *, key: str =
     share = SHARES if n <= sample else int(SHARES * sample / n)
     some = items.where(F.pmod(F.xxhash64("v"), F.lit(SHARES)) < share).orderBy("v").select("v").toPandas()["v"]
     data = np.frombuffer(b"".join(some), kind).reshape(-1, width).astype(np.float64)
-    forest = grow(data, max(LEAST, round(leaf_rows * len(data) / max(n, 1))))
-    sent, budget = spark.sparkContext.broadcast(forest), max(search_rows, round(search_share * n))
+    budget = max(search_rows, round(search_share * n))
+    forest = grow(data, max(LEAST, round(max(leaf_rows, budget / VISITS) * len(data) / max(n, 1))))
+    sent = spark.sparkContext.broadcast(forest)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
