@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atelier.operators.stretches import ROWS, Stretches
 
-def gap_ranges(df: DataFrame, group: list[str], number: str) -> DataFrame:
+
+def gap_ranges(df: DataFrame, group: list[str], number: str, rows: int = ROWS) -> DataFrame:
     """Missing ranges between the smallest and the largest number of each group: group, lo, hi.
 
     Repeats count once and null numbers are ignored. A hole is one row however wide it is, so a
     hostile number cannot blow up the result.
     """
-    w = Window.partitionBy(*group).orderBy(number)
-    return (
-        df.where(F.col(number).isNotNull())
-        .select(*group, number)
-        .distinct()
-        .withColumn("_next", F.lead(number).over(w))
-        .where(F.col("_next") > F.col(number) + 1)
-        .select(*group, (F.col(number) + 1).alias("lo"), (F.col("_next") - 1).alias("hi"))
-    )
+    cut = Stretches(df.where(F.col(number).isNotNull()).select(*group, number).distinct(), group, [number], rows)
+    before, own = F.col("_before")[number], F.col(number)
+    holes = cut.neighbour(cut.rows, [number], "_before").where(own > before + 1)
+    return holes.select(*group, (before + 1).alias("lo"), (own - 1).alias("hi"))
 
 
 def range_text(lo: Column, hi: Column) -> Column:

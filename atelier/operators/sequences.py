@@ -7,67 +7,73 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atelier.operators.stretches import ROWS, Stretches, all_equal
 
-def runs(df: DataFrame, group: list[str], order: list[str], same: list[str], total: str | None = None) -> DataFrame:
+def _begins(df: DataFrame, group: list[str], order: list[str], same: list[str], rows: int) -> tuple[Stretches, DataFrame]:
+    """Rows with ``_new``: whether a row differs from the one before it in ``same``, or is its group's first."""
+    cut = Stretches(df, group, order, rows)
+    placed = cut.neighbour(cut.rows, same, "_before")
+    return cut, placed.withColumn("_new", F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.struct(*same))).drop("_before")
+
+
+def runs(df: DataFrame, group: list[str], order: list[str], same: list[str], total: str | None = None, rows: int = ROWS) -> DataFrame:
     """Runs of neighbouring rows that agree in ``same``: group, run (from 1), same, n_rows, first and last order key, and the sum of ``total``.
 
-    The order must be total within a group. A run begins where a row differs from the one before it.
+    The order must be total within a group. A run begins where a row differs from the one before it; it
+    may reach over many stretches of a large group, in which its rows are summed before they are shuffled.
     """
-    w = Window.partitionBy(*group).orderBy(*order)
-    before = F.lag(F.struct(*same)).over(w)
-    begins = F.when(F.row_number().over(w) == 1, 1).when(before.eqNullSafe(F.struct(*same)), 0).otherwise(1)
-    numbered = df.withColumn("_begins", begins).withColumn("run", F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    cut, placed = _begins(df, group, order, same, rows)
+    begun = F.col("_new").cast("long")
+    numbered = cut.before(placed, begun, "_runs").withColumn("run", F.coalesce("_runs", F.lit(0)) + begun)
     key = F.struct(*order)
     sums = [F.sum(total).alias(total)] if total else []
     ends = [F.min(key)[order[0]].alias(f"first_{order[0]}"), F.max(key)[order[0]].alias(f"last_{order[0]}")]
     return numbered.groupBy(*group, "run", *same).agg(F.count(F.lit(1)).alias("n_rows"), *ends, *sums)
 
 
-def changes(df: DataFrame, group: list[str], order: list[str], same: list[str]) -> DataFrame:
+def changes(df: DataFrame, group: list[str], order: list[str], same: list[str], rows: int = ROWS) -> DataFrame:
     """Rows that differ from the one before them in ``same``, first rows included: what a table of runs by start keeps."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    before = F.lag(F.struct(*same)).over(w)
-    first = F.row_number().over(w) == 1
-    return df.withColumn("_new", first | ~before.eqNullSafe(F.struct(*same))).where("_new").drop("_new")
+    return _begins(df, group, order, same, rows)[1].where("_new").select(df.columns)
 
 
-def prefix_sum(df: DataFrame, group: list[str], order: str, value: str, out: str = "start", width: int = 4096) -> DataFrame:
+def prefix_sum(df: DataFrame, group: list[str], order: str, value: str, out: str = "start", width: int | None = None, rows: int = ROWS) -> DataFrame:
     """Sum of ``value`` over the rows of the group before each row, in order of an integer key.
 
-    Rows of one key are in one stretch of ``width`` keys; stretches are summed first (combined before
-    the shuffle) and the rows of each are then ordered on their own, so a group that holds a third of
-    all rows is spread over as many tasks as it has stretches. Equal keys share a start.
+    Equal keys share a start. A group of more than ``rows`` rows is cut by rows, whatever its keys; with
+    ``width``, for dense keys, every group is cut into stretches of so many keys, which takes no count of rows.
     """
+    if width is None:
+        cut = Stretches(df, group, [order], rows)
+        summed = cut.before(cut.rows, F.col(value), out, ties=True)
+        return summed.select(*[c for c in df.columns if c != out], F.coalesce(out, F.lit(0)).alias(out))
     cut = df.withColumn("_cut", F.floor(F.col(order) / width).cast("long"))
     sums = cut.groupBy(*group, "_cut").agg(F.sum(value).alias("_sum"))
     over = Window.partitionBy(*group).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_cut").alias("_c"), F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*group, "_cut").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
     summed = cut.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    on = (F.col("_cut") == F.col("_c")) & _all_equal(group)
+    on = (F.col("_cut") == F.col("_c")) & all_equal(group)
     return summed.join(offsets, on).select(*df.columns, (F.col("_offset") + F.col("_inside")).alias(out))
 
 
-def _all_equal(group: list[str]) -> Column:
-    out = F.lit(True)
-    for g in group:
-        out = out & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    return out
-
-
-def expand_runs(df: DataFrame, group: list[str], first: str, end: Column | str, out: str = "at", width: int = 4096) -> DataFrame:
+def expand_runs(df: DataFrame, group: list[str], first: str, end: Column | str, out: str = "at", width: int | None = None, rows: int = ROWS) -> DataFrame:
     """Each row repeated for every number from ``first`` to the row before the next row's ``first``; the last row's run ends at ``end``.
 
-    Rows are ordered in stretches of ``width`` numbers; where a stretch ends, the least number of the
-    next one is the next row's. So a group of any size is spread over as many tasks as it has stretches.
+    Of rows with the same ``first`` only the last one's run has numbers. A group of more than ``rows`` rows is
+    cut by rows, so sparse and dense groups of any size are spread alike; with ``width``, for dense
+    keys, every group is cut into stretches of so many numbers, which takes no count of rows.
     """
-    cut = df.withColumn("_cut", F.floor(F.col(first) / width).cast("long"))
-    least = cut.groupBy(*group, "_cut").agg(F.min(first).alias("_least"))
-    after = F.lead("_least").over(Window.partitionBy(*group).orderBy("_cut"))
-    following = least.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_cut").alias("_c"), after.alias("_after"))
-    inside = F.lead(first).over(Window.partitionBy(*group, "_cut").orderBy(first))
-    placed = cut.withColumn("_next", inside).join(following, (F.col("_cut") == F.col("_c")) & _all_equal(group))
-    stop = F.coalesce(F.coalesce("_next", "_after") - 1, F.col(end) if isinstance(end, str) else end)
+    if width is None:
+        cut = Stretches(df, group, [first], rows)
+        placed = cut.neighbour(cut.rows, [first], "_ahead", ahead=True).withColumn("_next", F.col("_ahead")[first])
+    else:
+        dense = df.withColumn("_cut", F.floor(F.col(first) / width).cast("long"))
+        least = dense.groupBy(*group, "_cut").agg(F.min(first).alias("_least"))
+        after = F.lead("_least").over(Window.partitionBy(*group).orderBy("_cut"))
+        following = least.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_cut").alias("_c"), after.alias("_after"))
+        inside = F.lead(first).over(Window.partitionBy(*group, "_cut").orderBy(first))
+        placed = dense.withColumn("_inside", inside).join(following, (F.col("_cut") == F.col("_c")) & all_equal(group)).withColumn("_next", F.coalesce("_inside", "_after"))
+    stop = F.coalesce(F.col("_next") - 1, F.col(end) if isinstance(end, str) else end)
     spread = placed.withColumn("_stop", stop).where(F.col("_stop") >= F.col(first))
     return spread.select(*df.columns, F.explode(F.sequence(F.col(first), F.col("_stop"))).alias(out))
 
@@ -106,7 +112,9 @@ def numbered(df: DataFrame, order: list[str], out: str = "place") -> DataFrame:
     return own.join(F.broadcast(counts.select("_range", before.alias("_before"))), "_range").select(*df.columns, (F.col("_before") + F.col("_own")).cast("long").alias(out))
 
 
-def not_increasing(df: DataFrame, group: list[str], order: list[str], value: str, strict: bool = True) -> DataFrame:
+def not_increasing(df: DataFrame, group: list[str], order: list[str], value: str, strict: bool = True, rows: int = ROWS) -> DataFrame:
     """Rows whose value isn't above that of the row before (or, if not strict, is below it)."""
-    before = F.lag(value).over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("_before", before).where(F.col(value) <= F.col("_before") if strict else F.col(value) < F.col("_before")).drop("_before")
+    cut = Stretches(df, group, order, rows)
+    before = F.col("_before")[value]
+    kept = F.col(value) <= before if strict else F.col(value) < before
+    return cut.neighbour(cut.rows, [value], "_before").where(kept).select(df.columns)
