@@ -197,6 +197,26 @@ def greedy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.collision_names(parts, F.lit(""), F.col("p_name"), "p_partkey").select("p_partkey", "name")
 
 
+@query("""
+    WITH RECURSIVE given AS (
+        SELECT p_brand AS folder, p_partkey, lower(split_part(p_name, ' ', 1)) || CASE p_size % 4 WHEN 0 THEN '-' || (p_size % 9 + 1) WHEN 1 THEN '-2' ELSE '' END AS base,
+               row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part),
+    steps AS (
+        SELECT DISTINCT folder, 0::BIGINT AS k, NULL::BIGINT AS p_partkey, NULL::VARCHAR AS name, []::VARCHAR[] AS used FROM given
+        UNION ALL
+        SELECT folder, k, p_partkey, name, list_append(used, name) FROM (
+            SELECT s.folder, g.k, g.p_partkey, s.used, CASE WHEN NOT list_contains(s.used, g.base) THEN g.base
+                   ELSE g.base || '-' || list_filter(range(2, len(s.used) + 3), lambda n: NOT list_contains(s.used, g.base || '-' || n))[1] END AS name
+            FROM steps s JOIN given g ON g.folder = s.folder AND g.k = s.k + 1))
+    SELECT folder, p_partkey, name FROM steps WHERE k > 0
+""")
+def mixed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files of the brands' folders, some of which are called what the numbering of others would call them."""
+    end = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("-"), F.col("p_size") % 9 + 1)).when(F.col("p_size") % 4 == 1, "-2").otherwise("")
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("folder"), "p_partkey", F.concat(F.lower(F.substring_index("p_name", " ", 1)), end).alias("base"))
+    return names.collision_names(parts, F.col("folder"), F.col("base"), "p_partkey").select("folder", "p_partkey", "name")
+
+
 @query("""
     SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B'
         WHEN n < 1048576 AND n / 1024 < 100 THEN printf('%.1f KiB', n / 1024)

@@ -361,7 +361,25 @@ def coverage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT package, file, count(*) AS valid, count(*) FILTER (hits > 0) AS covered, round(count(*) FILTER (hits > 0) / count(*), 4) AS rate FROM l GROUP BY ROLLUP (package, file)
 """)
 def coverage_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.rates(coverage.line_hits(coverage.blocks(_profile(spark, sf_dir)), "m/"))
+    return coverage.rolled(coverage.swept(coverage.blocks(_profile(spark, sf_dir)), "m/"))
+
+
+@query("""
+    WITH b AS (SELECT 'f' || l_suppkey % 9 || '.go' AS file, l_orderkey * 1000 + 1 AS lo, l_orderkey * 1000 + l_partkey * l_linenumber * 50 + 1 AS hi, l_quantity > 25 AS hit FROM lineitem),
+    twice AS (SELECT *, true AS every FROM b UNION ALL SELECT *, false FROM b WHERE hit),
+    w AS (SELECT file, every, lo, hi, max(hi) OVER (PARTITION BY file, every ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM twice),
+    s AS (SELECT file, every, sum(greatest(0, hi - greatest(lo - 1, coalesce(reached, lo - 1))))::BIGINT AS n FROM w GROUP BY ALL),
+    f AS (SELECT file, max(n) FILTER (every) AS valid, coalesce(max(n) FILTER (NOT every), 0) AS covered FROM s GROUP BY file)
+    SELECT CASE WHEN grouping(file) = 1 THEN NULL ELSE '.' END AS package, file, sum(valid)::BIGINT AS valid, sum(covered)::BIGINT AS covered, round(sum(covered) / sum(valid), 4) AS rate FROM f GROUP BY ROLLUP (file)
+    UNION ALL SELECT '.', NULL, sum(valid)::BIGINT, sum(covered)::BIGINT, round(sum(covered) / sum(valid), 4) FROM f
+""")
+def coverage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of blocks of up to millions of lines, none of which becomes a row."""
+    first = F.col("l_orderkey") * 1000 + 1
+    blocks = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("f"), F.pmod("l_suppkey", F.lit(9)), F.lit(".go")).alias("file"), first.alias("first"), (first + F.col("l_partkey") * F.col("l_linenumber") * 50).alias("last"), (F.col("l_quantity").cast("long") - 25).alias("count")
+    )
+    return coverage.rolled(coverage.swept(blocks))
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -463,6 +481,78 @@ def total_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tracks(spark, sf_dir).select("path", "number", timelapse.total_duration(F.col("stts")).alias("duration"))
 
 
+_SAMPLES_SQL = """
+    WITH s AS (SELECT l_suppkey % 3 AS k, row_number() OVER (PARTITION BY l_suppkey % 3 ORDER BY l_orderkey, l_linenumber, l_partkey) AS pos, l_partkey AS size FROM lineitem),
+    t AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+    r AS (SELECT k, n, 1 + 40 * n_nationkey AS lo, n_nationkey % 5 + 1 + k AS per, coalesce(lead(40 * n_nationkey) OVER (PARTITION BY k ORDER BY n_nationkey), 961 + n // 6) AS hi FROM t, nation),
+    f AS (SELECT *, coalesce(sum((hi - lo + 1) * per) OVER (PARTITION BY k ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r),
+    c AS (SELECT k, n, per, chunk, (before + (chunk - lo) * per)::BIGINT AS skipped FROM (SELECT *, unnest(generate_series(lo, hi)) AS chunk FROM f)),
+    p AS (SELECT k, pos, sum(size) OVER (PARTITION BY k ORDER BY pos) AS reached FROM s)
+"""
+
+
+@query(_SAMPLES_SQL + """
+    SELECT c.k, chunk, skipped + 1 AS first_sample, per AS n_samples, CASE WHEN c.k = 2 THEN 7 * greatest(0, least(skipped + per, n) - skipped) ELSE coalesce(b.reached, 0) - coalesce(a.reached, 0) END::BIGINT AS bytes
+    FROM c LEFT JOIN p a ON a.k = c.k AND a.pos = least(skipped, n) LEFT JOIN p b ON b.k = c.k AND b.pos = least(skipped + per, n)
+""")
+def sample_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the chunks of three tracks with a third of the lines each as samples, from blocks of sizes; the last track has one size."""
+    from atelier.operators.stretches import Stretches
+    from atelier.sources import samples
+
+    lines = table(spark, sf_dir, "lineitem").select(F.pmod("l_suppkey", F.lit(3)).alias("k"), "l_orderkey", "l_linenumber", "l_partkey")
+    cut = Stretches(lines, ["k"], ["l_orderkey", "l_linenumber", "l_partkey"])
+    placed = cut.before(cut.rows, F.lit(1), "pos").select("k", (F.coalesce("pos", F.lit(0)) + 1).alias("pos"), "l_partkey")
+    heads = lines.groupBy("k").agg(F.count(F.lit(1)).alias("n_samples"), F.first(F.when(F.col("k") == 2, 7).otherwise(0)).alias("uniform"))
+    nation = table(spark, sf_dir, "nation").select((F.lit(1) + 40 * F.col("n_nationkey")).alias("first_chunk"), (F.col("n_nationkey") % 5 + 1).alias("per"))
+    runs = heads.join(F.broadcast(nation)).select("k", "first_chunk", (F.col("per") + F.col("k")).alias("per_chunk"))  # 25 rows
+    ends = heads.select("k", (F.lit(961) + F.floor(F.col("n_samples") / 6)).cast("long").alias("n_chunks"))
+    return samples.chunk_bytes(samples.chunks(runs, ends, ["k"]), heads, samples.blocked(placed.where("k < 2"), ["k"], "pos", "l_partkey"), ["k"])
+
+
+_LAYOUT_SQL = """, sized AS (SELECT *, CASE WHEN substr(path, 2)::INT % 2 = 0 THEN number % 5 * 134217728 WHEN number = 13 AND substr(path, 2)::INT % 3 = 0 THEN 4294967290 ELSE 0 END + n * 200 AS bytes FROM sh),
+    heads AS (SELECT *, CASE WHEN bytes + 8 >= 4294967296 THEN 16 ELSE 8 END AS head FROM sized),
+    places AS (SELECT *, (coalesce(sum(bytes + head) OVER (PARTITION BY path ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + head)::BIGINT AS base FROM heads),
+    behind AS (SELECT v.path, p.shift + v.i AS chunk, (v.i - 1) * 200 + p.base AS spot FROM v JOIN places p USING (path, number)),
+    last AS (SELECT path, max(spot) AS last FROM behind GROUP BY path),
+    d AS (SELECT path, sum(CASE WHEN number = first_value THEN 0 ELSE 1 END)::BIGINT AS n FROM (SELECT path, number % 2 AS number, lag(number % 2, 1, 9) OVER (PARTITION BY path ORDER BY number) AS first_value FROM s) GROUP BY path),
+    co AS (SELECT path, number, 0 AS pos, n, 0 AS x FROM s WHERE number % 2 = 0 UNION ALL SELECT path, number, 1, n, number % 4 FROM s WHERE number % 2 = 0 UNION ALL SELECT path, number, 0, 2 * n, 0 FROM s WHERE number % 2 = 1),
+    cr AS (SELECT path, count(*) FILTER (begins) AS n FROM (SELECT path, coalesce(lag(x) OVER (PARTITION BY path ORDER BY number, pos) <> x, true) AS begins FROM co JOIN anyctts USING (path)) GROUP BY path),
+    sy AS (SELECT path, sum(CASE WHEN number % 3 = 0 THEN (2 * n + 3) // 4 ELSE 2 * n END)::BIGINT AS n FROM s JOIN anysync USING (path) GROUP BY path),
+    form AS (
+        SELECT s.path, sum(s.n)::BIGINT AS n_chunks, sum(2 * s.n * CASE WHEN s.number = 7 THEN 1000000000 ELSE 1 END) AS time, sum(bytes)::BIGINT AS media_bytes FROM s JOIN sized USING (path, number) GROUP BY s.path),
+    h AS (
+        SELECT f.*, 24 + 8 + CASE WHEN time >= 4294967296 THEN 120 + 104 + 44 ELSE 108 + 92 + 32 END + 32 + 45 + 36 + 20 + 108 + 16 + 8 * d.n + 28
+               + CASE WHEN sy.n IS NULL THEN 0 ELSE 16 + 4 * sy.n END + CASE WHEN cr.n IS NULL THEN 0 ELSE 16 + 8 * cr.n END + 20 + 4 * 2 * n_chunks + 16 AS fixed, l.last
+        FROM form f JOIN d USING (path) LEFT JOIN sy USING (path) LEFT JOIN cr USING (path) JOIN last l USING (path)),
+    decided AS (SELECT path, n_chunks, media_bytes, fixed + 4 * n_chunks + last >= 4294967296 AS wide, fixed + n_chunks * CASE WHEN fixed + 4 * n_chunks + last >= 4294967296 THEN 8 ELSE 4 END AS header FROM h)
+"""
+
+
+def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Segments with media of up to half a GiB, one of over 4 or little, as their archive has it; the seventh lasts so long that headers need their long form."""
+    from atelier.plans import layout
+
+    long = F.when(F.col("number") == 7, 1_000_000_000).otherwise(1).cast("long")
+    tracks = _tracks(spark, sf_dir).withColumns({"description": F.lit("00" * 100), "media_duration": F.size("sizes") * long, "track_duration": F.size("sizes") * long, "config_box": F.lit("avcC"), "references": F.lit(1)})
+    supplier = F.substr("path", F.lit(2)).cast("int")
+    media = F.when(supplier % 2 == 0, F.col("number") % 5 * F.lit(1 << 27).cast("long")).when((F.col("number") == 13) & (supplier % 3 == 0), (1 << 32) - 6).otherwise(0)
+    size = media + F.size("chunks") * 200 + 8
+    movies = tracks.select("path", "number", F.lit(0).cast("long").alias("mdat_start"), size.cast("long").alias("mdat_size"), F.lit(8).alias("mdat_head"), F.col("media_duration").alias("movie_duration"))
+    return layout.joined_layout(tracks, movies)
+
+
+@query(_TRACKS_SQL + _LAYOUT_SQL + "SELECT path, n_chunks, header::BIGINT AS header, wide, media_bytes FROM decided")
+def file_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form, _ = _layout(spark, sf_dir)
+    return form.select("path", "n_chunks", F.col("header").cast("long").alias("header"), "wide", "media_bytes")
+
+
+@query(_TRACKS_SQL + _LAYOUT_SQL + "SELECT path, b.chunk, (header + b.spot)::BIGINT AS offset FROM behind b JOIN decided USING (path)")
+def file_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _layout(spark, sf_dir)[1].drop("track")
+
+
 _CHECK_SQL = """, sums AS (SELECT path, number, sum(2 * v + 1) AS bytes FROM v GROUP BY ALL), bad AS (
         SELECT path, number, n, CASE WHEN n > 1 THEN 'track 1 (avc1): chunk offset 208 outside mdat [8,150)' WHEN bytes > 142 THEN 'track 1 (avc1): sample data larger than mdat' END AS problem
         FROM s JOIN sums USING (path, number) WHERE number % 11 = 10)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atelier.operators.stretches import ROWS, Stretches
+
 #: ``file:line.column,line.column statements count``
 LINE = r"^(.+):([0-9]+)\.[0-9]+,([0-9]+)\.[0-9]+\s+(-?[0-9]+)\s+(-?[0-9]+)$"
 
@@ -45,24 +47,49 @@ def merged(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pos").agg(best).select("pos", "b.*")
 
 
+def located(rows: DataFrame, strip: str = "") -> DataFrame:
+    """Adds the package of each block and cuts a prefix off its file: the package is the folder with ``_`` for ``/``, or ``.``."""
+    file = F.when(F.startswith("file", F.lit(strip)), F.substr("file", F.lit(len(strip) + 1))).otherwise(F.col("file"))
+    folder = F.regexp_extract(file, r"(?s)^(.*)/", 1)
+    package = F.when(folder == "", ".").otherwise(F.translate(folder, "/\\", "__"))
+    return rows.withColumns({"package": package, "file": file})
+
+
 def line_hits(rows: DataFrame, strip: str = "") -> DataFrame:
     """Hits of every line that a block covers, the highest of them: package, file, line, hits.
 
-    A prefix is cut off file names; the package is the folder with ``_`` for ``/``, or ``.``. A line's
-    maximum is combined before the shuffle, so blocks that overlap a thousandfold cost little.
+    A line's maximum is combined before the shuffle, so blocks that overlap a thousandfold cost little.
+    For sums over lines ``swept`` needs no line of its own.
     """
-    file = F.when(F.startswith("file", F.lit(strip)), F.substr("file", F.lit(len(strip) + 1))).otherwise(F.col("file"))
-    folder = F.regexp_extract(file, r"(?s)^(.*)/", 1)
-    package = F.when(folder == "", ".").otherwise(F.translate(folder, "/\\", "__"))
-    each = rows.select(package.alias("package"), file.alias("file"), F.explode(F.sequence("first", "last")).alias("line"), "count")
+    each = located(rows, strip).select("package", "file", F.explode(F.sequence("first", "last")).alias("line"), "count")
     return each.groupBy("package", "file", "line").agg(F.max("count").alias("hits"))
 
 
+def swept(rows: DataFrame, strip: str = "", stretch: int = ROWS) -> DataFrame:
+    """Valid and covered lines of every file, by a sweep over its blocks: package, file, valid, covered.
+
+    Blocks are taken by their first lines; each adds the lines beyond the furthest that blocks before it
+    have reached, and if it was hit, those beyond the furthest of hit blocks to the covered lines. So a block
+    costs one row however many lines it has, and a file of very many blocks is cut into stretches.
+    """
+    cut = Stretches(located(rows, strip).select("package", "file", "first", "last", "count"), ["package", "file"], ["first", "last", "count"], stretch)
+    hit = F.when(F.col("count") > 0, F.col("last"))
+    reached = cut.before(cut.rows, F.col("last"), "_reached", F.max, F.greatest)
+    reached = cut.before(reached, hit, "_hit", F.max, F.greatest)
+    added = lambda end, furthest: F.greatest(F.lit(0), end - F.greatest(F.col("first") - 1, F.col(furthest)))
+    covered = F.when(hit.isNotNull(), added(hit, "_hit")).otherwise(0)
+    return reached.groupBy("package", "file").agg(F.sum(added(F.col("last"), "_reached")).alias("valid"), F.sum(covered).alias("covered"))
+
+
 def rates(lines: DataFrame) -> DataFrame:
     """Valid and covered lines and their rate of every file, package and the whole: package, file (null above), valid, covered, rate."""
-    files = lines.groupBy("package", "file").agg(F.count(F.lit(1)).alias("valid"), F.count_if(F.col("hits") > 0).alias("covered"))
-    rolled = files.rollup("package", "file").agg(F.sum("valid").alias("valid"), F.sum("covered").alias("covered"))
-    return rolled.withColumn("rate", F.round(F.col("covered") / F.col("valid"), 4))
+    return rolled(lines.groupBy("package", "file").agg(F.count(F.lit(1)).alias("valid"), F.count_if(F.col("hits") > 0).alias("covered")))
+
+
+def rolled(files: DataFrame) -> DataFrame:
+    """The same from valid and covered lines of every file."""
+    sums = files.rollup("package", "file").agg(F.sum("valid").alias("valid"), F.sum("covered").alias("covered"))
+    return sums.withColumn("rate", F.round(F.col("covered") / F.col("valid"), 4))
 
 
 def profile_text(rows: DataFrame) -> DataFrame:
