@@ -1,4 +1,8 @@
-"""Near copies by their five-word shingles: ball hashing of SimHash fingerprints finds pairs, exact Jaccard similarity decides."""
+"""Near copies by their five-word shingles: ball hashing of SimHash fingerprints finds pairs, exact Jaccard similarity decides.
+
+Where very many texts meet in one variant, as texts made from a template do, an exact search by shared
+shingles takes over for those texts, so that no pair is lost and none is made for being in a crowd.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atelier.llm.common import discard, parts_of, stored
+from atelier.llm.common import discard, parts_of, split_by_ids, stored
 from atelier.llm.components import connected_components
 
 #: Independent fingerprints a text, and bits of each. Two fingerprints of ``BITS`` bits lie in one long.
@@ -19,8 +23,8 @@ PRINTS, BITS = 12, 28
 LANES = PRINTS // 2
 #: Two texts at similarity 0.8 differ in 15.2 % of their fingerprints' bits, 50.9 of 336 with a deviation of 6.6.
 MOST_BITS = 80
-#: Members of one variant's bucket that each is paired with, beside the least one.
-BEFORE = 4
+#: Members of a bucket of which all pairs are compared. Texts of fuller buckets are searched by their shingles instead.
+SMALL = 8
 #: Characters of text that a worker handles at once.
 AT_ONCE = 4_000_000
 
@@ -35,7 +39,7 @@ def shingles(text: str | None, size: int = 5) -> set[bytes]:
 
 def prints(own: set[bytes]) -> tuple[int, list[int]]:
     """Hash of a set of shingles, and its fingerprints, two in a number."""
-    h = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, own), dtype="<u8", count=len(own)))
+    h = _set_of(own)
     lanes = np.empty((len(h), LANES), dtype="<u8")
     for k in range(LANES):  # splitmix64
         z = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
@@ -49,8 +53,18 @@ def prints(own: set[bytes]) -> tuple[int, list[int]]:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(h.tobytes())))), bits.tolist()
 
 
+def _set_of(own: set[bytes]) -> np.ndarray:
+    """The shingles of a set as 64-bit hashes."""
+    return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, own), dtype="<u8", count=len(own)))
+
+
+def _identified(docs: DataFrame, *columns: str) -> DataFrame:
+    """Documents with ``row_id``, a hash of id and text: one for rows that are repeated only."""
+    return docs.select(*columns, "text", F.xxhash64("doc_id", "text").alias("row_id"))
+
+
 def _printed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_id (hash of the text), set_id (one for all texts with the same shingles), n (distinct shingles) and the fingerprints f0, f1, ..."""
+    """doc_id, row_id, set_id (one for all texts with the same shingles), n (distinct shingles) and the fingerprints f0, f1, ..."""
     lanes = [f"f{k}" for k in range(LANES)]  # two fingerprints each
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,11 +78,10 @@ def _printed(docs: DataFrame) -> DataFrame:
                     sizes.append(len(s))
                     own.append(f)
                 columns = [part.column(0), part.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(c, pa.int64()) for c in zip(*own, strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "set_id", "n", *lanes])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_id", "set_id", "n", *lanes])
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_id"))
-    return rows.mapInArrow(compute, f"doc_id {kind}, text_id long, set_id long, n int, " + ", ".join(f"{f} long" for f in lanes))
+    return _identified(docs, "doc_id").mapInArrow(compute, f"doc_id {kind}, row_id long, set_id long, n int, " + ", ".join(f"{f} long" for f in lanes))
 
 
 def variants() -> Column:
@@ -81,75 +94,139 @@ def variants() -> Column:
     return F.flatten(F.array(*balls))
 
 
-def candidates(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Pairs a, b of sets of which one of the fingerprints differs in two bits or fewer, and all together in few.
+def _buckets(keyed: DataFrame, key: str, member: Column, order: list[str]) -> DataFrame:
+    """Members of every key that several rows have, in order; of fuller ones the first ``SMALL`` + 1, which tells them from the others."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    first = keyed.withColumn("_place", place).where(F.col("_place") <= SMALL + 1)
+    return first.groupBy(key).agg(F.array_sort(F.collect_list(member)).alias("members")).where(F.size("members") > 1)
+
+
+def _all_pairs(members: Column) -> Column:
+    """All pairs of a short array, earlier ones first."""
+    return F.flatten(F.transform(members, lambda x, i: F.transform(F.slice(members, i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+
+
+def candidates(sets: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Pairs a, b of sets of which one of the fingerprints differs in two bits or fewer, and all together in few; and the sets of crowded buckets.
 
     Every set emits the ball of radius one around each of its fingerprints; two fingerprints within two
-    bits meet in a variant. In a variant's bucket each member is paired with the least one and with those
-    just before it, so that a bucket of any size gives a number of pairs in proportion to it: copies
-    that meet in large buckets are joined by the other buckets and by classes' transitivity.
+    bits meet in a variant. In buckets of up to ``SMALL`` members all pairs are made. Members of fuller ones are
+    returned as ``set_id``; how they are linked among each other is found by ``crowded``.
     """
     spark, lanes = sets.sparkSession, range(LANES)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = sets.repartition(tasks, "set_id").select(F.explode(variants()).alias("variant"), F.col("set_id").alias("b"))
-    w = Window.partitionBy("variant").orderBy("b")
-    others = F.array(F.first("b").over(w), *(F.lag("b", k).over(w) for k in range(1, BEFORE + 1)))
-    met = keyed.select("b", others.alias("o")).where(F.get("o", F.lit(1)).isNotNull()).select(F.explode(F.array_distinct("o")).alias("a"), "b").where("a <> b").distinct()
+    buckets = stored(_buckets(keyed, "variant", F.col("b"), ["b"]), "buckets")
+    met = buckets.where(F.size("members") <= SMALL).select(F.explode(_all_pairs(F.col("members"))).alias("p")).select("p.a", "p.b").distinct()
     side = lambda s: sets.select(F.col("set_id").alias(s), F.col("n").alias(f"n_{s}"), *(F.col(f"f{k}").alias(f"{s}{k}") for k in lanes))
     differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in lanes), F.lit(0))
     near = (differ <= MOST_BITS) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-    return met.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
+    pairs = stored(met.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "candidates")
+    full = buckets.where(F.size("members") > SMALL).select("variant")
+    crowd = stored(keyed.join(full, "variant").select(F.col("b").alias("set_id")).distinct(), "crowd")
+    discard(spark, buckets)
+    return pairs, crowd
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The pairs whose shingles have a Jaccard similarity of ``similarity`` or more, compared themselves, not their hashes.
+def gathered(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Shingles of the wanted sets as hashes: set_id, hashes. wanted: set_id and row_id, a row that has the set.
 
-    Pairs get the text of ``a`` first, while they are small: ``a`` may be one text for very many pairs.
+    Rows that no set concerns are told by a map of bits and stay where they are.
     """
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, set()
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts_of(batch, AT_ONCE, text=3):
-                ids, left, right, keep = part.column(0).to_pylist(), part.column(2), part.column(3), []
-                for i, a in enumerate(ids):
-                    if a != last:
-                        last, first = a, shingles(left[i].as_py())
-                    second = shingles(right[i].as_py())
-                    both = len(first & second)
-                    keep.append(both >= similarity * (len(first) + len(second) - both))
-                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for part in parts_of(batch, AT_ONCE, text=0):
+                own = [pa.array(_set_of(shingles(t)).view("<i8")) for t in part.column(0).to_pylist()]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.concat_arrays(own))
+                yield pa.RecordBatch.from_arrays([part.column(1), lists], names=["row_id", "hashes"])
+
+    maybe, _ = split_by_ids(_identified(docs), wanted.select("row_id"), "row_id")
+    rows = maybe.select("text", "row_id").mapInArrow(hashed, "row_id long, hashes array<long>").join(wanted, "row_id")
+    return rows.groupBy("set_id").agg(F.first("hashes").alias("hashes"))
+
+
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Pairs with both sides' hashes (a_h, b_h) and whether their Jaccard similarity is ``similarity`` or more (linked)."""
+    side = lambda s: sets.select(F.col("set_id").alias(s), F.col("hashes").alias(f"{s}_h"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("a_h", "b_h")))
+    return rows.withColumn("linked", F.col("both") >= similarity * (F.size("a_h") + F.size("b_h") - F.col("both"))).drop("both")
 
-    side = lambda s: texts.select(F.col("set_id").alias(s), F.col("text").alias(f"text_{s}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(compare, "a long, b long")
+
+def crowded(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Links a, b between sets that join the same classes as all links at ``similarity`` or more. sets: set_id, hashes.
+
+    Two sets that are linked share one of their rarest shingles: of n, one of the first n - ceil(n *
+    similarity) + 1, in any order that all sets follow. So sets meet by those. Where up to ``SMALL`` meet,
+    all pairs are compared. Where more do, each is compared with the smallest of them, the hub. Two that are linked
+    with each other but not both with the hub share a shingle that the hub lacks, as it is no larger than either
+    and shares fewer with one of them; so the next round has them meet by the shingles that the hub
+    lacks, and hubs grow from round to round until no group is large.
+    """
+    spark = sets.sparkSession
+    each = sets.select("set_id", F.explode("hashes").alias("h"))
+    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = each.join(often, "h").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    size = F.size("hashes")
+    rare = F.floor(size - F.ceil(size * F.lit(similarity) - 1e-9) + 1).cast("int")
+    # shingles of one set only are the rarest of all: they take up the first places
+    known = sets.join(shared, "set_id").select("set_id", size.alias("n"), "hashes", F.col("s.h").alias("shared"), (rare - (size - F.size("s"))).alias("places"))
+    known = stored(known, "shared")
+    meeting = known.where("places > 0").select(F.explode(F.slice("shared", F.lit(1), F.col("places"))).alias("key"), "set_id", "n", F.lit(False).alias("joined"))
+    links, pairs = [], []
+    while True:
+        meeting = stored(meeting, "meeting")
+        member = F.struct("n", "set_id", "joined")
+        buckets = stored(_buckets(meeting, "key", member, ["n", "set_id"]), "buckets")
+        apart = F.explode(F.filter(_all_pairs(F.col("members")), lambda p: ~(p["a"]["joined"] & p["b"]["joined"]))).alias("p")
+        pairs.append(stored(buckets.where(F.size("members") <= SMALL).select(apart).select(F.col("p.a.set_id").alias("a"), F.col("p.b.set_id").alias("b")).distinct(), "pairs"))
+        full = buckets.where(F.size("members") > SMALL).select("key", F.col("members")[0]["set_id"].alias("a"))
+        spokes = stored(meeting.join(full, "key").where(F.col("set_id") != F.col("a")).select("a", F.col("set_id").alias("b")).distinct(), "spokes")
+        discard(spark, buckets, meeting)
+        if spokes.isEmpty():
+            break
+        met = compared(spokes, known, similarity)
+        own = known.select(F.col("set_id").alias("b"), "n", "shared")
+        rest = met.join(own, "b").select("a", "b", "n", "linked", F.array_except("shared", "a_h").alias("rest"))
+        rest = stored(rest, "rest")
+        links.append(rest.where("linked").select("a", "b"))
+        parted = rest.select("a", F.explode("rest").alias("h"), F.col("b").alias("set_id"), "n", F.col("linked").alias("joined"))
+        parted = parted.withColumn("key", F.xxhash64("a", "h")).drop("a", "h")
+        open_ = parted.groupBy("key").agg(F.bool_and("joined").alias("all"), F.count(F.lit(1)).alias("m")).where("m > 1 AND NOT all").select("key")
+        meeting = parted.join(open_, "key", "left_semi")
+    found = pairs[0]
+    for p in pairs[1:]:
+        found = found.unionByName(p)
+    sized = known.select("set_id", "n")
+    bound = F.least("n", "m") >= similarity * F.greatest("n", "m")
+    found = found.distinct().join(sized.withColumnRenamed("set_id", "a"), "a").join(sized.select(F.col("set_id").alias("b"), F.col("n").alias("m")), "b").where(bound).select("a", "b")
+    out = compared(found, known, similarity).where("linked").select("a", "b")
+    for extra in links:
+        out = out.unionByName(extra)
+    return out
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id (smallest doc_id) of every document's class of near copies.
 
     docs: doc_id and text; other columns are ignored. Texts are linked where the Jaccard similarity of
-    their distinct five-word shingles is ``similarity`` or more; classes are what links reach. Texts with the
-    same shingles, and those without words (null, empty, blank), are one before pairs are sought; a text
-    of five words or fewer is one shingle. Repeated rows are of one class; a null doc_id takes part in
-    links but never names a class; an empty table gives an empty result. Each text's least candidate
-    is verified first; of the other candidates only those that would still join two classes.
+    their distinct five-word shingles (as 64-bit hashes) is ``similarity`` or more; classes are what links
+    reach. Texts with the same shingles, and those without words (null, empty, blank), are one before
+    pairs are sought; a text of five words or fewer is one shingle. Repeated rows are of one class; a null
+    doc_id takes part in links but never names a class; an empty table gives an empty result.
     """
+    spark = docs.sparkSession
     printed = stored(_printed(docs), "prints")
     lanes = [F.first(f"f{k}").alias(f"f{k}") for k in range(LANES)]
-    sets = stored(printed.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min("text_id").alias("text_id"), F.first("n").alias("n"), *lanes), "sets")
-    pairs = stored(candidates(sets.where("n > 0"), similarity), "candidates")
-    used = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    wanted = sets.join(used, "set_id").select("set_id", "text_id")
-    texts = stored(docs.select("text", F.xxhash64("text").alias("text_id")).join(wanted, "text_id").groupBy("set_id").agg(F.min("text").alias("text")), "texts")
-    least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stored(verified(least, texts, similarity), "links")
-    roots = connected_components(links)
-    root = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
-    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    rest = pairs.join(least, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left").where(apart).select("a", "b")
-    links = stored(links.unionByName(verified(rest, texts, similarity)), "links")
-    discard(docs.sparkSession, texts, pairs)
+    sets = stored(printed.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min("row_id").alias("row_id"), F.first("n").alias("n"), *lanes), "sets")
+    pairs, crowd = candidates(sets.where("n > 0"), similarity)
+    used = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(crowd).distinct()
+    hashes = stored(gathered(docs, sets.join(used, "set_id").select("set_id", "row_id")), "hashes")
+    links = compared(pairs, hashes, similarity).where("linked").select("a", "b")
+    if not crowd.isEmpty():
+        links = links.unionByName(crowded(hashes.join(crowd, "set_id"), similarity))
+    links = stored(links, "links")
+    discard(spark, hashes, pairs, crowd)
     roots = connected_components(links).select(F.col("node").alias("set_id"), "root")
     placed = sets.join(roots, "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("root"), "first_id")
     classes = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -9,6 +9,8 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
+from atelier.llm import nearcopies  # noqa: E402
+from tests.llm.test_pipeline import brute_near  # noqa: E402
 
 
 def grams(text):
@@ -62,3 +64,46 @@ def test_rows_that_share_a_doc_id_are_compared_by_their_own_texts(spark):
     rows = [(5, " ".join(one)), (5, " ".join(two)), (6, " ".join(edited(r, two, 2))), (None, " ".join(edited(r, one, 1)))]
     out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted((x.doc_id for x in out), key=str) == [5, None]
+
+
+def templated(seed, groups, common=300, of_group=30, own=10, copies=2):
+    """Texts made from one template, whose groups are just below 0.8 to each other and copies of a group far above."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(10**9)}"
+    base, rows = [word() for _ in range(common)], []
+    for _ in range(groups):
+        group = [word() for _ in range(of_group)]
+        rows += [(len(rows) + k, " ".join(base + group + [word() for _ in range(own)])) for k in range(copies)]
+    return rows
+
+
+def classes(spark, rows):
+    df = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    return {x.doc_id: x.component_id for x in df.collect()}
+
+
+def test_all_copies_are_found_in_texts_of_one_template(spark):
+    rows = templated(8, 300)
+    assert classes(spark, rows) == brute_near(rows) and len(set(brute_near(rows).values())) == 300
+
+
+def test_crowds_of_any_shape_lose_no_link(spark, monkeypatch):
+    """Chains, hubs, texts of several lengths and templates within templates; every bucket is crowded."""
+    monkeypatch.setattr(nearcopies, "SMALL", 2)
+    r = random.Random(11)
+    rows = templated(9, 25, common=60, of_group=12, own=2)
+    for k in range(12):
+        base = [f"c{r.randrange(10**9)}" for _ in range(r.choice([30, 40, 80]))]
+        for _ in range(6):
+            base = edited(r, base, r.choice([1, 1, 2])) + ([f"e{k}"] if r.random() < 0.3 else [])
+            rows.append((len(rows), " ".join(base)))
+    for _ in range(40):
+        rows.append((len(rows), " ".join(edited(r, rows[0][1].split(), r.randrange(0, 3)))))
+    expected = brute_near(rows)
+    sets = spark.createDataFrame([(d, sorted({hash(g) for g in grams(t)})) for d, t in rows], "set_id long, hashes array<long>")
+    links = {(x.a, x.b) for x in nearcopies.crowded(sets).collect()}
+    root = {d: d for d, _ in rows}
+    for _ in range(len(rows)):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert root == expected and 20 < len(set(expected.values())) < len(rows) - 60

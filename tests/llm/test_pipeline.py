@@ -14,7 +14,7 @@ pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
 from atelier.llm.queries import OP2_SQL, end_id, tokenizer_file  # noqa: E402
-from tests.llm.test_operators import brute_classes, brute_quality, brute_simhash  # noqa: E402
+from tests.llm.test_operators import brute_quality  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,6 +23,30 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
+def brute_near(rows, similarity=0.8):
+    """Smallest id of each document's class: all pairs of sets of five-word shingles are compared."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a == sets[j] or both and both >= similarity * (len(a) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return {d: least[find(i)] for i, (d, _) in enumerate(rows)}
+
+
 def brute(docs, items):
     """Ids and token CRCs that run() should give; so few labels certify no cutoff, so only base rules reject."""
     kept = []
@@ -30,7 +54,7 @@ def brute(docs, items):
         m = brute_quality(text)
         if m[0] >= 50 and 100 * m[4] <= 50 * m[0]:
             kept.append((d, text, source))
-    first = {d: c for d, _, c in brute_classes([(d, brute_simhash(t)) for d, t, _ in kept])}
+    first = brute_near([(d, t) for d, t, _ in kept])
     kept = [r for r in kept if first[r[0]] == r[0]]
     windows = set()
     for text in items:
