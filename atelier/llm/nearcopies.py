@@ -1,7 +1,7 @@
 """Near copies by their five-word shingles: ball hashing of SimHash fingerprints finds pairs, exact Jaccard similarity decides.
 
-Where very many texts meet in one variant, as texts made from a template do, an exact search by shared
-shingles takes over for those texts, so that no pair is lost and none is made for being in a crowd.
+Where very many texts meet in one variant, as texts made from a template do, those texts are compared
+exactly, in blocks, so that no pair is lost and none leaves a task for being in a crowd.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ LANES = PRINTS // 2
 MOST_BITS = 80
 #: Members of a bucket of which all pairs are compared. Texts of fuller buckets are searched by their shingles instead.
 SMALL = 8
+#: Shingles in a block of a crowd's sets, and how many of them are counted at once.
+BLOCK, COLUMNS = 400_000, 4096
 #: Characters of text that a worker handles at once.
 AT_ONCE = 4_000_000
 
@@ -111,7 +113,7 @@ def candidates(sets: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, Dat
 
     Every set emits the ball of radius one around each of its fingerprints; two fingerprints within two
     bits meet in a variant. In buckets of up to ``SMALL`` members all pairs are made. Members of fuller ones are
-    returned as ``set_id``; how they are linked among each other is found by ``crowded``.
+    returned as ``set_id``; how they are linked is found by ``crowded``.
     """
     spark, lanes = sets.sparkSession, range(LANES)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -153,57 +155,72 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: float = 0.8) -> Data
     return rows.withColumn("linked", F.col("both") >= similarity * (F.size("a_h") + F.size("b_h") - F.col("both"))).drop("both")
 
 
+def joined(left: np.ndarray, own: np.ndarray, other: np.ndarray, sizes: np.ndarray, flat: np.ndarray, similarity: float) -> np.ndarray:
+    """Of sets laid end to end, the least one that each of ``own`` or ``other`` is linked with through these two blocks; itself without one.
+
+    left: the set of each of ``flat``'s shingles. Overlaps of all pairs between the blocks are counted exactly, by
+    products of their membership matrices, some thousand shingles at a time.
+    """
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1
+    shared = times[column] > 1
+    rows, columns = left[shared], rank[column[shared]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    both = np.zeros((len(own), len(other)), np.float32)
+    for lo in range(0, int(columns[-1]) + 1 if len(columns) else 0, COLUMNS):
+        some = slice(*np.searchsorted(columns, [lo, lo + COLUMNS]))
+        member = np.zeros((len(sizes), COLUMNS), np.float32)
+        member[rows[some], columns[some] - lo] = 1
+        both += member[own] @ member[other].T
+    near = (both > 0) & (both >= similarity * (sizes[own][:, None] + sizes[other][None, :] - both))
+    label = np.arange(len(sizes))
+    while True:
+        last = label.copy()
+        label[own] = np.minimum(label[own], np.where(near, label[other][None, :], len(sizes)).min(1, initial=len(sizes)))
+        label[other] = np.minimum(label[other], np.where(near, label[own][:, None], len(sizes)).min(0, initial=len(sizes)))
+        if (label == last).all():
+            return label
+
+
 def crowded(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Links a, b between sets that join the same classes as all links at ``similarity`` or more. sets: set_id, hashes.
 
-    Two sets that are linked share one of their rarest shingles: of n, one of the first n - ceil(n *
-    similarity) + 1, in any order that all sets follow. So sets meet by those. Where up to ``SMALL`` meet,
-    all pairs are compared. Where more do, each is compared with the smallest of them, the hub. Two that are linked
-    with each other but not both with the hub share a shingle that the hub lacks, as it is no larger than either
-    and shares fewer with one of them; so the next round has them meet by the shingles that the hub
-    lacks, and hubs grow from round to round until no group is large.
+    All sets are compared, in blocks: those of similar sizes, as no others can be linked, each pair of blocks in
+    a task of its own, which holds two blocks and returns one link a set at most, however many it has.
+    So nothing grows with the square of a crowd but the comparisons themselves, of which a core makes
+    some millions a second.
     """
-    spark = sets.sparkSession
-    each = sets.select("set_id", F.explode("hashes").alias("h"))
-    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = each.join(often, "h").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
     size = F.size("hashes")
-    rare = F.floor(size - F.ceil(size * F.lit(similarity) - 1e-9) + 1).cast("int")
-    # shingles of one set only are the rarest of all: they take up the first places
-    known = sets.join(shared, "set_id").select("set_id", size.alias("n"), "hashes", F.col("s.h").alias("shared"), (rare - (size - F.size("s"))).alias("places"))
-    known = stored(known, "shared")
-    meeting = known.where("places > 0").select(F.explode(F.slice("shared", F.lit(1), F.col("places"))).alias("key"), "set_id", "n", F.lit(False).alias("joined"))
-    links, pairs = [], []
-    while True:
-        meeting = stored(meeting, "meeting")
-        member = F.struct("n", "set_id", "joined")
-        buckets = stored(_buckets(meeting, "key", member, ["n", "set_id"]), "buckets")
-        apart = F.explode(F.filter(_all_pairs(F.col("members")), lambda p: ~(p["a"]["joined"] & p["b"]["joined"]))).alias("p")
-        pairs.append(stored(buckets.where(F.size("members") <= SMALL).select(apart).select(F.col("p.a.set_id").alias("a"), F.col("p.b.set_id").alias("b")).distinct(), "pairs"))
-        full = buckets.where(F.size("members") > SMALL).select("key", F.col("members")[0]["set_id"].alias("a"))
-        spokes = stored(meeting.join(full, "key").where(F.col("set_id") != F.col("a")).select("a", F.col("set_id").alias("b")).distinct(), "spokes")
-        discard(spark, buckets, meeting)
-        if spokes.isEmpty():
-            break
-        met = compared(spokes, known, similarity)
-        own = known.select(F.col("set_id").alias("b"), "n", "shared")
-        rest = met.join(own, "b").select("a", "b", "n", "linked", F.array_except("shared", "a_h").alias("rest"))
-        rest = stored(rest, "rest")
-        links.append(rest.where("linked").select("a", "b"))
-        parted = rest.select("a", F.explode("rest").alias("h"), F.col("b").alias("set_id"), "n", F.col("linked").alias("joined"))
-        parted = parted.withColumn("key", F.xxhash64("a", "h")).drop("a", "h")
-        open_ = parted.groupBy("key").agg(F.bool_and("joined").alias("all"), F.count(F.lit(1)).alias("m")).where("m > 1 AND NOT all").select("key")
-        meeting = parted.join(open_, "key", "left_semi")
-    found = pairs[0]
-    for p in pairs[1:]:
-        found = found.unionByName(p)
-    sized = known.select("set_id", "n")
-    bound = F.least("n", "m") >= similarity * F.greatest("n", "m")
-    found = found.distinct().join(sized.withColumnRenamed("set_id", "a"), "a").join(sized.select(F.col("set_id").alias("b"), F.col("n").alias("m")), "b").where(bound).select("a", "b")
-    out = compared(found, known, similarity).where("linked").select("a", "b")
-    for extra in links:
-        out = out.unionByName(extra)
-    return out
+    level = F.floor(F.log(size) / float(np.log(1 / similarity)) + 1e-9).cast("int")
+    sized = sets.where(size > 0).select("set_id", "hashes", level.alias("level"))
+    totals = sized.groupBy("level").agg(F.sum(F.size("hashes")).alias("all"))
+    # a row for each factor of 1 / similarity in size
+    counts = totals.select("level", F.greatest(F.ceil(F.col("all") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
+    near = lambda k, name: counts.select((F.col("level") + k).alias("level"), F.col("blocks").alias(name))
+    known = sized.join(F.broadcast(counts), "level").join(F.broadcast(near(-1, "above")), "level", "left").join(F.broadcast(near(1, "below")), "level", "left")
+    own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    cell = lambda low, i, j, side: F.struct(low.alias("low"), F.lit(side // 2).alias("up"), i.alias("i"), j.alias("j"), F.lit(side % 2 == 1).alias("second"))
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    k = F.col("level")
+    cells = F.concat(
+        F.transform(F.filter(upto("blocks"), lambda j: j >= own), lambda j: cell(k, own, j, 0)), F.transform(F.filter(upto("blocks"), lambda i: i < own), lambda i: cell(k, i, own, 1)),
+        F.transform(upto("above"), lambda j: cell(k, own, j, 2)), F.transform(upto("below"), lambda i: cell(k - 1, i, own, 3)),
+    )
+    dealt = known.select("set_id", "hashes", F.explode(cells).alias("c")).select("c.*", "set_id", "hashes")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        ids, lists = rows.column("set_id").to_numpy(), rows.column("hashes").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        second = rows.column("second").to_numpy()
+        one = not rows.column("up")[0].as_py() and rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+        own, other = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(~second), np.flatnonzero(second))
+        label = joined(np.repeat(np.arange(len(ids)), sizes), own, other, sizes, lists.flatten().to_numpy(), similarity)
+        linked = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"a": ids[label[linked]], "b": ids[linked]})
+
+    return dealt.groupBy("low", "up", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

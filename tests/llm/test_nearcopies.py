@@ -88,8 +88,9 @@ def test_all_copies_are_found_in_texts_of_one_template(spark):
 
 
 def test_crowds_of_any_shape_lose_no_link(spark, monkeypatch):
-    """Chains, hubs, texts of several lengths and templates within templates; every bucket is crowded."""
-    monkeypatch.setattr(nearcopies, "SMALL", 2)
+    """Chains, texts of several lengths and templates within templates, cut into many small blocks."""
+    monkeypatch.setattr(nearcopies, "BLOCK", 1500)
+    monkeypatch.setattr(nearcopies, "COLUMNS", 50)
     r = random.Random(11)
     rows = templated(9, 25, common=60, of_group=12, own=2)
     for k in range(12):
