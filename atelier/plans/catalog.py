@@ -165,10 +165,10 @@ def grid_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT l_returnflag, min(l_partkey) AS x0, min(l_suppkey) AS y0, max(l_partkey) + 1 AS x1, max(l_suppkey) + 1 AS y1
-    FROM lineitem WHERE l_quantity > 10 GROUP BY 1
+    FROM lineitem GROUP BY 1
 """)
 def bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.bounding_box(table(spark, sf_dir, "lineitem").where("l_quantity > 10"), ["l_returnflag"], "l_partkey", "l_suppkey")
+    return aggregates.bounding_box(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_partkey", "l_suppkey")
 
 
 @query("""

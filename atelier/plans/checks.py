@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atelier.plans import timelapse
+
 
 def _sum(values: Column, of=lambda v: v) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + of(v))
@@ -82,6 +84,7 @@ def segment_problems(tracks: DataFrame, movies: DataFrame, to_convert: bool = Fa
     rows = movies.join(counts, ["path", "name"], "left").join(first.select("path", "name", text.alias("text")), ["path", "name"], "left")
     found = F.coalesce(
         F.col("error"),
+        F.when(F.col("movie_timescale") == 0, "mvhd timescale is zero"),
         F.when(F.coalesce("n_tracks", F.lit(0)) == 0, "no tracks"),
         F.when(F.col("n_mdat") == 0, "no media data (mdat)"),
         F.when(overlap, "overlapping mdat boxes"),
@@ -101,6 +104,70 @@ def verify(tracks: DataFrame, movies: DataFrame) -> DataFrame:
     good = F.col("problem").isNull()
     return rows.groupBy("path").agg(
         F.count_if(good).alias("n_good"), F.count_if(~good).alias("n_failed"),
-        F.sum(F.when(good, F.col("movie_duration") / F.col("movie_timescale"))).alias("seconds"),
+        F.sum(F.when(good, F.try_divide("movie_duration", "movie_timescale"))).alias("seconds"),
         F.min_by("problem", F.when(~good, F.col("number"))).alias("first_problem"),
     )
+
+
+def verified(tracks: DataFrame, movies: DataFrame) -> DataFrame:
+    """The totals of ``verify`` with its verdict: incompatible (the first segment by number that can't be joined to the first, as ``number: problem``), code.
+
+    Segments are compared only where all of an archive's are good. The code is that of a report.
+    """
+    totals = verify(tracks, movies)
+    fine = totals.where("n_failed = 0").select("path")
+    odd = timelapse.compatibility(tracks.join(fine, "path", "left_semi"), movies.join(fine, "path", "left_semi"))
+    first = odd.groupBy("path").agg(F.min(F.struct("number", "problem")).alias("f"))
+    rows = totals.join(first.select("path", F.concat_ws(": ", F.col("f.number").cast("string"), "f.problem").alias("incompatible")), "path", "left")
+    bad = (F.col("n_failed") > 0) | F.col("incompatible").isNotNull()
+    return rows.withColumn("code", F.when(bad, timelapse.BAD).otherwise(timelapse.OK))
+
+
+def _lines(head: DataFrame, body: DataFrame, tail: DataFrame) -> DataFrame:
+    """Three parts of reports (path, number, line) as sections 0, 1 and 2."""
+    first, second, third = (df.select("path", F.lit(k).alias("section"), "number", "line") for k, df in enumerate((head, body, tail)))
+    return first.unionByName(second).unionByName(third)
+
+
+def _numbered(number: Column, widest: Column) -> Column:
+    """A segment's number, as wide as the largest of its archive."""
+    return F.rpad(number.cast("string"), F.length(widest.cast("string")), F.lit(" "))
+
+
+def _heads(counts: DataFrame, label: Column) -> DataFrame:
+    said = F.array(F.concat(F.lit("input: "), label), F.concat(F.lit("segments: "), F.col("n").cast("string")), F.when(F.col("n") > 0, F.lit("")))
+    return counts.select("path", F.posexplode(F.array_compact(said)).alias("at", "line")).select("path", F.col("at").cast("long").alias("number"), "line")
+
+
+def listing_report(segments: DataFrame, archives: DataFrame) -> DataFrame:
+    """The lines that list an archive's segments: path, section, number, line; in the order of section and number.
+
+    segments: path, name, number. archives: path, label, one a row, those without segments too.
+    """
+    counts = segments.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("number").alias("widest"))
+    known = archives.select("path", "label").join(counts, "path", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    body = segments.join(counts, "path").select("path", "number", F.concat_ws(" ", _numbered(F.col("number"), F.col("widest")), "name").alias("line"))
+    none = known.where("false").select("path", F.lit(0).cast("long").alias("number"), F.lit("").alias("line"))
+    return _lines(_heads(known, F.col("label")), body, none)
+
+
+def verify_report(tracks: DataFrame, movies: DataFrame, archives: DataFrame) -> DataFrame:
+    """The lines that report the health of an archive's segments: path, section, number, line; in the order of section and number.
+
+    Each segment is a line of its own, and where all are good and can be joined there is one of the whole.
+    movies: path, name, number and what ``segment_problems`` asks for. archives: path, label.
+    """
+    bad = segment_problems(tracks, movies)
+    streams = timelapse.streams_summary(tracks)
+    rows = movies.join(bad, ["path", "name"], "left").join(streams, ["path", "number"], "left")
+    counts = movies.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("number").alias("widest"))
+    seconds = F.try_divide("movie_duration", "movie_timescale")
+    number = _numbered(F.col("number"), F.col("widest"))
+    failed = F.concat(number, F.lit(" FAIL  "), F.substring_index("problem", "\n", 1))
+    sound = F.concat(number, F.lit(" ok    "), F.coalesce("streams", F.lit("")), F.lit("  "), F.coalesce(F.format_string("%.2fs", seconds), F.lit("n/a")), F.lit("  "), "name")
+    body = rows.join(counts, "path").select("path", "number", F.when(F.col("problem").isNotNull(), failed).otherwise(sound).alias("line"))
+    fine = verified(tracks, movies).where(F.col("code") == timelapse.OK)
+    said = F.format_string("verify: ok, %d segment(s), ~%.1f s of video", "n_good", F.coalesce("seconds", F.lit(0.0)))
+    tail = fine.select("path", F.posexplode(F.array(F.lit(""), said)).alias("at", "line")).select("path", F.col("at").cast("long").alias("number"), "line")
+    known = archives.select("path", "label").join(counts, "path")
+    return _lines(_heads(known, F.col("label")), body, tail)

@@ -214,17 +214,17 @@ def merged_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of orders as members of the suppliers' archives."""
+    """Lines of orders as members of archives, many of each supplier."""
     kind, n = F.pmod("l_orderkey", F.lit(5)), F.pmod("l_partkey", F.lit(40)).cast("string")
     name = F.when(kind < 2, F.concat(F.lit("video/segments/segment-"), n, F.lit(".mp4"))).when(kind == 2, F.concat(F.lit("VIDEO/Segments/SEGMENT-0"), n, F.lit(".MP4"))).when(
         kind == 3, F.concat(F.lit("video/segments/take"), n, F.lit(".mp4"))
     ).otherwise(F.concat(F.lit("Document/"), n, F.lit(".lz4")))
-    lines = table(spark, sf_dir, "lineitem").where("l_suppkey % 7 > 0 AND l_quantity > 45")
-    return lines.select(F.concat(F.lit("s"), "l_suppkey").alias("path"), name.alias("name"), F.lit(False).alias("is_dir"), F.lit(None).cast("string").alias("error"), F.col("l_quantity").cast("long").alias("packed")).distinct()
+    path = F.concat(F.lit("s"), "l_suppkey", F.lit("-"), F.pmod("l_orderkey", F.lit(37)))
+    return table(spark, sf_dir, "lineitem").select(path.alias("path"), name.alias("name"), F.lit(False).alias("is_dir"), F.lit(None).cast("string").alias("error"), F.col("l_quantity").cast("long").alias("packed")).distinct()
 
 
 _MEMBERS_SQL = """
-    WITH m AS (SELECT DISTINCT 's' || l_suppkey AS path, l_orderkey % 5 AS kind, l_partkey % 40 AS n, l_quantity::BIGINT AS packed FROM lineitem WHERE l_suppkey % 7 > 0 AND l_quantity > 45),
+    WITH m AS (SELECT DISTINCT 's' || l_suppkey || '-' || l_orderkey % 37 AS path, l_orderkey % 5 AS kind, l_partkey % 40 AS n, l_quantity::BIGINT AS packed FROM lineitem),
     k AS (SELECT DISTINCT path, packed, CASE WHEN kind < 2 THEN 'a' WHEN kind = 2 THEN 'b' WHEN kind = 3 THEN 'c' ELSE 'd' END AS kind, n FROM m),
     s AS (SELECT path, n, count(*) AS c FROM k WHERE kind IN ('a', 'b') GROUP BY ALL),
     g AS (SELECT path, n + 1 AS lo, lead(n) OVER (PARTITION BY path ORDER BY n) - 1 AS hi FROM s),
@@ -236,11 +236,11 @@ _MEMBERS_SQL = """
 @query(_MEMBERS_SQL + """
     SELECT path, count(*) FILTER (kind IN ('a', 'b')) AS n_segments, min(n) FILTER (kind IN ('a', 'b')) AS first, max(n) FILTER (kind IN ('a', 'b')) AS last,
            count(*) FILTER (kind = 'c') AS n_ignored, any_value(missing) AS missing, any_value(clash) AS clash,
-           CASE WHEN any_value(clash) IS NOT NULL THEN 5 WHEN count(*) FILTER (kind IN ('a', 'b')) > 0 THEN 0 WHEN count(*) FILTER (kind = 'c') > 0 THEN 5 ELSE 4 END AS code
+           CASE WHEN any_value(clash) IS NOT NULL THEN 5 WHEN count(*) FILTER (kind IN ('a', 'b')) > 0 THEN 0 ELSE 4 END AS code
     FROM k LEFT JOIN gaps USING (path) LEFT JOIN clash USING (path) GROUP BY path
 """)
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timelapse.listing(_members(spark, sf_dir)).drop("problem", "error")
+    return timelapse.listing(_members(spark, sf_dir), to_convert=False).drop("problem", "error")
 
 
 @query(_MEMBERS_SQL + """
@@ -430,9 +430,16 @@ def joined_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timelapse.merged_sync(_tracks(spark, sf_dir)).drop("track")
 
 
-@query(_TRACKS_SQL + "SELECT path, 1::BIGINT AS first_chunk, 2::BIGINT AS per_chunk FROM s GROUP BY path")
+@query(_TRACKS_SQL + """,
+    e AS (SELECT path, shift + 1 AS first_chunk, CASE WHEN number % 3 = 0 THEN 2 ELSE 1 END AS per_chunk FROM sh UNION ALL SELECT path, shift + 2, number % 4 FROM sh WHERE number % 3 > 0 AND n > 1)
+    SELECT path, first_chunk::BIGINT AS first_chunk, per_chunk::BIGINT AS per_chunk FROM (SELECT *, lag(per_chunk) OVER (PARTITION BY path ORDER BY first_chunk) AS before FROM e) WHERE before IS DISTINCT FROM per_chunk
+""")
 def joined_chunk_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timelapse.merged_chunk_runs(_tracks(spark, sf_dir)).drop("track", "description")
+    """Segments have two samples a chunk throughout, or one in their first chunk and up to three in the others."""
+    one = lambda first, per: F.struct(F.lit(first).cast("long").alias("first_chunk"), F.lit(per).cast("long").alias("per_chunk"), F.lit(1).cast("long").alias("description"))
+    later = F.when(F.size("chunks") > 1, F.array(one(1, 1), one(2, F.col("number") % 4))).otherwise(F.array(one(1, 1)))
+    tracks = _tracks(spark, sf_dir).withColumn("stsc", F.when(F.col("number") % 3 == 0, F.array(one(1, 2))).otherwise(later))
+    return timelapse.merged_chunk_runs(tracks).drop("track", "description")
 
 
 @query(_TRACKS_SQL + "SELECT path, number, i AS chunk, 2 * i - 1 AS first_sample, 2::BIGINT AS n_samples, 2 * v + 1 AS bytes FROM v")
@@ -470,10 +477,13 @@ def offset_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_TRACKS_SQL + """
-    SELECT path, 2 * sum(n)::BIGINT AS n_samples, 0::BIGINT AS uniform FROM s GROUP BY path
+    SELECT path, 2 * sum(n)::BIGINT AS n_samples, CASE WHEN substr(path, 2)::INT % 3 = 0 THEN 5 ELSE 0 END::BIGINT AS uniform FROM s GROUP BY path
 """)
 def joined_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timelapse.merged_sizes(_tracks(spark, sf_dir)).select("path", F.col("n_samples").cast("long").alias("n_samples"), F.col("uniform").cast("long").alias("uniform"))
+    """Every third archive has samples of one size only."""
+    same = F.substr("path", F.lit(2)).cast("int") % 3 == 0
+    tracks = _tracks(spark, sf_dir).withColumn("sizes", F.when(same, F.transform("sizes", lambda _: F.lit(5).cast("long"))).otherwise(F.col("sizes")))
+    return timelapse.merged_sizes(tracks).select("path", F.col("n_samples").cast("long").alias("n_samples"), F.col("uniform").cast("long").alias("uniform"))
 
 
 @query(_TRACKS_SQL + "SELECT path, number, 2 * n * (number % 2 + 30) AS duration FROM s")
@@ -572,6 +582,75 @@ def verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.verify(_tracks(spark, sf_dir), _movies(spark, sf_dir))
 
 
+def _reported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Archives of which a quarter have a segment for each rule that is broken, and another quarter one that can't be joined."""
+    supplier, n = F.substr("path", F.lit(2)).cast("int"), F.col("number")
+    broken = lambda k: (supplier % 4 == 1) & (n == k)
+    one = lambda first, per: F.array(F.struct(F.lit(first).cast("long").alias("first_chunk"), F.lit(per).cast("long").alias("per_chunk"), F.lit(1).cast("long").alias("description")))
+    none = F.lit(None)
+    change = {
+        "handler": {1: F.lit("text")}, "timescale": {2: F.lit(0)}, "track_id": {3: F.lit(0)}, "sizes": {4: none}, "stsc": {5: F.slice("stsc", 1, 0), 6: one(2, 2), 7: one(1, 0), 8: one(1, 3)},
+        "stts": {9: F.transform("stts", lambda e: F.struct((e["count"] + 1).alias("count"), e["delta"].alias("delta")))}, "sync": {10: F.array(F.lit(1).cast("long"), F.lit(1).cast("long"))}, "chunks": {11: F.reverse("chunks")},
+    }
+    rows = _tracks(spark, sf_dir)
+    own = {}
+    for c, cases in change.items():
+        own[c] = F.col(c)
+        for k, v in cases.items():
+            own[c] = F.when(broken(k), v).otherwise(own[c])
+    shown = {"width": F.lit(320), "height": F.lit(240), "rate": none.cast("int"), "channels": none.cast("int"), "matrix": F.lit("m"), "config_box": F.lit("avcC"), "chroma": F.lit(1), "config_key": F.when((supplier % 4 == 2) & (n == 5), "b").otherwise("a")}
+    tracks = rows.withColumns(own | shown)
+    at, size = F.lit(0).cast("long"), (F.size("chunks") * 200 + 8).cast("long")
+    box = lambda start: F.struct(start.cast("long").alias("start"), size.alias("size"))
+    movies = rows.select(
+        "path", "name", "number", F.when(broken(13), 0).otherwise(30).cast("long").alias("movie_timescale"), (F.size("sizes") * 30).cast("long").alias("movie_duration"), at.alias("mdat_start"), size.alias("mdat_size"),
+        F.when(broken(14), 0).otherwise(1).cast("long").alias("n_mdat"), F.when(broken(16), F.array(box(at), box(at + 4))).otherwise(F.array(box(at))).alias("mdats"), F.when(broken(15), "no moov box").alias("error"),
+    )
+    return tracks, movies, rows.select("path", F.concat("path", F.lit(".procreate")).alias("label")).distinct()
+
+
+_REPORT_SQL = """, judged AS (
+        SELECT path, number, n, 'segment-' || number AS name, CASE WHEN substr(path, 2)::INT % 4 = 1 THEN CASE number
+            WHEN 1 THEN 'track 1 (avc1): handler "text"' WHEN 2 THEN 'track 1 (avc1): mdhd timescale is zero' WHEN 3 THEN 'track 1 (avc1): tkhd track id is zero' WHEN 4 THEN 'track 1 (avc1): truncated sample tables'
+            WHEN 5 THEN 'track 1 (avc1): no chunk structure (stsc)' WHEN 6 THEN 'track 1 (avc1): stsc does not start at chunk 1' WHEN 7 THEN 'track 1 (avc1): stsc entry with zero samples'
+            WHEN 8 THEN 'track 1 (avc1): stsc covers ' || 3 * n || ' samples, stsz has ' || 2 * n WHEN 9 THEN 'track 1 (avc1): stts covers ' || 2 * n + 1 || ' samples, stsz has ' || 2 * n
+            WHEN 10 THEN 'track 1 (avc1): bad sync sample table' WHEN 11 THEN CASE WHEN n > 1 THEN 'track 1 (avc1): chunk offsets not ascending' END WHEN 13 THEN 'mvhd timescale is zero'
+            WHEN 14 THEN 'no media data (mdat)' WHEN 15 THEN 'no moov box' WHEN 16 THEN 'overlapping mdat boxes' END END AS problem FROM s),
+    first AS (SELECT path, min(number) AS lowest, max(number) AS widest, count(*) AS n_all, count(problem) AS n_failed, 2.0::DOUBLE * sum(n) FILTER (problem IS NULL) AS seconds, bool_or(number = 5) AS has5 FROM judged GROUP BY path),
+    odd AS (SELECT path, CASE WHEN n_failed = 0 AND substr(path, 2)::INT % 4 = 2 AND has5 AND n_all > 1 THEN CASE WHEN lowest = 5 THEN 'others' ELSE '5: field "avcC" differs' END END AS incompatible FROM first)
+"""
+
+
+@query(_TRACKS_SQL + _REPORT_SQL + """
+    SELECT path, 0 AS section, 0::BIGINT AS number, 'input: ' || path || '.procreate' AS line FROM first
+    UNION ALL SELECT path, 0, 1, 'segments: ' || n_all FROM first UNION ALL SELECT path, 0, 2, '' FROM first
+    UNION ALL SELECT path, 1, number, rpad(number::VARCHAR, length(widest::VARCHAR)::INT, ' ') || CASE WHEN problem IS NULL THEN ' ok    video h264 320x240 yuv420p  ' || 2 * n || '.00s  ' || name ELSE ' FAIL  ' || problem END FROM judged JOIN first USING (path)
+    UNION ALL SELECT path, 2, 0, '' FROM first JOIN odd USING (path) WHERE n_failed = 0 AND incompatible IS NULL
+    UNION ALL SELECT path, 2, 1, 'verify: ok, ' || n_all || ' segment(s), ~' || seconds::BIGINT || '.0 s of video' FROM first JOIN odd USING (path) WHERE n_failed = 0 AND incompatible IS NULL
+""")
+def verify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.verify_report(*_reported(spark, sf_dir))
+
+
+@query(_TRACKS_SQL + _REPORT_SQL + """
+    SELECT path, n_all - n_failed AS n_good, n_failed, seconds, incompatible, CASE WHEN n_failed > 0 OR incompatible IS NOT NULL THEN 5 ELSE 0 END AS code FROM first JOIN odd USING (path)
+""")
+def verify_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tracks, movies, _ = _reported(spark, sf_dir)
+    return checks.verified(tracks, movies).drop("first_problem")
+
+
+@query(_TRACKS_SQL + """
+    , w AS (SELECT path, count(*) AS n_all, max(number) AS widest FROM s GROUP BY path)
+    SELECT path, 0 AS section, 0::BIGINT AS number, 'input: ' || path || '.procreate' AS line FROM w
+    UNION ALL SELECT path, 0, 1, 'segments: ' || n_all FROM w UNION ALL SELECT path, 0, 2, '' FROM w
+    UNION ALL SELECT path, 1, number, rpad(number::VARCHAR, length(widest::VARCHAR)::INT, ' ') || ' segment-' || number FROM s JOIN w USING (path)
+""")
+def listing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, movies, archives = _reported(spark, sf_dir)
+    return checks.listing_report(movies.select("path", "name", "number"), archives)
+
+
 @query("""
     SELECT user_id, arg_max(event_id, (r, -event_id)) AS event_id FROM (SELECT user_id, event_id, CASE WHEN event_id % 3 > 0 THEN event_id % 17 ELSE -1 END AS r FROM events) GROUP BY user_id
 """)
@@ -584,19 +663,28 @@ def joined_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timelapse.joined_description(tracks).select(F.col("path").alias("user_id"), F.col("number").alias("event_id"))
 
 
-@query("""
-    WITH f AS (SELECT conv_id, arg_min(role, turn) AS role0, arg_min(length(text) % 3, turn) AS n0 FROM conversations GROUP BY conv_id),
-    d AS (SELECT conv_id, turn, list_filter([CASE WHEN role <> role0 THEN 'handler' END, CASE WHEN length(text) % 3 <> n0 THEN 'avcC' END], lambda x: x IS NOT NULL) AS fields FROM conversations JOIN f USING (conv_id))
+_FIELD_SQL = ["handler", "codec fourcc", "width", "height", "sample rate", "channels", "timescale", "avcC", "color matrix", "mvhd timescale"]
+
+
+@query(f"""
+    WITH c AS (SELECT conv_id, turn, CASE WHEN length(text) % 23 = 0 THEN 2 ELSE 1 END AS streams,
+                      [role, (length(text) % 29 = 0)::VARCHAR, {", ".join(f"(length(text) % {k} = 0)::VARCHAR" for k in (5, 7, 11, 13, 17))}, (length(text) % 3)::VARCHAR, (length(text) % 19 = 0)::VARCHAR, (turn % 4 = 3)::VARCHAR] AS v FROM conversations),
+    f AS (SELECT conv_id, arg_min(v, turn) AS v0, arg_min(streams, turn) AS streams0 FROM c GROUP BY conv_id),
+    m AS (SELECT conv_id, arg_min(v, turn) AS vm FROM c JOIN f USING (conv_id) WHERE streams = streams0 GROUP BY conv_id),
+    d AS (SELECT conv_id, turn, CASE WHEN streams <> streams0 THEN ['stream count'] ELSE list_filter(list_transform(range(1, 11), lambda i: CASE WHEN v[i] <> v0[i] THEN {_FIELD_SQL}[i] END), lambda x: x IS NOT NULL) END AS fields
+          FROM c JOIN f USING (conv_id) JOIN m USING (conv_id))
     SELECT conv_id, turn, CASE len(fields) WHEN 1 THEN 'field "' || fields[1] || '" differs' ELSE 'fields "' || array_to_string(fields, '", "') || '" differ' END AS problem FROM d WHERE len(fields) > 0
 """)
 def compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as segments: the role is the handler, the length of the text the configuration."""
-    same = {c: F.lit(1) for c in ("fourcc", "width", "height", "rate", "channels", "timescale", "matrix")}
-    tracks = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("path"), F.col("turn").alias("number"), F.lit(0).alias("track"), F.col("role").alias("handler"), F.lit("avcC").alias("config_box"),
-        (F.length("text") % 3).alias("config_key"), *[v.alias(c) for c, v in same.items()],
+    """Turns as segments of one or two tracks: the role is the handler, the length of the text decides all other fields."""
+    n, has = F.length("text"), lambda k: (F.length("text") % k == 0).cast("int")
+    fields = {"fourcc": F.when(n % 29 == 0, "avc3").otherwise("avc1"), "width": has(5), "height": has(7), "rate": has(11), "channels": has(13), "timescale": has(17), "config_key": n % 3, "matrix": has(19)}
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("path"), F.col("turn").alias("number"), F.col("role").alias("handler"), F.lit("avcC").alias("config_box"), F.when(n % 23 == 0, 2).otherwise(1).alias("streams"), *[v.alias(c) for c, v in fields.items()]
     )
-    return timelapse.compatibility(tracks).select(F.col("path").alias("conv_id"), F.col("number").alias("turn"), "problem")
+    tracks = turns.withColumn("track", F.explode(F.sequence(F.lit(0), F.col("streams") - 1)))
+    movies = turns.select("path", "number", (F.col("number") % 4 == 3).cast("int").alias("movie_timescale"))
+    return timelapse.compatibility(tracks, movies).select(F.col("path").alias("conv_id"), F.col("number").alias("turn"), "problem")
 
 
 @query("SELECT user_id, bool_or(event_type = 'click') AS has_video FROM events GROUP BY user_id")
@@ -606,12 +694,12 @@ def has_video(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_MEMBERS_SQL + """
-    , c AS (SELECT path, CASE WHEN any_value(clash) IS NOT NULL THEN 5 WHEN count(*) FILTER (kind IN ('a', 'b')) > 0 THEN 0 WHEN count(*) FILTER (kind = 'c') > 0 THEN 5 ELSE 4 END AS code
+    , c AS (SELECT path, CASE WHEN any_value(clash) IS NOT NULL THEN 5 WHEN count(*) FILTER (kind IN ('a', 'b')) > 0 THEN 0 ELSE 4 END AS code
             FROM k LEFT JOIN clash USING (path) GROUP BY path)
     SELECT count(*) FILTER (code = 0) AS fine, count(*) FILTER (code = 4) AS no_video, count(*) FILTER (code = 5) AS failed, CASE WHEN count(*) FILTER (code = 5) > 0 THEN 1 ELSE 0 END AS exit_code FROM c
 """)
 def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.diagnosed(timelapse.listing(_members(spark, sf_dir)))
+    return batch.diagnosed(timelapse.listing(_members(spark, sf_dir), to_convert=False))
 
 
 @query(_MEMBERS_SQL + "SELECT path, bool_or(kind IN ('a', 'b')) AS has_timelapse FROM k GROUP BY path")
@@ -656,6 +744,21 @@ def colour_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("v")).distinct().select("v", pixels.to_byte(F.col("v") * 11).alias("byte"))
 
 
+@query("""
+    WITH whole AS (SELECT p_brand, string_agg(p_name, '' ORDER BY p_partkey) AS text FROM part GROUP BY p_brand)
+    SELECT p_brand, octet_length(encode(text)) AS n_bytes, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(text, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+               lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) AS crc FROM whole
+""")
+def joined_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checksum of each brand's names laid end to end, from the names' own checksums and the bytes behind them."""
+    from atelier.functions import checksums
+    from atelier.operators import sequences
+
+    names = _parts(spark, sf_dir).select("p_brand", (-F.col("p_partkey")).alias("back"), F.octet_length("p_name").cast("long").alias("n"), F.crc32("p_name").alias("crc"))
+    placed = sequences.prefix_sum(names, ["p_brand"], "back", "n", out="after")
+    return placed.groupBy("p_brand").agg(F.sum("n").alias("n_bytes"), checksums.joined_crc(F.col("crc"), F.col("after")).alias("crc"))
+
+
 @query("SELECT c_custkey, c_custkey / (c_custkey % 600 + 1) AS seconds FROM customer")
 def seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A movie's duration over its time scale."""

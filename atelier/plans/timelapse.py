@@ -25,8 +25,12 @@ def classified(members: DataFrame) -> DataFrame:
     return numbered.withColumn("ignored", F.coalesce(stray, F.lit(False)))
 
 
-def listing(members: DataFrame) -> DataFrame:
-    """A row an archive: path, n_segments, first, last, n_ignored, missing (as ``1-3, 7``), clash (smallest number that two members have), code, problem."""
+def listing(members: DataFrame, to_convert: bool = True) -> DataFrame:
+    """A row an archive: path, n_segments, first, last, n_ignored, missing (as ``1-3, 7``), clash (smallest number that two members have), code, problem.
+
+    An archive that has only files without a number among its segments can't be converted; a report,
+    without ``to_convert``, has it as one without segments.
+    """
     own = F.col("number")
     keyed = classified(members).groupBy("path", "number").agg(F.count(F.lit(1)).alias("n"), F.count_if("ignored").alias("n_ignored"), F.max("error").alias("error"))
     following = F.lead("number").over(Window.partitionBy("path").orderBy("number"))
@@ -37,7 +41,7 @@ def listing(members: DataFrame) -> DataFrame:
         F.coalesce(F.sum(held), F.lit(0)).alias("n_segments"), F.min("number").alias("first"), F.max("number").alias("last"), F.sum("n_ignored").alias("n_ignored"),
         F.nullif(F.array_join(texts, ", "), F.lit("")).alias("missing"), F.min(F.when(held > 1, own)).alias("clash"), F.max("error").alias("error"),
     )
-    code = F.when(F.col("error").isNotNull(), UNREADABLE).when(F.col("clash").isNotNull(), BAD).when(F.col("n_segments") > 0, OK).when(F.col("n_ignored") > 0, BAD).otherwise(NONE)
+    code = F.when(F.col("error").isNotNull(), UNREADABLE).when(F.col("clash").isNotNull(), BAD).when(F.col("n_segments") > 0, OK).when((F.col("n_ignored") > 0) & F.lit(to_convert), BAD).otherwise(NONE)
     problem = (
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(F.col("clash").isNotNull(), F.concat(F.lit("several members are segment "), F.col("clash")))
@@ -57,7 +61,7 @@ def slim_totals(members: DataFrame) -> DataFrame:
     return classified(members).groupBy("path").agg(F.count_if(~gone).alias("kept"), F.count_if(gone).alias("removed"), F.sum(F.when(gone, F.col("packed")).otherwise(0)).alias("removed_bytes"))
 
 
-#: What two tracks must share, in the order of reports: the column and its name there.
+# What two tracks must share, in the order of reports, by column; the names are those of reports.
 FIELDS = {
     "kind": "stream type", "handler": "handler", "fourcc": "codec fourcc", "width": "width", "height": "height", "rate": "sample rate",
     "channels": "channels", "timescale": "timescale", "config_key": "codec configuration", "matrix": "color matrix",
@@ -124,7 +128,10 @@ def total_duration(stts: Column) -> Column:
 
 
 def merged_composition(tracks: DataFrame) -> DataFrame:
-    """Runs of equal composition offsets of each joined track that has them in any segment: path, track, run, offset, count. A segment without them counts as offset 0."""
+    """Runs of equal composition offsets of each joined track that has them in any segment: path, track, run, offset, count. A segment without them counts as offset 0.
+
+    Whether the first segment has a table makes no difference: offsets of later ones are never lost.
+    """
     any_table = F.max(F.col("ctts").isNotNull()).over(Window.partitionBy("path", "track"))
     plain = F.array(F.struct(F.size("sizes").cast("long").alias("count"), F.lit(0).cast("long").alias("offset")))
     rows = tracks.withColumn("_any", any_table).where("_any").select("path", "track", "number", F.posexplode(F.coalesce("ctts", plain)).alias("pos", "e"))
@@ -224,6 +231,6 @@ def offset_form(tracks: DataFrame, movies: DataFrame, head: int = 8, header: int
 
 
 def durations(movies: DataFrame) -> DataFrame:
-    """Seconds of each archive's video: as the joined file has them, and as the sum over segments."""
-    joined = F.sum("movie_duration") / F.min_by("movie_timescale", "number")
-    return movies.groupBy("path").agg(joined.alias("seconds"), F.sum(F.col("movie_duration") / F.col("movie_timescale")).alias("seconds_by_segment"))
+    """Seconds of each archive's video: as the joined file has them, and as the sum over segments. A time scale of zero gives none."""
+    joined = F.try_divide(F.sum("movie_duration"), F.min_by("movie_timescale", "number"))
+    return movies.groupBy("path").agg(joined.alias("seconds"), F.sum(F.try_divide("movie_duration", "movie_timescale")).alias("seconds_by_segment"))

@@ -129,6 +129,39 @@ def test_boxes_of_a_segment(spark):
     assert (totals.n_good, totals.n_failed, totals.first_problem, totals.seconds) == (3, 6, "multiple ftyp boxes", 6.0)
 
 
+def test_a_time_scale_of_zero_is_a_problem_not_the_end_of_the_job(spark):
+    zero = segment().replace(full(b"mvhd", u32(0, 0, 30))[:20], full(b"mvhd", u32(0, 0, 0))[:20])
+    zero = zero if zero != segment() else segment().replace(u32(0, 0, 30, 60), u32(0, 0, 0, 60), 1)
+    tracks, movies = parsed(spark, segment(), zero)
+    assert sorted(r.movie_timescale for r in movies.collect()) == [0, 30]
+    assert [(r.name[-5], r.problem) for r in checks.segment_problems(tracks, movies).collect()] == [("2", "mvhd timescale is zero")]
+    totals = checks.verified(tracks, movies).first()
+    assert (totals.n_good, totals.n_failed, totals.seconds, totals.code) == (1, 1, 2.0, 5)
+    assert timelapse.durations(movies.where("number = 2")).first().seconds is None
+
+
+def test_reports_have_a_line_a_segment(spark):
+    tracks, movies = parsed(spark, segment(), segment(video=(1, 2, 3)))
+    label = spark.createDataFrame([("p", "p.procreate"), ("q", "q.procreate")], "path string, label string")
+    lines = [r.line for r in checks.verify_report(tracks, movies, label).orderBy("section", "number").collect()]
+    assert lines[:3] == ["input: p.procreate", "segments: 2", ""] and lines[-2:] == ["", "verify: ok, 2 segment(s), ~5.0 s of video"]
+    assert lines[3].startswith("1 ok    video h264 320x240 ") and lines[3].endswith(", audio aac 44100Hz 2ch  2.00s  video/segments/segment-1.mp4") and "  3.00s  " in lines[4]
+    other = parsed(spark, segment(), segment(fourcc=b"avc3"))
+    report = [r.line for r in checks.verify_report(*other, label).orderBy("section", "number").collect()]
+    assert len(report) == 5 and checks.verified(*other).first().incompatible == '2: field "codec fourcc" differs'
+    names = movies.select("path", "name", (F.col("number") * 50).alias("number"))
+    listed = [(r.path, r.line) for r in checks.listing_report(names, label).orderBy("path", "section", "number").collect()]
+    assert listed == [("p", "input: p.procreate"), ("p", "segments: 2"), ("p", ""), ("p", "50  video/segments/segment-1.mp4"), ("p", "100 video/segments/segment-2.mp4"), ("q", "input: q.procreate"), ("q", "segments: 0")]
+
+
+def test_an_archive_of_strays_is_listed_as_one_without_video(spark):
+    rows = [("a", "video/segments/take1.mp4", False, None), ("b", "Document.archive", False, None)]
+    members = spark.createDataFrame(rows, "path string, name string, is_dir boolean, error string")
+    assert {r.path: r.code for r in timelapse.listing(members).collect()} == {"a": 5, "b": 4}
+    report = timelapse.listing(members, to_convert=False)
+    assert {r.path: r.code for r in report.collect()} == {"a": 4, "b": 4} and tuple(batch.diagnosed(report).first()) == (0, 2, 0, 0)
+
+
 def test_all_fields_are_compared_in_order(spark):
     one = segment(config=avc([QUIET]))
     tracks, movies = parsed(spark, one, segment(config=avc([BUSY])), one.replace(full(b"mvhd", u32(0, 0, 30)), full(b"mvhd", u32(0, 0, 60))), segment(config=avc([baseline(2)]), fourcc=b"avc3"))
