@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atelier.operators.stretches import ROWS, Stretches, all_equal
+from atelier.session import shared_folder
 
 def _begins(df: DataFrame, group: list[str], order: list[str], same: list[str], rows: int) -> tuple[Stretches, DataFrame]:
     """Rows with ``_new``: whether a row differs from the one before it in ``same``, or is its group's first."""
@@ -78,20 +79,32 @@ def expand_runs(df: DataFrame, group: list[str], first: str, end: Column | str,
     return spread.select(*df.columns, F.explode(F.sequence(F.col(first), F.col("_stop"))).alias(out))
 
 
+#: Rows that are folded in one list.
+FOLDED = 1 << 16
+
+
 def fold(
-    df: DataFrame, group: list[str], order: str, value: str, start: Column, step: Callable[[Column, Column], Column], states: int, out: str = "folded", width: int = 1 << 16
+    df: DataFrame, group: list[str], order: str, value: str, start: Column, step: Callable[[Column, Column], Column], states: int, out: str = "folded", width: int | None = None, rows: int = FOLDED
 ) -> DataFrame:
     """Fold of each group's values in order, for steps that lead from one of the states 0 to ``states`` - 1 to another.
 
-    Such a fold can be cut: a group is folded in blocks of ``width`` numbers of the integer order key, the
-    first from ``start`` and each other from every state at once, which gives a table from the state
-    before the block to that after it; the tables are then followed in order. So no task holds more
-    of a group than a block, and one row a block. Equal keys are taken in the order of values.
+    A group of up to ``rows`` rows is folded from ``start`` in one go. Such a fold can be cut: a larger group is
+    folded in stretches of about so many rows (or, with ``width``, every group in blocks of so many numbers of the
+    integer order key), the first from ``start`` and each other from every state at once, which gives a
+    table from the state before to that after it; the tables are then followed in order. So no task holds
+    more of a group than a stretch, and one row a stretch. Equal keys are taken in the order of values.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    blocks = df.withColumn("_block", F.floor(F.col(order) / width).cast("long")).groupBy(*group, "_block").agg(rows.alias("_rows"))
-    begins = F.row_number().over(Window.partitionBy(*group).orderBy("_block")) == 1
+    sorted_ = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
     run = lambda state: F.aggregate("_rows", state.cast("long"), lambda acc, r: step(acc, r["v"]).cast("long"))
+    if width is None:
+        cut = Stretches(df, group, [order], rows)
+        if not cut.many:
+            return df.groupBy(*group).agg(sorted_.alias("_rows")).select(*group, run(start).alias(out))
+        pieces = cut.rows.withColumnRenamed("_stretch", "_block")
+    else:
+        pieces = df.withColumn("_block", F.floor(F.col(order) / width).cast("long"))
+    blocks = pieces.groupBy(*group, "_block").agg(sorted_.alias("_rows"))
+    begins = F.row_number().over(Window.partitionBy(*group).orderBy("_block")) == 1
     table = F.when(begins, F.array(run(start))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(states - 1)), run))
     tables = blocks.select(*group, "_block", table.alias("_table")).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_block", "_table"))).alias("_t"))
     followed = F.aggregate("_t", F.lit(0).cast("long"), lambda state, t: F.get(t["_table"], state.cast("int")))
@@ -101,15 +114,19 @@ def fold(
 def numbered(df: DataFrame, order: list[str], out: str = "place") -> DataFrame:
     """Adds the number, from 1, of each row in a total order over all rows.
 
-    Rows are dealt to tasks by ranges of the order; each task numbers its own, beginning after the rows
-    of the ranges before it. What meets in one task is a count a range.
+    Rows are dealt to tasks by ranges of the order, sorted there and written to the shared folder with
+    their place in the task, as the ranges' borders are sampled and a second reading could draw others.
+    A row's number is its place and the rows of the ranges before. What meets in one task is a count a range.
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(tasks, *order).withColumn("_range", F.spark_partition_id())
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    spark = df.sparkSession
+    shared_folder(spark)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    placed = ranged.withColumn("_range", F.shiftright("_at", 33))
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    return own.join(F.broadcast(counts.select("_range", before.alias("_before"))), "_range").select(*df.columns, (F.col("_before") + F.col("_own")).cast("long").alias(out))
+    shifts = counts.select("_range", (before - F.col("_first") + 1).alias("_shift"))
+    return placed.join(F.broadcast(shifts), "_range").select(*df.columns, (F.col("_at") + F.col("_shift")).cast("long").alias(out))
 
 
 def not_increasing(df: DataFrame, group: list[str], order: list[str], value: str, strict: bool = True, rows: int = ROWS) -> DataFrame:

@@ -89,6 +89,26 @@ def F_lit(n):
     return F.lit(n).cast("long")
 
 
+@pytest.mark.parametrize("limit", [60, 1000])
+def test_folds_of_sparse_keys(spark, data, limit):
+    from pyspark.sql import functions as F
+
+    rows, df = data
+    expected = []
+    for g, own in by_group(rows).items():
+        s = 5
+        for x in own:
+            s = (s * 3 + x[3]) % 50
+        expected.append((g, s))
+    same(sequences.fold(df, ["g"], "o", "v", F.lit(5), lambda s, v: (s * 3 + v) % 50, states=50, rows=limit), expected)
+
+
+def test_numbers_of_all_rows(data):
+    rows, df = data
+    places = {o: k for k, o in enumerate(sorted(x[1] for x in rows), 1)}
+    same(sequences.numbered(df.select("o"), ["o"]), list(places.items()))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "g string, o long, s string, v long")
     assert not sequences.runs(df, ["g"], ["o"], ["s"]).collect() and not gaps.gap_ranges(df, ["g"], "o").collect() and not sequences.prefix_sum(df, ["g"], "o", "v").collect()
