@@ -213,6 +213,63 @@ def merged_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.select("user_id", layers.merged_image(stored, F.coalesce("folded", F.lit(255))).cast("long").alias("shade"))
 
 
+_STACK_SQL = """
+    WITH t AS (SELECT l_suppkey % 10 AS k, l_linenumber AS z, l_orderkey % 4 AS row, l_partkey % 5 AS col, max(l_partkey) AS v FROM lineitem GROUP BY ALL),
+    good AS (SELECT * FROM t WHERE z % 4 <> 3 AND NOT (k = 3 AND z = 2)),
+    g AS (SELECT k, row, col, p, k % 3 AS ground FROM range(10) a(k), range(4) b(row), range(5) c(col), range(4) d(p)),
+    f AS (SELECT g.k, g.row, g.col, g.p, any_value(ground) AS ground, list({'r': (v * 31 + g.p * 17) % 256.0::DOUBLE, 'g': (v * 31 + g.p * 17 + 7) % 256.0::DOUBLE, 'b': (v * 31 + g.p * 17 + 14) % 256.0::DOUBLE, 'a': (v * 31 + g.p * 17 + 21) % 256.0::DOUBLE, 'o': (z % 3 + 1) / 4.0::DOUBLE} ORDER BY z) FILTER (v IS NOT NULL) AS layers
+          FROM g LEFT JOIN good t ON t.k = g.k AND t.row = g.row AND t.col = g.col GROUP BY g.k, g.row, g.col, g.p),
+    c AS (SELECT k, row, col, p, list_reduce(list_prepend(CASE ground WHEN 0 THEN {'r': 0.0::DOUBLE, 'g': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'a': 0.0::DOUBLE, 'o': 0.0::DOUBLE} ELSE {'r': 250.0::DOUBLE, 'g': 240.0::DOUBLE, 'b': 10.0::DOUBLE, 'a': ground * 100.0::DOUBLE, 'o': 0.0::DOUBLE} END, coalesce(layers, [])),
+        lambda d, s: CASE WHEN s.a / 255 * s.o <= 0 THEN d ELSE {
+            'r': floor((s.r * (s.a / 255 * s.o) + d.r * (d.a / 255) * (1 - s.a / 255 * s.o)) / (s.a / 255 * s.o + d.a / 255 * (1 - s.a / 255 * s.o)) + 0.5::DOUBLE), 'g': floor((s.g * (s.a / 255 * s.o) + d.g * (d.a / 255) * (1 - s.a / 255 * s.o)) / (s.a / 255 * s.o + d.a / 255 * (1 - s.a / 255 * s.o)) + 0.5::DOUBLE),
+            'b': floor((s.b * (s.a / 255 * s.o) + d.b * (d.a / 255) * (1 - s.a / 255 * s.o)) / (s.a / 255 * s.o + d.a / 255 * (1 - s.a / 255 * s.o)) + 0.5::DOUBLE), 'a': floor((s.a / 255 * s.o + d.a / 255 * (1 - s.a / 255 * s.o)) * 255 + 0.5::DOUBLE), 'o': 0.0::DOUBLE} END) AS m FROM f)
+"""
+
+
+@query(_STACK_SQL + "SELECT k::INT AS k, row::INT AS row, col::INT AS col, p::INT AS p, m.r::INT AS r, m.g::INT AS g, m.b::INT AS b, m.a::INT AS a FROM c")
+def tile_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers of ten artworks, some of them hidden and one damaged, over grounds of several opacities, as tiles of four pixels."""
+    from atelier.operators import images
+
+    lines = table(spark, sf_dir, "lineitem")
+    keys = [F.pmod("l_suppkey", F.lit(10)).cast("int").alias("k"), F.col("l_linenumber").alias("z"), F.pmod("l_orderkey", F.lit(4)).cast("int").alias("row"), F.pmod("l_partkey", F.lit(5)).cast("int").alias("col")]
+    made = lines.select(*keys, "l_partkey").groupBy("k", "z", "row", "col").agg(F.max("l_partkey").alias("v"))
+    byte = lambda i: F.lpad(F.hex(F.pmod(F.col("v") * 31 + F.floor(i / 4) * 17 + i % 4 * 7, F.lit(256)).cast("long")), 2, "0")
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), byte), ""))
+    short = (F.col("k") == 3) & (F.col("z") == 2) & (F.col("row") == 0)
+    tiles = made.select(F.col("k").cast("string").alias("path"), F.col("z").alias("layer"), "row", "col", F.when(short, F.unhex(F.lit("00"))).otherwise(data).alias("data"))
+    layers_ = made.select(F.col("k").cast("string").alias("path"), F.col("z").alias("layer"), "z", (F.col("z") % 4 == 3).alias("hidden"), ((F.col("z") % 3 + 1) / 4.0).alias("opacity")).distinct()
+    grid = spark.range(200).select(F.floor(F.col("id") / 20).cast("int").alias("k"), (F.col("id") % 20 % 4).cast("int").alias("row"), F.floor(F.col("id") % 20 / 4).cast("int").alias("col"))
+    shade = F.when(F.col("k") % 3 > 0, F.array(F.lit(250), F.lit(240), F.lit(10), F.col("k") % 3 * 100))
+    out = images.composited(grid.select(F.col("k").cast("string").alias("path"), "row", "col", shade.alias("ground")), layers_, tiles, 2)
+    each = out.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    value = lambda c: F.conv(F.hex(F.substring("data", F.col("p") * 4 + c + 1, F.lit(1))), 16, 10).cast("int")
+    return each.select(F.col("path").cast("int").alias("k"), "row", "col", "p", *[value(i).alias(n) for i, n in enumerate("rgba")])
+
+
+@query("""
+    WITH i AS (SELECT f, 60 AS width, CASE WHEN f = 'N' THEN 40 ELSE 41 END AS height FROM (SELECT DISTINCT l_returnflag AS f FROM lineitem)),
+    v AS (SELECT l_returnflag AS f, l_partkey % 60 AS x, l_suppkey % 40 AS y, max(l_quantity)::BIGINT AS r, min(l_partkey) AS g, max(l_suppkey) AS b, count(*) AS a FROM lineitem GROUP BY ALL),
+    p AS (SELECT i.f, i.width, i.height, x.x, y.y, coalesce(v.r, 0) AS r, coalesce(v.g, 0) AS g, coalesce(v.b, 0) AS b, coalesce(v.a, 0) AS a FROM i, range(60) x(x), range(41) y(y) LEFT JOIN v ON v.f = i.f AND v.x = x.x AND v.y = y.y WHERE y.y < i.height),
+    t(w, h) AS (VALUES (16, 16), (7, 5), (60, 41))
+    SELECT f, w::INT AS w, h::INT AS h, ((x + 1) * w - 1) // width AS cx, ((y + 1) * h - 1) // height AS cy, count(*) AS n, (sum(r) // count(*))::BIGINT AS r, (sum(g) // count(*))::BIGINT AS g, (sum(b) // count(*))::BIGINT AS b, (sum(a) // count(*))::BIGINT AS a FROM p, t GROUP BY ALL
+""")
+def area_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three images reduced to grids of three sizes, from one summed-area table."""
+    from atelier.operators import images
+
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("f"), F.pmod("l_partkey", F.lit(60)).alias("x"), F.pmod("l_suppkey", F.lit(40)).alias("y"), "l_quantity", "l_partkey", "l_suppkey")
+    seen = lines.groupBy("f", "x", "y").agg(F.max("l_quantity").cast("long").alias("r"), F.min("l_partkey").alias("g"), F.max("l_suppkey").alias("b"), F.count(F.lit(1)).alias("a"))
+    sizes = lines.select("f").distinct().select("f", F.lit(60).alias("width"), F.when(F.col("f") == "N", 40).otherwise(41).alias("height"))
+    grid = sizes.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1)))
+    pixels_ = grid.join(seen, ["f", "x", "y"], "left").fillna(0, list("rgba"))
+    sums, out = images.summed(pixels_, ["f"], list("rgba")), None
+    for w, h in ((16, 16), (7, 5), (60, 41)):
+        one = images.area_means(sums, sizes, ["f"], list("rgba"), (w, h)).select("f", F.lit(w).alias("w"), F.lit(h).alias("h"), "cx", "cy", "n", *"rgba")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as members of archives, many of each supplier."""
     kind, n = F.pmod("l_orderkey", F.lit(5)), F.pmod("l_partkey", F.lit(40)).cast("string")
