@@ -244,5 +244,30 @@ OP11_SQL = r"""
 """
 
 
+#: Near words by deletions: two words that are one replacement apart lose the same letter to become equal, one that is a letter longer becomes the other.
+OP12_SQL = r"""
+    WITH RECURSIVE runs AS (
+        SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+    bytes AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+    hashed AS (
+        SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(0, length(x) // 2), lambda i: [('0x' || substr(x, 2 * i + 1, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                   lambda c, v: CASE WHEN v >= 0 THEN xor(c, v) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) AS h FROM bytes),
+    words AS (
+        SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+        WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    cut AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words)),
+    shorter AS (SELECT DISTINCT c.word, w.word AS other FROM cut c JOIN words w ON w.word = c.rest),
+    near AS (
+        SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION ALL SELECT word, other FROM shorter UNION ALL SELECT other, word FROM shorter),
+    best AS (SELECT p.word, count(*) AS n_near, arg_min(p.other, {'n': -w.n, 'o': p.other}) AS form, max(w.n) AS form_n FROM near p JOIN words w ON w.word = p.other GROUP BY p.word),
+    forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+    walk AS (SELECT word, word AS spot, 0 AS steps FROM forms UNION ALL SELECT w.word, f.form, steps + 1 FROM walk w JOIN forms f ON f.word = w.spot WHERE f.form IS NOT NULL),
+    ends AS (SELECT word, arg_max(spot, steps) AS root FROM walk GROUP BY word)
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_merkle_manifest": OP11_SQL, "op2_mix_sources": OP2_SQL, "op5_decontaminate": OP5_SQL, "op7_url_filter": OP7_SQL}
+    return {"op12_spelling_variants": OP12_SQL, "op11_merkle_manifest": OP11_SQL, "op2_mix_sources": OP2_SQL, "op5_decontaminate": OP5_SQL, "op7_url_filter": OP7_SQL}

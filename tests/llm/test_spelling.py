@@ -7,13 +7,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
 
 from atelier.llm import spelling, wavelet  # noqa: E402
-from atelier.llm.queries import op12_spelling_variants  # noqa: E402
+from atelier.llm.queries import OP12_SQL, op12_spelling_variants  # noqa: E402
 
 
 def near(a, b):
@@ -104,6 +105,14 @@ def test_whole_table(spark):
     check(spark, docs, op12_spelling_variants(spark, sf))
 
 
+def test_equals_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{sf}/documents.parquet'")
+    expected = con.sql(f"SELECT word, form, root, n, n_near, form_n FROM ({OP12_SQL})").fetchall()
+    assert sorted(map(tuple, op12_spelling_variants(spark, sf).collect()), key=str) == sorted(expected, key=str)
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 64, 65, 1000):
