@@ -96,16 +96,16 @@ def variants() -> Column:
     return F.flatten(F.array(*balls))
 
 
-def _buckets(keyed: DataFrame, key: str, member: Column, order: list[str]) -> DataFrame:
-    """Members of every key that several rows have, in order; of fuller ones the first ``SMALL`` + 1, which tells them from the others."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    first = keyed.withColumn("_place", place).where(F.col("_place") <= SMALL + 1)
-    return first.groupBy(key).agg(F.array_sort(F.collect_list(member)).alias("members")).where(F.size("members") > 1)
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """Members b of every variant that several sets have: with the members before it (others) and whether the bucket is crowded.
 
-
-def _all_pairs(members: Column) -> Column:
-    """All pairs of a short array, earlier ones first."""
-    return F.flatten(F.transform(members, lambda x, i: F.transform(F.slice(members, i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    Of fuller buckets the first ``SMALL`` + 1 are there, which tells them from the others.
+    """
+    whole, ordered = Window.partitionBy("variant"), Window.partitionBy("variant").orderBy("b")
+    first = keyed.withColumn("place", F.row_number().over(ordered)).where(F.col("place") <= SMALL + 1)
+    others = F.array_compact(F.array(*(F.lag("b", k).over(ordered) for k in range(1, SMALL))))
+    sized = first.withColumn("others", others).withColumn("n", F.count(F.lit(1)).over(whole))
+    return sized.where("n > 1").select("variant", "b", "others", (F.col("n") > SMALL).alias("crowded"))
 
 
 def candidates(sets: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -118,13 +118,13 @@ def candidates(sets: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, Dat
     spark, lanes = sets.sparkSession, range(LANES)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = sets.repartition(tasks, "set_id").select(F.explode(variants()).alias("variant"), F.col("set_id").alias("b"))
-    buckets = stored(_buckets(keyed, "variant", F.col("b"), ["b"]), "buckets")
-    met = buckets.where(F.size("members") <= SMALL).select(F.explode(_all_pairs(F.col("members"))).alias("p")).select("p.a", "p.b").distinct()
+    buckets = stored(_buckets(keyed), "buckets")
+    met = buckets.where("NOT crowded").select(F.explode("others").alias("a"), "b").distinct()
     side = lambda s: sets.select(F.col("set_id").alias(s), F.col("n").alias(f"n_{s}"), *(F.col(f"f{k}").alias(f"{s}{k}") for k in lanes))
     differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in lanes), F.lit(0))
     near = (differ <= MOST_BITS) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
     pairs = stored(met.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "candidates")
-    full = buckets.where(F.size("members") > SMALL).select("variant")
+    full = buckets.where("crowded").select("variant").distinct()
     crowd = stored(keyed.join(full, "variant").select(F.col("b").alias("set_id")).distinct(), "crowd")
     discard(spark, buckets)
     return pairs, crowd
