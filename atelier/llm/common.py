@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,14 +56,28 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def cleaned(spark: SparkSession) -> Iterator[None]:
-    """Within, what a query has shuffled is deleted when it ends: for writes whose result is read from files only."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: str, default: str) -> Iterator[None]:
+    """Within, the session has this setting; afterwards that which it had, or ``default``."""
+    before = spark.conf.get(key, default)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        spark.conf.set(key, before)
+
+
+def cleaned(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within, what a query has shuffled is deleted when it ends: for writes whose result is read from files only."""
+    return setting(spark, CLEANUP, "true", "false")
+
+
+#: Greatest shuffled partition that a join may hold as a hash table, once its size has been measured.
+HASH_MAP = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+
+
+def hashed_joins(spark: SparkSession, size: str = "64m") -> AbstractContextManager[None]:
+    """Within, a join whose side turns out to have no shuffled partition over ``size`` is done by hash tables, so that the large side isn't sorted; others stay sort-merge joins."""
+    return setting(spark, HASH_MAP, size, "0b")
 
 
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:

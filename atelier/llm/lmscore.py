@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atelier.llm.common import parts_of, stored
+from atelier.llm.common import hashed_joins, parts_of, stored
 
 #: Words whose hashes a worker remembers, and characters that it splits at once.
 REMEMBERED, AT_ONCE = 300_000, 2_000_000
@@ -96,10 +96,10 @@ def score(docs: DataFrame, backoff: float = 0.4) -> DataFrame:
     """
     exploded = stored(bigrams(docs), "bigrams", **FILES)
     uses = exploded.where("b IS NOT NULL")
-    words = uses.groupBy(F.col("b").alias("w")).agg(F.sum("k").alias("n"))
-    starts = uses.where(F.col("a") == START).agg(F.sum("k").alias("n")).where("n IS NOT NULL").select(F.lit(START).alias("w"), "n")
-    words = stored(words.unionByName(starts), "words")
-    total = words.where(F.col("w") != START).agg(F.sum("n")).first()[0] or 0
+    begins = F.when(F.col("a") == START, F.col("k")).otherwise(F.lit(0))
+    counted = stored(uses.groupBy(F.col("b").alias("w")).agg(F.sum("k").alias("n"), F.sum(begins).alias("begins")), "words")
+    total, begun = (n or 0 for n in counted.agg(F.sum("n"), F.sum("begins")).first())
+    words = counted.select("w", "n").unionByName(counted.sparkSession.range(1 if begun else 0).select(F.lit(START).alias("w"), F.lit(begun).alias("n")))
     log = lambda c: F.log10(F.col(c).cast("double"))
     low = lambda n: log(n) + F.lit(float(np.log10(backoff) - np.log10(max(total, 1))))
     known = lambda side: words.select(F.col("w").alias(side), F.col("n").alias(f"n_{side}"))
@@ -115,14 +115,15 @@ def score(docs: DataFrame, backoff: float = 0.4) -> DataFrame:
         uses.join(frequent, "b", "left_anti").select("doc_id", "b", "k").join(known("b"), "b").groupBy("doc_id").agg(*sums(none, none, F.sum(F.col("k") * low("n_b")))),
     ]
     keyed = uses.withColumn("key", F.xxhash64("a", "b"))
-    for block in range(BLOCKS):
-        own = keyed.where(F.pmod("key", F.lit(BLOCKS)) == block)
-        shared = stored(own.groupBy("a", "b").agg(F.sum("k").cast("long").alias("c"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("a", "b", "c"), "shared")
-        counts = shared.join(known("a"), "a").join(known("b"), "b")
-        counts = stored(counts.select(F.xxhash64("a", "b").alias("key"), "c", (-log("n_a") - low("n_b")).alias("rest")), "counts")
-        seen = own.select("doc_id", "key", "k").join(counts, "key").where(left > 0)
-        parts.append(seen.groupBy("doc_id").agg(*sums(none, F.sum("k"), F.sum(F.col("k") * (F.log10(left.cast("double")) + F.col("rest"))))))
-    both = reduce(DataFrame.unionByName, [stored(part, "sums") for part in parts])
+    with hashed_joins(docs.sparkSession):
+        for block in range(BLOCKS):
+            own = keyed.where(F.pmod("key", F.lit(BLOCKS)) == block)
+            shared = stored(own.groupBy("a", "b").agg(F.sum("k").cast("long").alias("c"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("a", "b", "c"), "shared")
+            counts = shared.join(known("a"), "a").join(known("b"), "b")
+            counts = stored(counts.select(F.xxhash64("a", "b").alias("key"), "c", (-log("n_a") - low("n_b")).alias("rest")), "counts")
+            seen = own.select("doc_id", "key", "k").join(counts, "key").where(left > 0)
+            parts.append(seen.groupBy("doc_id").agg(*sums(none, F.sum("k"), F.sum(F.col("k") * (F.log10(left.cast("double")) + F.col("rest"))))))
+        both = reduce(DataFrame.unionByName, [stored(part, "sums") for part in parts])
     summed = both.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_words", "n_seen", "v")])
     mean = F.when(F.col("n_words") > 0, F.round(F.coalesce("v", F.lit(0.0)) / F.col("n_words"), 9))
     return summed.select("doc_id", "n_words", (F.col("n_words") - F.col("n_seen")).alias("n_backoff"), mean.alias("score"))
