@@ -12,14 +12,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atelier.llm.common import hashed_joins, parts_of, stored
+from atelier.llm.common import discard, hashed_joins, parts_of, stored
 
 #: Words whose hashes a worker remembers, and characters that it splits at once.
 REMEMBERED, AT_ONCE = 300_000, 2_000_000
 #: Words that make up this share of all words have their counts sent to all tasks: no more than 1 / ``SHARE`` of them, however large the corpus.
 SHARE = 1e-5
 #: Bigrams are counted and joined in so many blocks by their hash, one after the other, so that less is shuffled at once.
-BLOCKS = 2
+BLOCKS = 3
 #: Word hashes repeat within a file, so a dictionary of them is worth its place.
 FILES = {"parquet.dictionary.page.size": str(8 << 20), "parquet.block.size": str(32 << 20)}
 
@@ -110,20 +110,24 @@ def score(docs: DataFrame, backoff: float = 0.4) -> DataFrame:
         return [n_words.cast("long").alias("n_words"), n_seen.cast("long").alias("n_seen"), v.cast("double").alias("v")]
 
     none = F.lit(0)
-    parts = [
+    by_word = [
         exploded.join(frequent, "b", "left").groupBy("doc_id").agg(*sums(F.sum("k"), none, F.sum(F.col("k") * low("n")))),
         uses.join(frequent, "b", "left_anti").select("doc_id", "b", "k").join(known("b"), "b").groupBy("doc_id").agg(*sums(none, none, F.sum(F.col("k") * low("n_b")))),
     ]
     keyed = uses.withColumn("key", F.xxhash64("a", "b"))
     with hashed_joins(docs.sparkSession):
+        parts = [stored(part, "sums") for part in by_word]
         for block in range(BLOCKS):
             own = keyed.where(F.pmod("key", F.lit(BLOCKS)) == block)
             shared = stored(own.groupBy("a", "b").agg(F.sum("k").cast("long").alias("c"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("a", "b", "c"), "shared")
             counts = shared.join(known("a"), "a").join(known("b"), "b")
             counts = stored(counts.select(F.xxhash64("a", "b").alias("key"), "c", (-log("n_a") - low("n_b")).alias("rest")), "counts")
             seen = own.select("doc_id", "key", "k").join(counts, "key").where(left > 0)
-            parts.append(seen.groupBy("doc_id").agg(*sums(none, F.sum("k"), F.sum(F.col("k") * (F.log10(left.cast("double")) + F.col("rest"))))))
-        both = reduce(DataFrame.unionByName, [stored(part, "sums") for part in parts])
+            v = F.sum(F.col("k") * (F.log10(left.cast("double")) + F.col("rest")))
+            parts.append(stored(seen.groupBy("doc_id").agg(*sums(none, F.sum("k"), v)), "sums"))
+            discard(docs.sparkSession, shared, counts)
+        both = reduce(DataFrame.unionByName, parts)
+    discard(docs.sparkSession, exploded, counted)
     summed = both.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_words", "n_seen", "v")])
     mean = F.when(F.col("n_words") > 0, F.round(F.coalesce("v", F.lit(0.0)) / F.col("n_words"), 9))
     return summed.select("doc_id", "n_words", (F.col("n_words") - F.col("n_seen")).alias("n_backoff"), mean.alias("score"))
