@@ -35,12 +35,17 @@ CENTRE = frozenset(("article", "main"))
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCE = frozenset("ul ol dl table tbody thead tfoot select article main body html".split())
-#: Elements below this depth count as part of their ancestor at it.
-DEPTH = 64
+#: Base and prime modulus of the digests of texts in a row, which can be put together from those of their parts.
+BASE, PRIME = 0x9E3779B97F4A7C1, (1 << 61) - 1
 #: Characters of pages that a worker handles at once.
 AT_ONCE = 4_000_000
 
 
+def _joined(first: tuple[int, int], second: tuple[int, int]) -> tuple[int, int]:
+    """Digest of two runs of texts, one after the other; a digest is a polynomial in BASE and BASE to the number of texts."""
+    return (first[0] * second[1] + second[0]) % PRIME, first[1] * second[1] % PRIME
+
+
 def _words(value: str) -> set[str]:
     return set(re.split(r"[^a-z0-9]+", value.lower()))
 
@@ -52,12 +57,17 @@ class Page:
         self.chunks: list[tuple[str, bool]] = []  # text, inside an article
         self.low, self.count = low, nodes
         self.style: dict[int, int] = {}
-        self.content: dict[int, int] = {}
+        self.content: dict[int, tuple[int, int]] = {}
         self.last: dict[int, str] = {}
         # name, node, dropped, inside an article
         self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
         self.open: Counter[str] = Counter()
+        # digest of the texts so far in each open element
+        self.held = [(0, 1)]
         self._run(html or "")
+        while len(self.stack) > 1:
+            self._pop()
+        self.content[0] = self.held[0]
 
     def _run(self, html: str) -> None:
         at, n = 0, len(html)
@@ -88,20 +98,26 @@ class Page:
         if not dropped:
             self.chunks.append((entities.unescape(raw) if "&" in raw else raw, inside))
         if self.count and (plain := raw.strip()):
-            data = plain.encode()
-            for _, node, _, _ in self.stack[: DEPTH + 1]:
-                self.content[node] = crc32(data, self.content.get(node, 0))
+            self.held[-1] = _joined(self.held[-1], (xxhash.xxh64_intdigest(plain) % PRIME, BASE))
 
     def _break(self) -> None:
         if not self.stack[-1][2]:
             self.chunks.append((" ", self.stack[-1][3]))
 
+    def _pop(self) -> str:
+        """Closes an element: its texts are its node's and, in one step, also its parent's, so that depth costs nothing."""
+        name, node, _, _ = self.stack.pop()
+        own = self.held.pop()
+        self.open[name] -= 1
+        if self.count and own[1] != 1:
+            self.held[-1] = _joined(self.held[-1], own)
+            if node != self.stack[-1][1]:
+                self.content[node] = _joined(self.content.get(node, (0, 1)), own)
+        return name
+
     def _pop_to(self, name: str) -> None:
-        while True:
-            top = self.stack.pop()[0]
-            self.open[top] -= 1
-            if top == name:
-                return
+        while self._pop() != name:
+            pass
 
     def _close(self, name: str) -> None:
         if name not in INLINE:
@@ -135,7 +151,7 @@ class Page:
                 else:
                     names += " " + value
         signature = f"{name}.{' '.join(sorted(_words(names) - {''}))}" if names else name
-        node = xxhash.xxh64_intdigest(signature, parent) if len(self.stack) <= DEPTH and name not in INLINE else parent
+        node = xxhash.xxh64_intdigest(signature, parent) if name not in INLINE else parent
         centre = name in CENTRE
         named = name not in ("html", "body", *CENTRE) and names and not NAMES.isdisjoint(_words(names))
         # what a host repeats within an article or in place of one may still be its text
@@ -146,6 +162,7 @@ class Page:
                 self.last[parent] = signature
             self.style.setdefault(node, 0)
         self.stack.append((name, node, dropped or bool(useless), inside or centre))
+        self.held.append((0, 1))
         self.open[name] += 1
 
     def text(self) -> str:
@@ -155,7 +172,7 @@ class Page:
 
     def nodes(self) -> list[dict[str, int]]:
         signed = lambda x: x - (1 << 64) if x >> 63 else x
-        return [{"node": signed(k), "style": v, "content": self.content.get(k, 0)} for k, v in self.style.items() if k]
+        return [{"node": signed(k), "style": v, "content": self.content.get(k, (0, 1))[0]} for k, v in self.style.items() if k]
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
