@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atelier.operators import sequences
 from atelier.operators.stretches import ROWS, Stretches
 from atelier.plans import timelapse
+from atelier.session import kept
 
 # Lengths in bytes of the boxes that are written, by the format.
 FTYP = 24
@@ -31,13 +33,16 @@ def _long(value: Column, short: int, long: int) -> Column:
 
 
 def table_rows(tracks: DataFrame) -> DataFrame:
-    """How many entries each table of a joined track has: path, track, stts, stsc, ctts, sync (null without such a table), samples, uniform, chunks."""
-    counts = {
-        "stts": timelapse.merged_durations(tracks), "stsc": timelapse.merged_chunk_runs(tracks), "ctts": timelapse.merged_composition(tracks), "sync": timelapse.merged_sync(tracks)
-    }
-    names = [*counts, "samples", "uniform", "chunks"]
+    """How many entries each table of a joined track has: path, track, stts, stsc, ctts, sync (null without such a table), samples, uniform, chunks.
+
+    Runs are counted by their first rows, and sync samples by the lengths of the segments' tables.
+    """
+    begun = lambda rows, same: sequences.changes(rows, ["path", "track"], ["number", "pos"], same)
+    counts = {"stts": begun(timelapse.duration_rows(tracks), ["delta"]), "stsc": timelapse.merged_chunk_runs(tracks), "ctts": begun(timelapse.composition_rows(tracks), ["offset"])}
+    names = [*counts, "sync", "samples", "uniform", "chunks"]
+    n_sync = F.greatest(F.when(F.col("sync").isNotNull(), F.size("sync")).otherwise(F.size("sizes")), F.lit(0))
     sizes = timelapse.merged_sizes(tracks).select("path", "track", F.col("n_samples").alias("samples"), "uniform")
-    chunks = tracks.groupBy("path", "track").agg(F.sum(F.size("chunks")).alias("chunks"), F.max(F.col("sync").isNotNull()).alias("has_sync"), F.max(F.col("ctts").isNotNull()).alias("has_ctts"))
+    chunks = tracks.groupBy("path", "track").agg(F.sum(F.size("chunks")).alias("chunks"), F.sum(n_sync).alias("sync"), F.max(F.col("sync").isNotNull()).alias("has_sync"), F.max(F.col("ctts").isNotNull()).alias("has_ctts"))
     parts = [df.groupBy("path", "track").agg(F.count(F.lit(1)).alias(k)) for k, df in counts.items()] + [sizes, chunks]
     full = [p.select("path", "track", *[(F.col(c) if c in p.columns else F.lit(None)).cast("long").alias(c) for c in [*names, "has_sync", "has_ctts"]]) for p in parts]
     union = full[0]
@@ -91,17 +96,19 @@ def joined_layout(tracks: DataFrame, movies: DataFrame, rows: int = ROWS) -> tup
     path, track, chunk, offset. Media heads depend on their payloads only and one sum over segments
     gives all places behind the header; the header's length moves them all alike. So the narrow form is
     tried first; where an offset then leaves 32 bits the wide one holds, as it only moves offsets up.
+    Both inputs are written once, and chunks are moved segment by segment: only the last step makes a row a chunk.
     """
+    tracks, movies = kept(tracks), kept(movies)
     laid = media_places(movies, rows).join(movies.select("path", "number", "mdat_start", "mdat_head"), ["path", "number"])
     counts = tracks.select("path", "track", "number", F.size("chunks").cast("long").alias("_n"))
     cut = Stretches(counts, ["path", "track"], ["number"], rows)
     shifted = cut.before(cut.rows, F.col("_n"), "_shift").select("path", "track", "number", F.coalesce("_shift", F.lit(0)).alias("_shift"))
-    each = tracks.select("path", "track", "number", F.posexplode("chunks").alias("_pos", "_at")).join(shifted, ["path", "track", "number"]).join(laid, ["path", "number"])
-    behind = each.select("path", "track", (F.col("_pos") + 1 + F.col("_shift")).alias("chunk"), (F.col("_at") - F.col("mdat_start") - F.col("mdat_head") + F.col("base")).alias("_behind"))
-    last = behind.groupBy("path").agg(F.max("_behind").alias("_last"))
+    each = tracks.select("path", "track", "number", "chunks").join(shifted, ["path", "track", "number"]).join(laid, ["path", "number"])
+    behind = each.select("path", "track", "chunks", "_shift", (F.col("base") - F.col("mdat_start") - F.col("mdat_head")).alias("_move"))
+    last = behind.groupBy("path").agg(F.max(F.array_max("chunks") + F.col("_move")).alias("_last"))
     media = laid.groupBy("path").agg(F.sum("bytes").alias("media_bytes"))
     form = header_bytes(tracks, movies).join(last, "path", "left").join(media, "path", "left")
     wide = F.coalesce(F.col("narrow") + F.col("_last") >= F.lit(LIMIT), F.lit(False))
     form = form.select("path", "n_chunks", F.when(wide, F.col("wide")).otherwise(F.col("narrow")).alias("header"), wide.alias("wide"), "media_bytes")
-    offsets = behind.join(form.select("path", "header"), "path").select("path", "track", "chunk", (F.col("header") + F.col("_behind")).alias("offset"))
-    return form, offsets
+    moved = behind.join(form.select("path", "header"), "path").select("path", "track", "_shift", (F.col("_move") + F.col("header")).alias("_move"), F.posexplode("chunks").alias("_pos", "_at"))
+    return form, moved.select("path", "track", (F.col("_pos") + 1 + F.col("_shift")).alias("chunk"), (F.col("_at") + F.col("_move")).alias("offset"))

@@ -127,16 +127,21 @@ def total_duration(stts: Column) -> Column:
     return F.aggregate(stts, F.lit(0).cast("long"), lambda a, e: a + e["count"] * e["delta"])
 
 
+def composition_rows(tracks: DataFrame) -> DataFrame:
+    """Entries of composition offsets, in order of number and pos, of each joined track that has them in any segment: path, track, number, pos, n, offset."""
+    plain = F.array(F.struct(F.size("sizes").cast("long").alias("count"), F.lit(0).cast("long").alias("offset")))
+    # sizes are counted before rows are shuffled
+    own = tracks.select("path", "track", "number", F.col("ctts").isNotNull().alias("_has"), F.coalesce("ctts", plain).alias("_own"))
+    rows = own.withColumn("_any", F.max("_has").over(Window.partitionBy("path", "track"))).where("_any").select("path", "track", "number", F.posexplode("_own").alias("pos", "e"))
+    return rows.select("path", "track", "number", "pos", F.col("e.count").alias("n"), "e.offset").where("n > 0")
+
+
 def merged_composition(tracks: DataFrame) -> DataFrame:
     """Runs of equal composition offsets of each joined track that has them in any segment: path, track, run, offset, count. A segment without them counts as offset 0.
 
     Whether the first segment has a table makes no difference: offsets of later ones are never lost.
     """
-    any_table = F.max(F.col("ctts").isNotNull()).over(Window.partitionBy("path", "track"))
-    plain = F.array(F.struct(F.size("sizes").cast("long").alias("count"), F.lit(0).cast("long").alias("offset")))
-    rows = tracks.withColumn("_any", any_table).where("_any").select("path", "track", "number", F.posexplode(F.coalesce("ctts", plain)).alias("pos", "e"))
-    flat = rows.select("path", "track", "number", "pos", F.col("e.count").alias("n"), "e.offset").where("n > 0")
-    joined = sequences.runs(flat, ["path", "track"], ["number", "pos"], ["offset"], total="n")
+    joined = sequences.runs(composition_rows(tracks), ["path", "track"], ["number", "pos"], ["offset"], total="n")
     return joined.select("path", "track", "run", "offset", F.col("n").alias("count"))
 
 
@@ -157,10 +162,14 @@ def joined_durations(tracks: DataFrame, movies: DataFrame) -> DataFrame:
     return sums.unionByName(whole.select("path", none.cast("int").alias("track"), "duration", none.cast("long").alias("media_duration"), none.cast("long").alias("samples_duration")))
 
 
+def duration_rows(tracks: DataFrame) -> DataFrame:
+    """Entries of sample durations, in order of number and pos: path, track, number, pos, n, delta."""
+    return tracks.select("path", "track", "number", F.posexplode("stts").alias("pos", "e")).select("path", "track", "number", "pos", F.col("e.count").alias("n"), "e.delta")
+
+
 def merged_durations(tracks: DataFrame) -> DataFrame:
     """Runs of equal sample durations of each joined track: path, track, run, delta, count."""
-    rows = tracks.select("path", "track", "number", F.posexplode("stts").alias("pos", "e")).select("path", "track", "number", "pos", "e.count", "e.delta")
-    joined = sequences.runs(rows.withColumnRenamed("count", "n"), ["path", "track"], ["number", "pos"], ["delta"], total="n")
+    joined = sequences.runs(duration_rows(tracks), ["path", "track"], ["number", "pos"], ["delta"], total="n")
     return joined.select("path", "track", "run", "delta", F.col("n").alias("count"))
 
 

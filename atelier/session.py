@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,10 @@ def shared_folder(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="atelier-")
     sc.setCheckpointDir(root)
     return root
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Writes a frame to the shared folder as Parquet and reads it back: computed once, and each reader takes the columns that it needs."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

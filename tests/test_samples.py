@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from atelier.plans import layout
+from atelier.plans import layout, timelapse
 from atelier.sources import mp4, samples
 from tests.test_archives import box, full, u32
 
@@ -103,6 +103,33 @@ def test_an_offset_leaves_32_bits_only_with_the_header(spark, gap, wide):
     assert sorted(r.offset for r in offsets.collect()) == [header + b for b in base]
 
 
+def test_a_layout_computes_its_segments_once_and_counts_their_tables(spark):
+    """What the tracks are made of is costly at size, so neither result may compute them anew."""
+    parts = [  # number of samples and chunks, stts, stsc, sync, ctts
+        (4, [8, 30], [(2, 5), (2, 6)], [(1, 2, 1)], [1, 3], None), (6, [8, 20, 40], [(6, 6)], [(1, 2, 1)], None, [(6, 0)]),
+        (3, [8], [(3, 6)], [(1, 3, 1)], [], [(0, 9), (1, 0), (2, 7)]), (0, [], [], [], None, None),
+    ]
+    rows = [("p", 0, k, "vide", list(range(n)), chunks, stts, stsc, sync, ctts, "00" * 10, 10, 10, None, None) for k, (n, chunks, stts, stsc, sync, ctts) in enumerate(parts)]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<long>")
+    def costly(chunks):
+        seen.add(1)
+        return chunks
+
+    plain = spark.createDataFrame(rows, TRACKS)
+    movies = spark.createDataFrame([("p", k, 0, 108, 8, 10) for k in range(len(parts))], "path string, number long, mdat_start long, mdat_size long, mdat_head int, movie_duration long")
+    form, offsets = layout.joined_layout(plain.withColumn("chunks", costly("chunks")), movies)
+    merged = {"stts": timelapse.merged_durations(plain), "stsc": timelapse.merged_chunk_runs(plain), "ctts": timelapse.merged_composition(plain), "sync": timelapse.merged_sync(plain)}
+    n = {k: df.count() for k, df in merged.items()}
+    assert n == {"stts": 2, "stsc": 2, "ctts": 2, "sync": 8} and layout.table_rows(plain).select(*n).first().asDict() == n
+    header = 24 + 8 + 108 + (32 + 45 + 36 + 92 + 32 + 20 + 18 + 16 + 8 * 2 + 16 + 12 * 2 + 16 + 4 * 8 + 16 + 8 * 2 + 20 + 4 * 13 + 16) + 4 * 6
+    assert tuple(form.first()) == ("p", 6, header, False, 400)
+    places = [at - 8 + 108 * k for k, (_, chunks, *_) in enumerate(parts) for at in chunks]
+    assert sorted((r.chunk, r.offset) for r in offsets.collect()) == [(k + 1, header + 8 + x) for k, x in enumerate(places)]
+    assert seen.value == len(parts)
+
+
 def test_places_of_many_segments_are_stitched(spark):
     r = random.Random(4)
     sizes = [r.choice([10, 1 << 20, 1 << 32]) for _ in range(200)]
