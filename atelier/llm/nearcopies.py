@@ -97,35 +97,37 @@ def variants() -> Column:
 
 
 def _buckets(keyed: DataFrame) -> DataFrame:
-    """Members b of every variant that several sets have: with the members before it (others) and whether the bucket is crowded.
-
-    Of fuller buckets the first ``SMALL`` + 1 are there, which tells them from the others.
-    """
-    whole, ordered = Window.partitionBy("variant"), Window.partitionBy("variant").orderBy("b")
-    first = keyed.withColumn("place", F.row_number().over(ordered)).where(F.col("place") <= SMALL + 1)
-    others = F.array_compact(F.array(*(F.lag("b", k).over(ordered) for k in range(1, SMALL))))
-    sized = first.withColumn("others", others).withColumn("n", F.count(F.lit(1)).over(whole))
-    return sized.where("n > 1").select("variant", "b", "others", (F.col("n") > SMALL).alias("crowded"))
+    """Members b of every variant that several sets have: whether the bucket is crowded, and if not, its members before and after b."""
+    ordered = Window.partitionBy("variant").orderBy("b")
+    # of a bucket with more than SMALL members, each one has as many around it
+    around = F.count(F.lit(1)).over(ordered.rowsBetween(-SMALL, SMALL))
+    beside = lambda step: F.array_compact(F.array(*(step("b", k).over(ordered) for k in range(1, SMALL))))
+    sized = keyed.select("b", around.alias("n"), beside(F.lag).alias("before"), beside(F.lead).alias("after")).where("n > 1")
+    few = lambda c: F.when(F.col("n") <= SMALL, F.col(c)).alias(c)
+    return sized.select("b", few("before"), few("after"), (F.col("n") > SMALL).alias("crowded"))
 
 
 def candidates(sets: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Pairs a, b of sets of which one of the fingerprints differs in two bits or fewer, and all together in few; and the sets of crowded buckets.
 
     Every set emits the ball of radius one around each of its fingerprints; two fingerprints within two
-    bits meet in a variant. In buckets of up to ``SMALL`` members all pairs are made. Members of fuller ones are
-    returned as ``set_id``; how they are linked is found by ``crowded``.
+    bits meet in a variant. In buckets of up to ``SMALL`` members all pairs are made, but for those of two
+    members of fuller ones, wherever they meet: these are returned as ``set_id`` and ``crowded`` compares all of them.
+    So members of a crowd make no pairs among themselves, and variants are shuffled once.
     """
     spark, lanes = sets.sparkSession, range(LANES)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = sets.repartition(tasks, "set_id").select(F.explode(variants()).alias("variant"), F.col("set_id").alias("b"))
     buckets = stored(_buckets(keyed), "buckets")
-    met = buckets.where("NOT crowded").select(F.explode("others").alias("a"), "b").distinct()
+    crowd = stored(buckets.where("crowded").select(F.col("b").alias("set_id")).distinct(), "crowd")
+    of_crowd = lambda name: crowd.select(F.col("set_id").alias(name))
+    alone = buckets.where("NOT crowded").join(of_crowd("b"), "b", "left_anti")
+    maybe, _ = split_by_ids(alone.select(F.explode("after").alias("a"), "b"), of_crowd("a"), "a")
+    met = alone.select(F.explode("before").alias("a"), "b").unionByName(maybe.join(of_crowd("a"), "a", "left_semi")).distinct()
     side = lambda s: sets.select(F.col("set_id").alias(s), F.col("n").alias(f"n_{s}"), *(F.col(f"f{k}").alias(f"{s}{k}") for k in lanes))
     differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in lanes), F.lit(0))
     near = (differ <= MOST_BITS) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
     pairs = stored(met.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "candidates")
-    full = buckets.where("crowded").select("variant").distinct()
-    crowd = stored(keyed.join(full, "variant").select(F.col("b").alias("set_id")).distinct(), "crowd")
     discard(spark, buckets)
     return pairs, crowd
 

@@ -87,6 +87,23 @@ def test_all_copies_are_found_in_texts_of_one_template(spark):
     assert classes(spark, rows) == brute_near(rows) and len(set(brute_near(rows).values())) == 300
 
 
+def test_members_of_a_crowd_make_no_pairs_among_themselves(spark):
+    """They are compared in blocks; met in small buckets, they made some hundred pairs a text beside."""
+    r = random.Random(12)
+    base, other = ([f"w{r.randrange(5000)}" for _ in range(300)] for _ in range(2))
+    rows = [(i, " ".join(edited(r, base, 6))) for i in range(120)] + [(200, " ".join(other)), (201, " ".join(edited(r, other, 2)))]
+    printed = nearcopies._printed(spark.createDataFrame(rows, "doc_id long, text string"))
+    of = {x.set_id: x.doc_id for x in printed.select("set_id", "doc_id").collect()}
+    pairs, crowd = nearcopies.candidates(printed)
+    members = {of[x.set_id] for x in crowd.collect()}
+    met = [tuple(sorted((of[x.a], of[x.b]))) for x in pairs.collect()]
+    assert len(members) > 60 and not members & {200, 201} and (200, 201) in met and len(set(met)) == len(met)
+    assert not any(a in members and b in members for a, b in met)
+    found = nearcopies._buckets(spark.createDataFrame([(v, b) for v, n in ((1, 1), (2, 2), (3, 8), (4, 9), (5, 40)) for b in range(100 * v, 100 * v + n)], "variant long, b long"))
+    assert {(x.b // 100, x.crowded) for x in found.collect()} == {(2, False), (3, False), (4, True), (5, True)} and found.count() == 2 + 8 + 9 + 40
+    assert all(len(x.before) + len(x.after) == 7 for x in found.where("b BETWEEN 300 AND 399").collect())
+
+
 def test_crowds_of_any_shape_lose_no_link(spark, monkeypatch):
     """Chains, texts of several lengths and templates within templates, cut into many small blocks."""
     monkeypatch.setattr(nearcopies, "BLOCK", 1500)
