@@ -1,5 +1,9 @@
 """Near copies by their five-word shingles: ball hashing of SimHash fingerprints finds pairs, exact Jaccard similarity decides.
 
+Fingerprints have a fixed length, so among very many texts those of strangers meet by chance, with the square of
+their number. So a fingerprint only meets others that have the same least (or greatest) hash of a shingle:
+strangers have none in common, near copies at 0.8 have it in four cases of five.
+
 Where very many texts meet in one variant, as texts made from a template do, those texts are compared
 exactly, in blocks, so that no pair is lost and none leaves a task for being in a crowd.
 """
@@ -12,7 +16,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atelier.llm.common import discard, parts_of, split_by_ids, stored
@@ -21,6 +25,8 @@ from atelier.llm.components import connected_components
 #: Independent fingerprints a text, and bits of each. Two fingerprints of ``BITS`` bits lie in one long.
 PRINTS, BITS = 12, 28
 LANES = PRINTS // 2
+#: Bits of a fingerprint that have to meet; all of them are counted when two sets are compared.
+MEET = 20
 #: Two texts at similarity 0.8 differ in 15.2 % of their fingerprints' bits, 50.9 of 336 with a deviation of 6.6.
 MOST_BITS = 80
 #: Members of a bucket of which all pairs are compared. Texts of fuller buckets are searched by their shingles instead.
@@ -39,8 +45,8 @@ def shingles(text: str | None, size: int = 5) -> set[bytes]:
     return {b" ".join(s) for s in zip(*(words[i:] for i in range(size)), strict=False)}
 
 
-def prints(own: set[bytes]) -> tuple[int, list[int]]:
-    """Hash of a set of shingles, and its fingerprints, two in a number."""
+def prints(own: set[bytes]) -> tuple[int, list[int], list[int]]:
+    """Hash of a set of shingles, its fingerprints, two in a number, and for each fingerprint the least or greatest hash of a shingle (0 without shingles)."""
     h = _set_of(own)
     lanes = np.empty((len(h), LANES), dtype="<u8")
     for k in range(LANES):  # splitmix64
@@ -52,7 +58,8 @@ def prints(own: set[bytes]) -> tuple[int, list[int]]:
     for lo, hi in pairwise([*range(0, len(h), 255), len(h)]):  # 255 ones fit a byte
         ones += np.unpackbits(lanes[lo:hi].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
     bits = np.packbits(2 * ones > len(h), bitorder="little").view("<i8") & ((1 << 2 * BITS) - 1)
-    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(h.tobytes())))), bits.tolist()
+    ends = np.stack([lanes.min(axis=0), lanes.max(axis=0)], axis=1) if len(h) else np.zeros((LANES, 2), dtype="<u8")
+    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(h.tobytes())))), bits.tolist(), ends.astype("<u8").view("<i8").ravel().tolist()
 
 
 def _set_of(own: set[bytes]) -> np.ndarray:
@@ -66,8 +73,8 @@ def _identified(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def _printed(docs: DataFrame) -> DataFrame:
-    """doc_id, row_id, set_id (one for all texts with the same shingles), n (distinct shingles) and the fingerprints f0, f1, ..."""
-    lanes = [f"f{k}" for k in range(LANES)]  # two fingerprints each
+    """doc_id, row_id, set_id (one for all texts with the same shingles), n (distinct shingles), the fingerprints f0, f1, ... and their shingles' hashes m0, m1, ..."""
+    lanes = _lanes()
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,10 +82,10 @@ def _printed(docs: DataFrame) -> DataFrame:
                 ids, sizes, own = [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingles(text)
-                    set_id, f = prints(s)
+                    set_id, f, m = prints(s)
                     ids.append(set_id)
                     sizes.append(len(s))
-                    own.append(f)
+                    own.append(f + m)
                 columns = [part.column(0), part.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(c, pa.int64()) for c in zip(*own, strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_id", "set_id", "n", *lanes])
 
@@ -86,14 +93,24 @@ def _printed(docs: DataFrame) -> DataFrame:
     return _identified(docs, "doc_id").mapInArrow(compute, f"doc_id {kind}, row_id long, set_id long, n int, " + ", ".join(f"{f} long" for f in lanes))
 
 
-def variants() -> Column:
-    """Every fingerprint of a row with all that differ from it in one bit: the number of the fingerprint above its ``BITS`` bits."""
-    flips = F.lit([0, *(1 << b for b in range(BITS))]).cast("array<long>")
-    balls = []
-    for k in range(PRINTS):
-        own = F.shiftright(f"f{k // 2}", BITS * (k % 2)).bitwiseAND(F.lit((1 << BITS) - 1)) + F.lit(k << BITS)
-        balls.append(F.transform(flips, lambda m: own.bitwiseXOR(m)))  # noqa: B023
-    return F.flatten(F.array(*balls))
+def _lanes() -> list[str]:
+    """Columns of fingerprints, two in each, and of the shingles' hashes, one for each fingerprint."""
+    return [f"f{k}" for k in range(LANES)] + [f"m{k}" for k in range(PRINTS)]
+
+
+def _keyed(sets: DataFrame) -> DataFrame:
+    """Every fingerprint's ``MEET`` bits with all that differ from them in one bit, each with the fingerprint's shingle, as one hash: variant, b (the set).
+
+    A fingerprint whose shingle no other set has meets none and is left out. Shingles are counted where
+    they are, and told by a map of bits, so rows of a frequent one don't move for that.
+    """
+    bits = lambda k: F.shiftright(f"f{k // 2}", BITS * (k % 2)).bitwiseAND(F.lit((1 << MEET) - 1)) + F.lit(k << MEET)
+    each = sets.select(F.col("set_id").alias("b"), F.inline(F.array(*(F.struct(bits(k).alias("bits"), F.col(f"m{k}").alias("shingle")) for k in range(PRINTS)))))
+    shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("shingle")
+    maybe, _ = split_by_ids(each, shared, "shingle")
+    flips = F.lit([0, *(1 << b for b in range(MEET))]).cast("array<long>")
+    ball = maybe.select("b", "bits", "shingle", F.explode(flips).alias("flip"))
+    return ball.select(F.xxhash64("shingle", F.col("bits").bitwiseXOR(F.col("flip"))).alias("variant"), "b")
 
 
 def _buckets(keyed: DataFrame) -> DataFrame:
@@ -108,17 +125,15 @@ def _buckets(keyed: DataFrame) -> DataFrame:
 
 
 def candidates(sets: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Pairs a, b of sets of which one of the fingerprints differs in two bits or fewer, and all together in few; and the sets of crowded buckets.
+    """Pairs a, b of sets of which one of the fingerprints differs in two of ``MEET`` bits or fewer and has the same shingle, and all bits together in few; and the sets of crowded buckets.
 
     Every set emits the ball of radius one around each of its fingerprints; two fingerprints within two
-    bits meet in a variant. In buckets of up to ``SMALL`` members all pairs are made, but for those of two
+    bits meet in a variant, if their least (or greatest) shingle is the same. In buckets of up to ``SMALL`` members all pairs are made, but for those of two
     members of fuller ones, wherever they meet: these are returned as ``set_id`` and ``crowded`` compares all of them.
     So members of a crowd make no pairs among themselves, and variants are shuffled once.
     """
     spark, lanes = sets.sparkSession, range(LANES)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = sets.repartition(tasks, "set_id").select(F.explode(variants()).alias("variant"), F.col("set_id").alias("b"))
-    buckets = stored(_buckets(keyed), "buckets")
+    buckets = stored(_buckets(_keyed(sets)), "buckets")
     crowd = stored(buckets.where("crowded").select(F.col("b").alias("set_id")).distinct(), "crowd")
     of_crowd = lambda name: crowd.select(F.col("set_id").alias(name))
     alone = buckets.where("NOT crowded").join(of_crowd("b"), "b", "left_anti")
@@ -236,7 +251,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """
     spark = docs.sparkSession
     printed = stored(_printed(docs), "prints")
-    lanes = [F.first(f"f{k}").alias(f"f{k}") for k in range(LANES)]
+    lanes = [F.first(c).alias(c) for c in _lanes()]
     sets = stored(printed.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min("row_id").alias("row_id"), F.first("n").alias("n"), *lanes), "sets")
     pairs, crowd = candidates(sets.where("n > 0"), similarity)
     used = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(crowd).distinct()

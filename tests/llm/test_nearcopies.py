@@ -104,6 +104,19 @@ def test_members_of_a_crowd_make_no_pairs_among_themselves(spark):
     assert all(len(x.before) + len(x.after) == 7 for x in found.where("b BETWEEN 300 AND 399").collect())
 
 
+def test_strangers_do_not_meet_by_chance(spark, monkeypatch):
+    """Bits of a fingerprint alone let them, with the square of their number: some 36 pairs of 2,000 texts."""
+    monkeypatch.setattr(nearcopies, "MOST_BITS", 10_000)
+    r = random.Random(13)
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(60))) for i in range(2000)]
+    rows += [(2000 + i, " ".join(edited(r, t.split(), 1))) for i, t in rows[:50]]
+    printed = nearcopies._printed(spark.createDataFrame(rows, "doc_id long, text string"))
+    of = {x.set_id: x.doc_id for x in printed.select("set_id", "doc_id").collect()}
+    pairs, crowd = nearcopies.candidates(printed)
+    met = {tuple(sorted((of[x.a], of[x.b]))) for x in pairs.collect()}
+    assert met <= {(i, 2000 + i) for i in range(50)} and len(met) >= 40 and crowd.isEmpty()
+
+
 def test_crowds_of_any_shape_lose_no_link(spark, monkeypatch):
     """Chains, texts of several lengths and templates within templates, cut into many small blocks."""
     monkeypatch.setattr(nearcopies, "BLOCK", 1500)
