@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import AbstractContextManager, contextmanager
 
 import pyarrow as pa
@@ -80,13 +80,13 @@ def hashed_joins(spark: SparkSession, size: str = "64m") -> AbstractContextManag
     return setting(spark, HASH_MAP, size, "0b")
 
 
-def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Writes a frame to the shared folder as Parquet and reads it back: computed once, and safe when an executor is lost."""
+def stored(df: DataFrame, label: str, by: Sequence[str] = (), **options: str) -> DataFrame:
+    """Writes a frame to the shared folder as Parquet and reads it back: computed once, and safe when an executor is lost. by: last columns whose values get files of their own."""
     spark = df.sparkSession
     bound_batches(spark)
     path = fresh_path(spark, label)
     with cleaned(spark):
-        df.write.options(**{"compression": "zstd"} | options).parquet(path)
+        df.write.options(**{"compression": "zstd"} | options).parquet(path, partitionBy=list(by) or None)
     return spark.read.schema(df.schema).parquet(path)
 
 

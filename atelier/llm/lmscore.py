@@ -12,14 +12,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atelier.llm.common import discard, hashed_joins, parts_of, stored
+from atelier.llm.common import discard, hashed_joins, parts_of, setting, stored
 
 #: Words whose hashes a worker remembers, and characters that it splits at once.
 REMEMBERED, AT_ONCE = 300_000, 2_000_000
 #: Words that make up this share of all words have their counts sent to all tasks: no more than 1 / ``SHARE`` of them, however large the corpus.
 SHARE = 1e-5
-#: Bigrams are counted and joined in so many blocks by their hash, one after the other, so that less is shuffled at once.
+#: Bigrams are counted and joined in so many blocks, one after the other, so that less is shuffled at once; each block has files of its own.
 BLOCKS = 3
+#: Files that a task may write side by side; with fewer it would have to sort its rows by block.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 #: Word hashes repeat within a file, so a dictionary of them is worth its place.
 FILES = {"parquet.dictionary.page.size": str(8 << 20), "parquet.block.size": str(32 << 20)}
 
@@ -34,12 +36,18 @@ def _hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Block of each bigram, by both of its words' hashes."""
+    mixed = (a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return ((mixed >> np.uint64(33)) % np.uint64(BLOCKS)).astype(np.int32)
+
+
 #: Stands for the start of a row; no word is empty.
 START = _hash(b"")
 
 
 def bigrams(docs: DataFrame) -> DataFrame:
-    """A row for each distinct bigram of a row of docs: doc_id, a and b (hashes of its words, or of the start), k (its uses). A row without words has nulls and 0."""
+    """A row for each distinct bigram of a row of docs: doc_id, a and b (hashes of its words, or of the start), k (its uses), block (by a and b). A row without words has nulls and 0."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -69,10 +77,11 @@ def bigrams(docs: DataFrame) -> DataFrame:
                 columns = [
                     part.column(0).take(pa.array(np.concatenate([at, none]))), pa.array(a, pa.int64(), mask=gone), pa.array(b, pa.int64(), mask=gone),
                     pa.array(np.concatenate([k, np.zeros(len(none), dtype=np.int64)]).astype(np.int32), pa.int32()),
+                    pa.array(_block(a, b), pa.int32()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "b", "k"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "b", "k", "block"])
 
-    return docs.select("doc_id", "text").mapInArrow(explode, f"doc_id {dict(docs.dtypes)['doc_id']}, a long, b long, k int")
+    return docs.select("doc_id", "text").mapInArrow(explode, f"doc_id {dict(docs.dtypes)['doc_id']}, a long, b long, k int, block int")
 
 
 def score(docs: DataFrame, backoff: float = 0.4) -> DataFrame:
@@ -94,7 +103,8 @@ def score(docs: DataFrame, backoff: float = 0.4) -> DataFrame:
     are too few to matter and are looked up without a shuffle; rarer ones, and all bigrams, are
     joined, where rows of a hot bigram are on the side that Spark splits.
     """
-    exploded = stored(bigrams(docs), "bigrams", **FILES)
+    with setting(docs.sparkSession, WRITERS, str(2 * BLOCKS), "0"):
+        exploded = stored(bigrams(docs), "bigrams", by=["block"], **FILES)
     uses = exploded.where("b IS NOT NULL")
     begins = F.when(F.col("a") == START, F.col("k")).otherwise(F.lit(0))
     counted = stored(uses.groupBy(F.col("b").alias("w")).agg(F.sum("k").alias("n"), F.sum(begins).alias("begins")), "words")
@@ -114,11 +124,10 @@ def score(docs: DataFrame, backoff: float = 0.4) -> DataFrame:
         exploded.join(frequent, "b", "left").groupBy("doc_id").agg(*sums(F.sum("k"), none, F.sum(F.col("k") * low("n")))),
         uses.join(frequent, "b", "left_anti").select("doc_id", "b", "k").join(known("b"), "b").groupBy("doc_id").agg(*sums(none, none, F.sum(F.col("k") * low("n_b")))),
     ]
-    keyed = uses.withColumn("key", F.xxhash64("a", "b"))
     with hashed_joins(docs.sparkSession):
         parts = [stored(part, "sums") for part in by_word]
         for block in range(BLOCKS):
-            own = keyed.where(F.pmod("key", F.lit(BLOCKS)) == block)
+            own = uses.where(F.col("block") == block).withColumn("key", F.xxhash64("a", "b"))
             shared = stored(own.groupBy("a", "b").agg(F.sum("k").cast("long").alias("c"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("a", "b", "c"), "shared")
             counts = shared.join(known("a"), "a").join(known("b"), "b")
             counts = stored(counts.select(F.xxhash64("a", "b").alias("key"), "c", (-log("n_a") - low("n_b")).alias("rest")), "counts")
