@@ -204,8 +204,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
     """
     names = [c.split()[0] for c in METRICS.split(", ")]
     needed = docs.select("doc_id", F.col(stratum).alias(stratum), "text")
-    ids = labels.where("doc_id is not null").select("doc_id").distinct()
-    labelled = split_by_ids(needed, ids, "doc_id")[0].join(ids, "doc_id", "left_semi")
+    # rows that a map of bits takes for labelled ones fall out when ``learn`` joins its labels, so no text is shuffled
+    labelled, _ = split_by_ids(needed, labels.select("doc_id"), "doc_id")
     measured = labelled.select("doc_id", stratum, metrics("text").alias("m")).select("doc_id", stratum, *[f"m.{c}" for c in names])
     cutoffs = learn(stored(measured, "measured"), labels, stratum, alpha, delta)
     rows = packed(docs, stratum, "text").withColumn("_m", metrics("text"))
