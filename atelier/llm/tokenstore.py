@@ -16,6 +16,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,20 +27,21 @@ LEAST, MEAN, MOST, REACH = 128, 512, 2048, 16
 #: How the store's files are written; small row groups keep writers' memory low.
 FILES = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 #: Words whose ids a worker remembers before it starts anew, digests of chunks likewise, and characters that are encoded at once.
-REMEMBERED, MET, AT_ONCE = 600_000, 250_000, 1_500_000
-#: Where a text has only these characters and no two blanks in a row, the library cuts it before each space.
-PLAIN = re.compile("[\n!-~À-ÖØ-öø-ɏ]*(?: [\n!-~À-ÖØ-öø-ɏ]+)*")
+REMEMBERED, MET, AT_ONCE = 600_000, 250_000, 4_000_000
+#: Where a text has only these characters and none of ``BLANKS``, the library cuts it before each space.
+PLAIN = re.compile("[\n -~À-ÖØ-öø-ɏ]*")
 #: Texts in which each stop and comma is a piece of its own if it isn't next to another one or after a space; those are cut off, and must end a word.
 SIMPLE = re.compile("[\n 0-9A-Za-zÀ-ÖØ-öø-ɏ.,]*")
 STOPS = {".": "\1", ",": "\2"}
 TWINS = ("..", ".,", ",.", ",,", " .", " ,")
 INSIDE = (re.compile("\1[^ \n]"), re.compile("\2[^ \n]"))
 MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
-BLANKS = ("\n ", " \n")
+#: Blanks that the library may take as one piece; so it does with those that end a text.
+BLANKS, ENDS = ("  ", "\n ", " \n", "\n\n\n"), (" ", "\n\n")
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes of ``width`` bytes an id.
+    """Ids of texts as little-endian numbers of ``width`` bytes.
 
     A byte-level model encodes what stands between two cuts of its pattern on its own, and the
     pattern always cuts before a single space, so words that were seen before are not encoded
@@ -68,7 +70,8 @@ class Encoder:
         return [array(self.code, e.ids).tobytes() for e in encoded]  # tasks run on little-endian machines
 
     def _plain(self, text: str) -> bool:
-        return not any(x in text for x in BLANKS) and PLAIN.fullmatch(text) is not None and not any(n in text for n in self.names)
+        """Whether the library cuts a text of ``PLAIN`` characters before each space and line end."""
+        return not any(x in text for x in BLANKS) and not text.endswith(ENDS) and not any(n in text for n in self.names)
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters with a space before each: encoded in lines and cut where a token starts with the space."""
@@ -85,47 +88,76 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Ids of words that weren't met before; marks after letters are a piece of their own."""
-        marked = {w: m.groups() for w in new if not w.isalpha() and (m := MARKED.fullmatch(w))}
+        letters, others = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        marked = {w: m.groups() for w in others if (m := MARKED.fullmatch(w))}
         stops = list(filterfalse(self.stops.__contains__, {mark for _, mark in marked.values()}))
         self.stops.update(zip(stops, self._library(stops), strict=True))
-        letters = list(filterfalse(self.known.__contains__, {marked[w][0] if w in marked else w for w in new if w in marked or w.isalpha()}))
+        letters += filterfalse(self.known.__contains__, {x for x, _ in marked.values()}.difference(letters))
         self.known.update(zip(letters, self._words(letters), strict=True))
         self.known.update((w, self.known[x] + self.stops[mark]) for w, (x, mark) in marked.items())
-        rest = [w for w in new if w not in self.known]
+        rest = [w for w in others if w not in marked]
         self.known.update(zip(rest, self._library([w if w[:1] == "\n" else " " + w for w in rest]), strict=True))
 
     def _restart(self, known: dict[str, bytes]) -> None:
         self.known = known | dict(zip(STOPS.values(), self._library(list(STOPS)), strict=True))
         self.stops.clear()
 
-    def _cut(self, text: str) -> list[str]:
-        """Words of a plain text, before each of which the library cuts; those after the first have a space before them, a line end or a mark in front."""
-        if SIMPLE.fullmatch(text) and not any(x in text for x in TWINS):
+    def _spaced(self, text: str) -> str | None:
+        """A plain text with a space wherever the library cuts it, None for another text; the words after the first have a space before them, a line end or a mark in front."""
+        simple = SIMPLE.fullmatch(text) is not None
+        if not (simple or PLAIN.fullmatch(text)) or not self._plain(text):
+            return None
+        if simple and not any(x in text for x in TWINS):
             marked = text
             for stop, mark in STOPS.items():
                 marked = marked.replace(stop, " " + mark)
             if not any(p.search(marked) for p in INSIDE):
                 text = marked
-        return text.replace("\n", " \n").split(" ")
+        return text.replace("\n", " \n")
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+        """Ids of all texts end to end, and how many each text has, the end id included."""
         gc.disable()  # what is made here has no cycles, and looking for them takes as long as the work
         try:
             return self._encode(texts)
         finally:
             gc.enable()
 
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
         if len(self.known) > REMEMBERED:  # the words met first, and so the frequent ones, stay
             self._restart(dict(islice(self.known.items(), REMEMBERED // 2)))
         texts = [t or "" for t in texts]
-        cut = [self._cut(t) if self._plain(t) else None for t in texts]
-        odd = list({t for t, c in zip(texts, cut, strict=True) if c is None})
+        spaced = [self._spaced(t) for t in texts]
+        odd = list({t for t, s in zip(texts, spaced, strict=True) if s is None})
         whole = dict(zip(odd, self._library(odd), strict=True))
-        self._learn(list(filterfalse(self.known.__contains__, set().union(*(islice(c, 1, None) for c in cut if c)))))
-        first = self._library([c[0] if c else "" for c in cut])  # no space comes before the first word
-        get = self.known.__getitem__
-        return [(f + b"".join(map(get, islice(c, 1, None))) if c else whole[t]) + self.end for t, c, f in zip(texts, cut, first, strict=True)]
+        # no space comes before the first word; an odd text counts as one word
+        first = self._library([s.partition(" ")[0] if s else "" for s in spaced])
+        heads = [whole[t] if s is None else f for t, s, f in zip(texts, spaced, first, strict=True)]
+        cut = pc.split_pattern(pa.array([s or "" for s in spaced], pa.large_string()), " ")
+        starts = cut.offsets.to_numpy()[:-1]
+        later = np.ones(len(cut.values), dtype=bool)
+        later[starts] = False
+        told = cut.values.filter(pa.array(later)).dictionary_encode()  # each distinct word is looked up once
+        words = told.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, words))
+        new = [i for i, x in enumerate(found) if x is None]
+        self._learn([words[i] for i in new])
+        for i in new:
+            found[i] = self.known[words[i]]
+        ids = [*found, *heads, self.end]
+        # the words of all texts as numbers of ``ids``: a text's head, its later words, the end id
+        numbers = np.empty(len(later), dtype=np.int64)
+        numbers[later] = told.indices.to_numpy()
+        numbers[starts] = len(words) + np.arange(len(texts))
+        stops = np.append(starts[1:], len(later))[: len(texts)]
+        numbers = np.insert(numbers, stops, len(ids) - 1)
+        flat = np.frombuffer(b"".join(ids), dtype=f"<u{self.width}")
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.width
+        own = lengths[numbers]
+        ends = np.cumsum(own)
+        places = np.repeat((np.cumsum(lengths) - lengths)[numbers] - (ends - own), own) + np.arange(int(own.sum()))
+        upto = ends[stops + np.arange(len(texts))]
+        return flat[places], np.diff(upto, prepend=0).tolist()
 
 
 @lru_cache(maxsize=1)
@@ -199,16 +231,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
         encoder, words, met = encoder_of(tokenizer, end_id), _mixed(1 << 16), set()
         for batch in batches:
             for part in parts_of(batch, AT_ONCE):
-                raws = encoder(part.column(1).to_pylist())
-                whole, width = b"".join(raws), encoder.width
-                places = candidates(np.frombuffer(whole, dtype=f"<u{width}"), words)
-                n, roots, digests, chunks, at = [], [], [], [], 0
+                ids, n = encoder(part.column(1).to_pylist())
+                whole, width = ids.tobytes(), encoder.width
+                places = candidates(ids, words)
+                roots, digests, chunks, at = [], [], [], 0
                 ends_of, ends_new = [0], [0]
-                for raw in raws:
-                    stop = at + len(raw) // width
-                    n.append(stop - at)
+                for own in n:
                     first = len(digests)
-                    for end in cuts(places, at, stop):
+                    for end in cuts(places, at, at + own):
                         piece = whole[at * width : end * width]
                         digest = sha256(piece).digest()
                         digests.append(digest)
