@@ -27,7 +27,7 @@ LEAST, MEAN, MOST, REACH = 128, 512, 2048, 16
 #: How the store's files are written; small row groups keep writers' memory low.
 FILES = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 #: Words whose ids a worker remembers before it starts anew, digests of chunks likewise, and characters that are encoded at once.
-REMEMBERED, MET, AT_ONCE = 600_000, 250_000, 4_000_000
+REMEMBERED, MET, AT_ONCE = 600_000, 250_000, 1_500_000
 #: Where a text has only these characters and none of ``BLANKS``, the library cuts it before each space.
 PLAIN = re.compile("[\n -~À-ÖØ-öø-ɏ]*")
 #: Texts in which each stop and comma is a piece of its own if it isn't next to another one or after a space; those are cut off, and must end a word.
@@ -232,6 +232,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
         for batch in batches:
             for part in parts_of(batch, AT_ONCE):
                 ids, n = encoder(part.column(1).to_pylist())
+                pa.default_memory_pool().release_unused()  # workers stay, and so would what Arrow keeps
                 whole, width = ids.tobytes(), encoder.width
                 places = candidates(ids, words)
                 roots, digests, chunks, at = [], [], [], 0
